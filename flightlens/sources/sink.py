@@ -47,8 +47,9 @@ def latest_snapshot(df: DataFrame) -> DataFrame:
     return df.filter(F.col("snapshot_date") == df.agg(F.max("snapshot_date")).scalar())
 
 
-def save_table(df: DataFrame, name: str) -> None:
-    df.write.mode("overwrite").format("parquet").saveAsTable(name)
+def save_table(df: DataFrame, name: str, path: str | None = None) -> None:
+    """Catalog table, in the warehouse or at ``path``."""
+    df.write.mode("overwrite").format("parquet").saveAsTable(name, path=path)
 
 
 def write_keyed(rows: DataFrame, path: str) -> None:
