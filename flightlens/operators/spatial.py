@@ -11,7 +11,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from flightlens.functions.geo import band, bands_within, cell, cells_within, haversine_km
+from flightlens.functions.geo import band, band_height, bands_within, cell, cells_within, haversine_km
 
 # A broadcast site row is well under 1 KB and a circle of 50 km touches about ten
 # squares, so this many sites stay below a few hundred MB on each executor.
@@ -34,8 +34,9 @@ def within_radius(
 
     Few sites (a count that stops at the limit) are broadcast: points are never
     shuffled and a crowded square costs nothing extra. Otherwise both sides shuffle on
-    the square and a salt, which spreads each square's points over ``salts`` tasks;
-    what is still uneven is left to the adaptive skew join.
+    the square and a salt, which spreads each square's points over ``salts`` tasks. The
+    salt is a hash of the point, the same when a lost task runs again; exact copies of
+    a point share it, and the adaptive skew join splits what is still uneven.
     """
     (plat, plon), (slat, slon) = point, site
     keys = ["_band", "_cell"]
@@ -51,4 +52,6 @@ def within_radius(
         left = left.withColumn("_salt", spread.cast("int"))
         right = right.withColumn("_salt", F.explode(F.sequence(F.lit(0), F.lit(salts - 1))))
     km = haversine_km(F.col(slat), F.col(slon), F.col(plat), F.col(plon))
-    return left.join(right, keys).withColumn(distance, km).filter(F.col(distance) <= radius_km).drop(*keys)
+    near = F.abs(F.col(slat) - F.col(plat)) <= band_height(radius_km)  # cheap, before the trigonometry
+    pairs = left.join(right, keys).filter(near).withColumn(distance, km)
+    return pairs.filter(F.col(distance) <= radius_km).drop(*keys)

@@ -74,6 +74,7 @@ def storms_near_airports(
     *,
     country: str | None = None,
     ordered: bool = False,
+    spread: int | None = None,
     max_broadcast_sites: int = MAX_BROADCAST_SITES,
     salts: int = SALTS,
 ) -> DataFrame:
@@ -82,8 +83,16 @@ def storms_near_airports(
     ``airports`` must hold one row per airport, with coordinates in double precision.
     ``ordered`` sorts the whole result by storm, hour and distance; stored tables are
     sorted within files instead.
+
+    Storm files are small, but each storm becomes tens of hours and each hour several
+    distance tests. So the storms, still one narrow row each, are first dealt out evenly
+    over ``spread`` tasks (by default ``spark.sql.shuffle.partitions``; 0: not at all).
     """
     c = F.col
+    if spread is None:
+        spread = int(storms.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    if spread > 0:
+        storms = storms.repartition(spread)
     if country is not None:
         airports = airports.filter(c("AIRPORT_COUNTRY_NAME") == country)
     sites = airports.select(

@@ -12,13 +12,13 @@ from flightlens import schemas
 from flightlens.operators.combine import one_per_key
 from flightlens.schemas import PERIOD
 
-# File-name patterns of the bronze layer; groups are year and month.
-FLIGHT_FILES = r"(\d{4})_(\d{1,2})_aotd\.parquet"
-STORM_FILES = r"(\d{4})_(\d{1,2})[^/]*\.parquet"
-STORM_FILES_STRICT = r"storm_events_(\d{4})_(\d{1,2})\.parquet"
-AIRPORT_FILES = r"[^/]*airport[^/]*\.parquet|L_AIRPORT_ID[^/]*\.parquet"
-AIRCRAFT_FILES = r"plane_registry_(\d{4}-\d{2}-\d{2})\.parquet"
-PARTITION_DIRS = r"year_partition=(\d+)/month_partition=(\d+)"
+# Patterns of bronze file names without ``.parquet``; the group is the
+# month as ``YYYY_M`` or the date.
+FLIGHT_FILES = r"(\d{4}_\d{1,2})_aotd"
+STORM_FILES = r"(\d{4}_\d{1,2})"
+STORM_FILES_STRICT = r"storm_events_(\d{4}_\d{1,2})$"
+AIRPORT_FILES = r"airport|L_AIRPORT_ID"
+AIRCRAFT_FILES = r"plane_registry_(\d{4}-\d{2}-\d{2})"
 
 
 def storm_csv(spark: SparkSession, path: str) -> DataFrame:
@@ -52,13 +52,22 @@ def weather_keys_physical(spark: SparkSession, path: str) -> DataFrame:
     )
 
 
-def _in_name(pattern: str) -> str:
-    """Pattern on a file name, or on a folder of part files with that name."""
-    return rf"/[^/]*?(?:{pattern})(?:/[^/]*)?$"
+def _stem(path: Column) -> Column:
+    """Name of a Parquet file, or of the folder ``<name>.parquet`` its part files are in.
+
+    Plain string functions: this runs per row, and a regular expression over the whole
+    path would cost more than reading the row.
+    """
+    return F.substring_index(F.substring_index(path, ".parquet", 1), "/", -1)
+
+
+def _month_text(path: Column, pattern: str) -> Column:
+    return F.regexp_extract(_stem(path), pattern, 1)
 
 
-def _period(path: Column, pattern: str) -> list[Column]:
-    return [F.regexp_extract(path, pattern, i + 1).try_cast("int").alias(name) for i, name in enumerate(PERIOD)]
+def _period(month_text: Column) -> dict[str, Column]:
+    parts = (month_text.substr(1, 4), F.substring_index(month_text, "_", -1))
+    return {name: part.try_cast("int") for name, part in zip(PERIOD, parts, strict=True)}
 
 
 def list_files(spark: SparkSession, path: str) -> DataFrame:
@@ -74,38 +83,39 @@ def list_files(spark: SparkSession, path: str) -> DataFrame:
 
 def bronze_periods(spark: SparkSession, path: str, pattern: str) -> DataFrame:
     """Distinct (year, month) found in file names."""
-    files = list_files(spark, path).select(*_period(F.col("path"), _in_name(pattern)))
-    return files.dropna().distinct()
+    period = _period(_month_text(F.col("path"), pattern))
+    return list_files(spark, path).select(*[c.alias(n) for n, c in period.items()]).dropna().distinct()
 
 
 def stored_periods(spark: SparkSession, path: str) -> DataFrame:
     """Distinct (year, month) of the partition folders of a table."""
-    return list_files(spark, path).select(*_period(F.col("path"), PARTITION_DIRS)).dropna().distinct()
+    found = [F.regexp_extract("path", rf"/{name}=(\d+)/", 1).try_cast("int").alias(name) for name in PERIOD]
+    return list_files(spark, path).select(*found).dropna().distinct()
 
 
 def read_periods(spark: SparkSession, path: str, pattern: str, periods: Iterable[tuple[int, int]], schema: str | None = None) -> DataFrame:
     """Rows of the files of the given months, with the month taken from the file name.
 
     The filter reads only the file path, so Spark drops the other files from the scan
-    before opening them. The list has one entry per calendar month.
+    before opening them. The list has at most two spellings per calendar month.
     """
     reader = spark.read.option("recursiveFileLookup", True)
     rows = (reader.schema(schema) if schema else reader).parquet(path)
-    year, month = _period(F.col("_metadata.file_path"), _in_name(pattern))
-    wanted = [y * 100 + m for y, m in periods]
-    return rows.filter((year * 100 + month).isin(wanted)).withColumns(dict(zip(PERIOD, (year, month), strict=True)))
+    month = _month_text(F.col("_metadata.file_path"), pattern)
+    wanted = sorted({f"{y}_{text}" for y, m in periods for text in (f"{m}", f"{m:02d}")})
+    return rows.filter(month.isin(wanted)).withColumns(_period(month))
 
 
 def read_named(spark: SparkSession, path: str, pattern: str, schema: str | None = None, merge: bool = False) -> DataFrame:
     """Rows of every file whose name matches: a union of many files by column name."""
     reader = spark.read.options(recursiveFileLookup=True, mergeSchema=merge)
     rows = (reader.schema(schema) if schema else reader).parquet(path)
-    return rows.filter(F.col("_metadata.file_path").rlike(_in_name(pattern)))
+    return rows.filter(_stem(F.col("_metadata.file_path")).rlike(pattern))
 
 
 def registry_snapshots(spark: SparkSession, path: str) -> DataFrame:
     """Every registry file, with the date from its name as ``snapshot_date``."""
-    date = F.regexp_extract(F.col("_metadata.file_path"), AIRCRAFT_FILES, 1)
+    date = F.regexp_extract(_stem(F.col("_metadata.file_path")), AIRCRAFT_FILES, 1)
     return read_named(spark, path, AIRCRAFT_FILES).withColumn("snapshot_date", date.try_cast("date"))
 
 

@@ -1,0 +1,143 @@
+"""Edge tables of the column functions."""
+
+import pytest
+from pyspark.sql import functions as F
+
+from flightlens.codes import AGE_BUCKETS, AGE_UNKNOWN, AIRCRAFT_TYPES
+from flightlens.functions import geo, keys, times
+from flightlens.functions import values as v
+
+from conftest import values
+
+
+def apply(rows, schema, fn, *data):
+    df = rows(f"i int, {schema}", *[(i, d) for i, d in enumerate(data)])
+    name = df.columns[1]
+    return [r[0] for r in df.select("i", fn(F.col(name)).alias("out")).orderBy("i").select("out").collect()]
+
+
+def test_delays_differ_in_missing_values(rows):
+    data = [None, -5.0, -0.5, 0.0, 0.9, 14.9, float("nan")]
+    assert apply(rows, "x double", v.non_negative, *data) == [0, 0, 0, 0, 0, 14, 0]
+    assert apply(rows, "x double", v.non_negative_or_null, *data) == [None, 0, 0, 0, 0, 14, None]
+    assert apply(rows, "x string", v.non_negative, "12.7", "", "late") == [12, 0, 0]
+
+
+def test_clock_time(rows):
+    expected = ["00:00:00", "00:05:00", "09:05:00", "23:59:00", None, None, None, None]
+    assert apply(rows, "x int", times.clock_time, 0, 5, 905, 2359, 2400, 1260, None, -5) == expected
+    assert apply(rows, "x double", times.clock_time, 905.0, 2400.0, None) == ["09:05:00", None, None]
+    assert apply(rows, "x string", times.clock_time, "0905", "x", "2359") == ["09:05:00", None, "23:59:00"]
+
+
+def test_flag(rows):
+    assert apply(rows, "x double", v.flag, 0.0, 1.0, None) == [False, True, None]
+    assert apply(rows, "x string", v.flag, "1.00", "0.00", "x", "true", None) == [True, False, None, True, None]
+    assert apply(rows, "x boolean", v.flag, True, False, None) == [True, False, None]
+
+
+def test_decode(rows):
+    codes = ["1", " 1 ", "10", "H", "99", None]
+    expected = ["Glider", "Glider", None, "Hybrid Lift", None, None]
+    assert apply(rows, "x string", lambda c: v.decode(c, AIRCRAFT_TYPES), *codes) == expected
+    filled = [e or "Unknown" for e in expected]
+    assert apply(rows, "x string", lambda c: v.decode(c, AIRCRAFT_TYPES, "Unknown"), *codes) == filled
+    assert apply(rows, "x int", lambda c: v.decode(c, AIRCRAFT_TYPES), 1, 9, 10, None) == ["Glider", "Gyroplane", None, None]
+
+
+def test_age_buckets(rows):
+    ages = [0, 5, 6, 10, 11, 20, 21, -1, None]
+    expected = ["0-5", "0-5", "6-10", "6-10", "11-20", "11-20", ">20", "unknown", "unknown"]
+    assert apply(rows, "x int", lambda c: v.bucket(c, AGE_BUCKETS, AGE_UNKNOWN), *ages) == expected
+
+
+def test_lenient_numbers(rows):
+    assert apply(rows, "x string", v.safe_float, "1.5", " 2 ", "", "x", None) == [1.5, 2.0, None, None, None]
+    assert apply(rows, "x string", v.safe_int, "12.9", "-3.9", "7", "nan", "x") == [12, -3, 7, None, None]
+
+
+def test_percent(rows):
+    df = rows("a bigint, b bigint", (1, 3), (0, 5), (1, 64), (1, 0))
+    got = [r[0] for r in df.select(v.percent(F.col("a"), F.col("b"))).collect()]
+    assert got == [33.333, 0.0, 1.563, None]
+
+
+@pytest.mark.parametrize(
+    "number",
+    [0.0, 1.0, -2.5, 0.1, 1 / 3, 0.0005, 0.0001, 0.00002, 1.5e-7, 12345678.9, 1e7, 123456789012345.6, 1e15, 1e16, 4e18, -0.00075],
+)
+def test_cell_text_of_numbers(rows, number):
+    assert apply(rows, "x double", lambda c: v.as_text(c, "double"), number) == [str(number)]
+
+
+def test_cell_text_of_other_types(rows):
+    assert apply(rows, "x bigint", lambda c: v.as_text(c, "bigint"), 10**12) == ["1000000000000"]
+    assert apply(rows, "x boolean", lambda c: v.as_text(c, "boolean"), True, False) == ["True", "False"]
+    assert apply(rows, "x double", lambda c: v.as_text(c, "double"), None, float("nan")) == [None, "nan"]
+
+
+def test_storm_hours_are_widened(rows):
+    df = rows(
+        "ym int, d int, t int",
+        (202403, 31, 1000),
+        (202403, 31, 1015),
+        (202403, 31, 2345),
+        (202401, 1, 0),
+        (202402, 30, 1000),
+        (202402, 1, None),
+    )
+    ts = times.stamp(F.col("ym"), F.col("d"), F.col("t"))
+    got = df.select(
+        F.date_format(times.hour_before(ts), "MM-dd HH:mm"), F.date_format(times.hour_after(ts), "MM-dd HH:mm")
+    ).collect()
+    assert [tuple(r) for r in got] == [
+        ("03-31 09:00", "03-31 11:00"),
+        ("03-31 10:00", "03-31 11:00"),
+        ("03-31 23:00", "04-01 00:00"),
+        ("12-31 23:00", "01-01 01:00"),
+        (None, None),
+        (None, None),
+    ]
+
+
+def test_distance(rows):
+    df = rows(
+        "a double, b double, c double, d double",
+        (0.0, 0.0, 0.0, 1.0),
+        (10.0, 20.0, 10.0, 20.0),
+        (0.0, 179.5, 0.0, -179.5),
+        (90.0, 0.0, 90.0, 123.0),
+    )
+    km = geo.haversine_km(*[F.col(c) for c in "abcd"])
+    got = [round(r[0], 3) for r in df.select(km).collect()]
+    assert got == [111.195, 0.0, 111.195, 0.0]
+
+
+def test_row_keys(rows):
+    df = rows("r string, e string, y int, m int", ("Texas", "Hail", 2024, 3), (None, "Hail", 2024, 3), ("Ohio", "Hail", 2024, None))
+    month = keys.year_month(F.col("y"), F.col("m"))
+    parts = [F.col("r"), F.col("e"), month]
+    collapse = [r[0] for r in df.select(keys.row_key(*parts, required=[month])).collect()]
+    skip = [r[0] for r in df.select(keys.row_key(*parts, required=[month], on_null="skip")).collect()]
+    assert collapse == ["Texas#Hail#202403", "Hail#202403", None]
+    assert skip == ["Texas#Hail#202403", None, None]
+    with pytest.raises(ValueError):
+        keys.row_key(month, on_null="drop")
+
+
+def test_key_round_trip(rows):
+    df = rows("r string, e string, y int, m int", ("New York", "Marine Hurricane/Typhoon", 2024, 11))
+    month = keys.year_month(F.col("y"), F.col("m"))
+    parts = keys.key_parts(keys.row_key(F.col("r"), F.col("e"), month))
+    assert df.select(parts).collect()[0][0] == ["New York", "Marine Hurricane/Typhoon", "202411"]
+
+
+def test_exported_cells_become_plain(spark):
+    df = spark.sql("SELECT map(encode('m:flights_cnt', 'UTF-8'), encode('12', 'UTF-8')) AS cells")
+    assert values(df.select(keys.plain_cells(F.col("cells")))) == [({"flights_cnt": "12"},)]
+
+
+def test_content_id_ignores_layout(rows):
+    df = rows("a int, b string", *[(i, str(i)) for i in range(50)])
+    ids = lambda d: values(d.select("a", keys.content_id(F.col("a"), F.col("b"))))
+    assert ids(df) == ids(df.repartition(7))

@@ -1,0 +1,109 @@
+"""Dedupe, incremental inserts, ranking, reshaping, checks."""
+
+import pytest
+from pyspark.sql import functions as F
+
+from flightlens.operators import aggregate, checks, combine, reshape
+
+from conftest import values
+
+
+def test_one_per_key_is_layout_independent(rows):
+    df = rows("k int, a string, b int", (1, "x", 1), (1, "y", None), (1, "x", 9), (2, None, None), (None, "q", 1), (None, "p", 2))
+    expected = [(1, "y", None), (2, None, None), (None, "q", 1)]
+    for layout in (df, df.repartition(5), df.coalesce(1)):
+        assert values(combine.one_per_key(layout, "k")) == expected
+    assert values(combine.one_per_key(df, "k", prefer=["b"])) == [(1, "x", 9), (2, None, None), (None, "p", 2)]
+
+
+def test_new_keys_only(rows):
+    stored = rows("k int, a string", (1, "old"), (None, "null key"))
+    incoming = rows("k int, a string", (1, "changed"), (2, "new"), (None, "null"))
+    assert values(combine.new_keys_only(incoming, stored, "k")) == [(2, "new")]
+
+
+def test_union_matches_names(rows):
+    out = combine.union_all([rows("a int, b string", (1, "x")), rows("b string, c int", ("y", 3))])
+    assert values(out.select("a", "b", "c")) == [(1, "x", None), (None, "y", 3)]
+
+
+def test_label_falls_back_to_the_key(rows):
+    out = combine.label(rows("id string", "1", "2"), "id", rows("k int, n string", (1, "ATL")), "k", "n", "code")
+    assert values(out) == [("1", "ATL"), ("2", "2")]
+
+
+def test_top_groups_breaks_ties_by_key(rows):
+    df = rows("k string, w int", ("b", 5), ("a", 5), ("c", 1), ("a", 1), ("d", 5))
+    assert values(aggregate.top_groups(df, "k", 2), "n", "k") == [("b", 1), ("a", 2)]
+    assert [r[0] for r in aggregate.top_groups(df, "k", 3, weight="w").collect()] == ["a", "b", "d"]
+
+
+def test_merged_statistics_equal_direct_ones(spark):
+    flights = spark.range(5000).select(
+        (F.col("id") % 7).alias("a"),
+        (F.col("id") % 3).alias("b"),
+        F.when(F.col("id") % 5 != 0, F.col("id") % 90).cast("int").alias("DepartureDelay"),
+        F.when(F.col("id") % 4 != 0, F.col("id") % 50).cast("int").alias("ArrivalDelay"),
+        F.when(F.col("id") % 6 != 0, F.col("id") % 2 == 0).alias("IsCancelledFlag"),
+    )
+    names = list(aggregate.MEASURES)
+    fine = aggregate.collect_stats(flights, ["a", "b"])
+    merged = aggregate.finish(aggregate.merge_stats(fine, ["a"]), ["a"], names)
+    direct = flights.groupBy("a").agg(
+        F.avg("DepartureDelay"),
+        F.avg("ArrivalDelay"),
+        F.count("*"),
+        F.sum(F.when(F.col("IsCancelledFlag"), 1).otherwise(0)),
+        F.round(F.sum(F.when(F.col("IsCancelledFlag"), 1).otherwise(0)) * 100.0 / F.count("*"), 3),
+        F.avg(F.col("IsCancelledFlag").cast("double")),
+    )
+    assert values(merged) == values(direct)
+
+
+def test_all_null_group_has_no_average(rows):
+    flights = rows("k int, DepartureDelay int, ArrivalDelay int, IsCancelledFlag boolean", (1, 3, None, None))
+    out = aggregate.finish(aggregate.collect_stats(flights, ["k"]), ["k"], ["avg_dep_delay", "avg_arr_delay", "cancel_pct", "cancel_rate"])
+    assert values(out) == [(1, 3.0, None, 0.0, None)]
+
+
+def test_ranks_wide_and_back(rows):
+    ranked = rows("g int, rank int, name string, x double", (1, 1, "a", 9.0), (1, 2, "b", None), (2, 1, "c", 3.0))
+    wide = reshape.ranks_to_columns(ranked, ["g"], {"name": "name", "x": "x"}, 3)
+    assert wide.columns == ["g", "rank01_name", "rank01_x", "rank02_name", "rank02_x", "rank03_name", "rank03_x"]
+    places = [(F.lit(i), F.col(f"rank{i:02d}_name"), F.col(f"rank{i:02d}_x")) for i in (1, 2, 3)]
+    long = wide.select("g", reshape.rows_from(places, ["rank", "name", "x"])).filter("name IS NOT NULL OR x IS NOT NULL")
+    assert values(long) == values(ranked)
+
+
+def test_matrix_keeps_empty_columns_and_drops_empty_rows(rows):
+    df = rows("e string, m int, x double", ("Hail", 1, 2.0), ("Hail", 3, None), ("Fog", 2, None), ("Ice", 3, 4.0))
+    out = reshape.matrix(df, "e", "m", "x", [1, 2, 3], prefix="m")
+    assert out.columns == ["e", "m1", "m2", "m3"]
+    assert values(out) == [("Hail", 2.0, None, None), ("Ice", None, None, 4.0)]
+
+
+def test_dense_axis(rows):
+    out = reshape.dense_axis(rows("month int, x int", (2, 20), (9, 90)), "month", 1, 4)
+    assert values(out) == [(1, None), (2, 20), (3, None), (4, None)]
+
+
+def test_declared_order(rows):
+    df = rows("b string", ">20", "other", "6-10", "0-5")
+    assert [r[0] for r in df.orderBy(reshape.declared_order("b", ["0-5", "6-10", ">20"])).collect()] == ["0-5", "6-10", ">20", "other"]
+
+
+def test_checks(rows):
+    df = rows("`a b` int, `c(d);` int, `e=\tf` int", (1, 2, 3))
+    assert checks.clean_names(df).columns == ["a_b", "cd", "ef"]
+    with pytest.raises(ValueError, match="flights lacks columns: x, y"):
+        checks.require_columns(df, ["a b", "y", "x"], "flights")
+    assert checks.all_columns_except(df, "a b").columns == ["c(d);", "e=\tf"]
+    cast = checks.cast_columns(rows("a int, b int", (1, 0)), {"b": "boolean", "a": "string"})
+    assert cast.dtypes == [("b", "boolean"), ("a", "string")]
+
+
+def test_profile_and_counts(rows):
+    df = rows("k string, x int", ("a", 1), ("a", 5), (None, None))
+    out = aggregate.profile(df, "n", {"keys": "k"}, {"low": "x"}, {"high": "x"})
+    assert values(out) == [(3, 1, 1, 5)]
+    assert values(aggregate.group_count(df, "k")) == [("a", 2), (None, 1)]
