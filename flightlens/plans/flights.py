@@ -11,8 +11,8 @@ from flightlens.codes import CANCELLATION_REASONS
 from flightlens.functions.keys import content_id, load_id
 from flightlens.functions.times import clock_time
 from flightlens.functions.values import decode, flag, non_negative, non_negative_or_null
-from flightlens.operators.checks import cast_columns, require_columns
-from flightlens.schemas import FLIGHT_VIEW_TYPES
+from flightlens.operators.checks import cast_columns, present, require_columns
+from flightlens.schemas import FLIGHT_VIEW_TYPES, PERIOD
 
 
 def flight_facts(raw: DataFrame, *, ids: str = "load", keep: Sequence[str] = ()) -> DataFrame:
@@ -52,4 +52,4 @@ def normalized_flights(facts: DataFrame) -> DataFrame:
 
 
 def with_view_keys(facts: DataFrame) -> DataFrame:
-    return facts.dropna(subset=["DepartureAirportID", "year_partition", "month_partition"])
+    return present(facts, "DepartureAirportID", *PERIOD)

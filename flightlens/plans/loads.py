@@ -25,8 +25,13 @@ def load_storm_bronze(spark: SparkSession, csv_path: str, bronze: str) -> DataFr
 
 
 def load_registry_bronze(spark: SparkSession, csv_path: str, bronze: str, date: str | None = None) -> None:
-    """Aircraft registry → a dated copy with both type codes decoded."""
-    sink.write_dated_snapshot(clean_names(decoded_registry(scan.registry_csv(spark, csv_path))), bronze, date)
+    """Aircraft registry → a dated copy with both type codes decoded.
+
+    Columns stay text: types inferred from each day's file differ from day to day (a year
+    column with and without blanks), and such copies could not be read together.
+    """
+    raw = scan.registry_csv(spark, csv_path, infer=False)
+    sink.write_dated_snapshot(clean_names(decoded_registry(raw)), bronze, date)
 
 
 def pending_periods(bronze: DataFrame, stored: DataFrame) -> DataFrame:

@@ -10,6 +10,7 @@ from flightlens.functions.geo import along
 from flightlens.functions.keys import load_id
 from flightlens.functions.times import hour_after, hour_before, hours_between, stamp
 from flightlens.functions.values import decode
+from flightlens.operators.checks import present
 from flightlens.operators.spatial import MAX_BROADCAST_SITES, SALTS, within_radius
 from flightlens.schemas import PERIOD
 
@@ -24,9 +25,8 @@ def aligned_storms(raw: DataFrame) -> DataFrame:
     """
     c = F.col
     has_id = "EVENT_ID" in raw.columns
-    kept = raw.filter(c("EVENT_TYPE").isin(list(EVENT_CATEGORY))).dropna(
-        subset=["BEGIN_LAT", "BEGIN_LON", "END_LAT", "END_LON"]
-    )
+    listed = raw.filter(c("EVENT_TYPE").isin(list(EVENT_CATEGORY)))
+    kept = present(listed, "BEGIN_LAT", "BEGIN_LON", "END_LAT", "END_LON")
     return kept.select(
         (c("EVENT_ID").cast("bigint") if has_id else load_id()).alias("ORIGINAL_INDEX"),
         hour_before(stamp(c("BEGIN_YEARMONTH"), c("BEGIN_DAY"), c("BEGIN_TIME"))).alias("BEGIN_DATETIME"),

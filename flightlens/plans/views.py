@@ -15,7 +15,7 @@ from pyspark.sql import functions as F
 from flightlens.codes import AGE_BUCKETS, AGE_UNKNOWN
 from flightlens.functions.values import bucket
 from flightlens.operators.aggregate import collect_stats, finish, merge_stats, top_per_group
-from flightlens.operators.checks import require_columns
+from flightlens.operators.checks import present, require_columns
 from flightlens.operators.reshape import ranks_to_columns
 from flightlens.plans.flights import with_view_keys
 from flightlens.schemas import PERIOD
@@ -79,7 +79,8 @@ def weather_keys(weather: DataFrame) -> DataFrame:
     """Distinct (airport, event type, month): however many storm hours an airport saw, its
     flights of the month count once per event type."""
     require_columns(weather, ["AIRPORT_ID", "EVENT_TYPE", *PERIOD], "weather_airport_events")
-    keys = weather.select("AIRPORT_ID", "EVENT_TYPE", *PERIOD).dropna().distinct()
+    names = ["AIRPORT_ID", "EVENT_TYPE", *PERIOD]
+    keys = present(weather, *names).select(*names).distinct()
     return keys.select(
         F.col("AIRPORT_ID").cast("string").alias(AIRPORT),
         F.col("EVENT_TYPE").cast("string").alias("EventType"),
@@ -127,10 +128,10 @@ def aircraft_age_bucket_carrier_year(flights: DataFrame, aircraft: DataFrame | N
     if aircraft is None:
         return None
     require_columns(aircraft, ["TailNum", "YearManufactured"], "aircraft_dim")
-    keyed = with_view_keys(flights).dropna(subset=[CARRIER, TAIL])
+    keyed = present(with_view_keys(flights), CARRIER, TAIL)
     stats = collect_stats(keyed.withColumnRenamed(PERIOD[0], "flight_year"), [CARRIER, "flight_year", TAIL])
     built = aircraft.select(F.col("TailNum").alias(TAIL), F.col("YearManufactured").cast("int").alias("_built"))
-    built = built.dropna(subset=[TAIL] if keep_unknown_year else [TAIL, "_built"])
+    built = present(built, TAIL) if keep_unknown_year else present(built, TAIL, "_built")
     age = F.col("flight_year") - F.col("_built")
     aged = stats.join(built, TAIL, "inner").withColumn("aircraft_age_bucket", bucket(age, AGE_BUCKETS, AGE_UNKNOWN))
     return finish(merge_stats(aged, AIRCRAFT_AGE.grain), AIRCRAFT_AGE.grain, AIRCRAFT_AGE.measures)

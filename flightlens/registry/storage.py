@@ -85,7 +85,7 @@ def storm_csv_scan(t):
     "fx_aircraft",
 )
 def registry_csv_load(t):
-    """Registry CSV with inferred types → decoded, cleaned, dated copy → newest copy."""
+    """Registry CSV → decoded, cleaned, dated copies → newest copy."""
     csv, bronze = emptied(t, "registry-csv"), emptied(t, "registry-bronze")
     raw = t.aircraft.toDF("N-NUMBER", "MFR", "MODEL", "TYPE AIRCRAFT", "TYPE ENGINE", "YEAR MFR")
     raw.write.mode("overwrite").options(header=True, quote='"', escape="\\").csv(csv)
@@ -101,6 +101,17 @@ def registry_csv_load(t):
     )
 
 
+@query(
+    """SELECT CAST(N_NUMBER AS INT) AS N_NUMBER, MODEL, CAST(TYPE_AIRCRAFT AS INT) AS TYPE_AIRCRAFT FROM fx_aircraft""",
+    "fx_aircraft",
+)
+def registry_csv_inferred(t):
+    """Registry CSV with inferred column types."""
+    csv = emptied(t, "registry-csv")
+    t.aircraft.write.options(header=True, quote='"', escape="\\").csv(csv)
+    return scan.registry_csv(t.spark, csv).select("N_NUMBER", "MODEL", "TYPE_AIRCRAFT")
+
+
 @query(
     """SELECT N_NUMBER, MODEL, CAST('2024-06-01' AS DATE) AS snapshot_date FROM fx_aircraft""",
     "fx_aircraft",

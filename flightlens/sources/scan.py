@@ -26,10 +26,9 @@ def storm_csv(spark: SparkSession, path: str) -> DataFrame:
     return spark.read.schema(schemas.STORM_CSV).option("header", True).csv(path)
 
 
-def registry_csv(spark: SparkSession, path: str, schema: str | None = None) -> DataFrame:
-    """Aircraft registry. Types are inferred, which reads the files twice, unless given."""
-    reader = spark.read.options(header=True, sep=",", quote='"', escape="\\")
-    return (reader.schema(schema) if schema else reader.option("inferSchema", True)).csv(path)
+def registry_csv(spark: SparkSession, path: str, *, infer: bool = True) -> DataFrame:
+    """Aircraft registry. Types are inferred, which reads the files twice, or left as text."""
+    return spark.read.options(header=True, inferSchema=infer, sep=",", quote='"', escape="\\").csv(path)
 
 
 def code_csv(spark: SparkSession, path: str) -> DataFrame:

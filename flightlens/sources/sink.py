@@ -49,7 +49,8 @@ def latest_snapshot(df: DataFrame) -> DataFrame:
 
 def save_table(df: DataFrame, name: str, path: str | None = None) -> None:
     """Catalog table, in the warehouse or at ``path``."""
-    df.write.mode("overwrite").format("parquet").saveAsTable(name, path=path)
+    writer = df.write.mode("overwrite").format("parquet")
+    (writer.option("path", path) if path else writer).saveAsTable(name)
 
 
 def write_keyed(rows: DataFrame, path: str) -> None:

@@ -1,0 +1,104 @@
+"""Keyed rows and lookups."""
+
+import pytest
+
+from flightlens.functions.keys import row_key, year_month
+from flightlens.plans import serving
+from flightlens.plans.views import VIEWS
+from pyspark.sql import functions as F
+
+from conftest import values
+
+DELAY = "DepartureAirportID string, year_partition int, month_partition int, avg_dep_delay double, avg_arr_delay double, flights_cnt bigint"
+CELLS = ["avg_dep_delay", "avg_arr_delay", "flights_cnt"]
+
+
+@pytest.fixture
+def delays(rows):
+    view = rows(
+        DELAY,
+        ("12478", 2024, 1, 10.5, None, 12345678),
+        ("12478", 2024, 3, 0.0005, 1.0, 2),
+        ("12478", 2023, 1, 7.0, 7.0, 7),
+        ("1247", 2024, 1, 1.0, 1.0, 1),
+    )
+    return serving.keyed_view("delay_airport_month", view)
+
+
+def test_missing_cells_are_absent(delays):
+    got = {r.rowkey: r.cells for r in delays.collect()}
+    assert got["12478#202401"] == {"avg_dep_delay": "10.5", "flights_cnt": "12345678"}
+    assert got["12478#202403"]["avg_dep_delay"] == "0.0005"
+
+
+def test_rows_without_key_or_cells_are_left_out(rows):
+    df = rows("k string, a double, b int", (None, 1.0, 1), ("x", None, None), ("y", None, 2))
+    assert values(serving.keyed_rows(df, F.col("k"), ["a", "b"])) == [("y", {"b": "2"})]
+
+
+def test_every_view_has_a_key_layout():
+    assert set(serving.ROW_KEYS) == set(VIEWS)
+
+
+def test_month_series(delays):
+    series = serving.month_series(delays, "12478", 2024, 1, 12, CELLS)
+    assert values(series, "year", "month") == [(2024, 1, 10.5, None, 12345678), (2024, 3, 0.0005, 1.0, 2)]
+    dense = serving.dense_series(series, 1, 4, "avg_dep_delay")
+    assert values(dense) == [(1, 10.5), (2, None), (3, 0.0005), (4, None)]
+
+
+def test_missing_region_is_stored_or_skipped(rows):
+    schema = "Region string, EventType string, year_partition int, month_partition int, cancel_rate double, flights_cnt bigint"
+    view = rows(schema, ("Texas", "Hail", 2024, 1, 0.5, 10), (None, "Hail", 2024, 1, 0.1, 3), ("Texas", "Dense Fog", 2024, 2, None, 4), ("New Mexico", "Hail", 2024, 1, 0.2, 5))
+    keyed = serving.keyed_view("cancel_weather_region_month", view)
+    assert {r.rowkey for r in keyed.collect()} == {"Texas#Hail#202401", "Hail#202401", "Texas#Dense Fog#202402", "New Mexico#Hail#202401"}
+    skipped = serving.keyed_view("cancel_weather_region_month", view, on_null="skip")
+    assert "Hail#202401" not in {r.rowkey for r in skipped.collect()}
+    found = serving.region_months(keyed, "Texas", 2024, 1, 12, "cancel_rate")
+    assert [tuple(r) for r in found.collect()] == [("Texas", "Hail", 2024, 1, 0.5, 10), ("Texas", "Dense Fog", 2024, 2, None, 4)]
+    assert serving.region_months(keyed, None, 2024, 1, 12, "cancel_rate").count() == 3
+    assert serving.region_months(keyed, "Hail", 2024, 1, 12, "cancel_rate").count() == 0
+    wide = serving.weather_matrix(found, "cancel_rate", 1, 3)
+    assert wide.columns == ["EventType", "m01", "m02", "m03"]
+    assert values(wide) == [("Hail", 0.5, None, None)]
+    turned = serving.month_matrix(found, "cancel_rate", ["Dense Fog", "Hail"])
+    assert values(turned) == [(1, None, 0.5)]
+
+
+def test_unreadable_months_are_skipped(rows):
+    keyed = rows("rowkey string, cells map<string, string>", ("A#Hail#2024xx", {"v": "1"}), ("A#Hail#202405", {"v": "x"}), ("A#B#C#202405", {"v": "1"}))
+    assert values(serving.region_months(keyed, "A", 2024, 1, 12, "v")) == [("A", "Hail", 2024, 5, None, None)]
+
+
+def test_ranking_rows_and_labels(rows):
+    keyed = rows(
+        "rowkey string, cells map<string, string>",
+        ("202401", {"rank01_airport": "1", "rank01_delay": "9.5", "rank02_airport": "2", "rank10_delay": "0.5"}),
+        ("202402", {"rank01_airport": "3", "rank01_delay": "1.0"}),
+    )
+    one = serving.ranking_rows(keyed, 2024, 1)
+    assert values(one) == [("202401", 1, "1", 9.5), ("202401", 10, None, 0.5), ("202401", 2, "2", None)]
+    assert serving.ranking_rows(keyed).count() == 4
+    labeled = serving.labeled_ranking(one, rows("AIRPORT_ID int, AIRPORT string", (1, "ATL")))
+    assert {(r.rank, r.AirportCode) for r in labeled.collect()} == {(1, "ATL"), (2, "2"), (10, None)}
+
+
+def test_age_rows(rows):
+    schema = "flight_year int, aircraft_age_bucket string, CarrierCode string, avg_dep_delay double, avg_arr_delay double, flights_cnt bigint"
+    view = rows(schema, (2024, ">20", "AA", 1.0, 1.0, 5), (2024, "0-5", "AA", 2.0, 1.0, 5), (2024, "0-5", "BB", 3.0, 1.0, 10), (2024, "6-10", "CC", 4.0, 1.0, 9), (2023, "0-5", "CC", 9.0, 9.0, 900))
+    keyed = serving.keyed_view("aircraft_age_bucket_carrier_year", view)
+    top = serving.age_rows(keyed, 2024, top_carriers=2)
+    assert [(r.aircraft_age_bucket, r.carrier) for r in top.collect()] == [("0-5", "AA"), ("0-5", "BB"), (">20", "AA")]
+    every = serving.age_rows(keyed, 2024, top_carriers=None)
+    assert serving.carriers_of(every) == ["AA", "BB", "CC"]
+    assert values(serving.age_matrix(every, ["AA", "BB", "CC"])) == [("0-5", 2.0, 3.0, None), ("6-10", None, None, 4.0), (">20", 1.0, None, None)]
+    with pytest.raises(ValueError):
+        serving.carriers_of(every, limit=2)
+
+
+def test_cells_and_keys_round_trip(rows, delays):
+    back = serving.cell_rows(delays).groupBy("rowkey").pivot("qualifier", CELLS).agg(F.first("value"))
+    again = serving.keyed_rows(back, F.col("rowkey"), CELLS)
+    assert values(again) == values(delays)
+    key = row_key(F.lit("a"), year_month(F.lit(2024), F.lit(5)))
+    assert values(rows("x int", 1).select(key)) == [("a#202405",)]
