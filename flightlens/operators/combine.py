@@ -37,6 +37,12 @@ def missing_rows(wanted: DataFrame, present: DataFrame, on: Sequence[str]) -> Da
     return wanted.select(*on).distinct().join(present.select(*on).distinct(), list(on), "left_anti")
 
 
+def fits(df: DataFrame, max_rows: int) -> bool:
+    """Whether a table is small enough to broadcast: one count, which for stored Parquet
+    reads file footers only."""
+    return df.count() <= max_rows
+
+
 def only_matching(df: DataFrame, keep: DataFrame, on: str) -> DataFrame:
     return df.join(keep.select(on), on, "left_semi")
 

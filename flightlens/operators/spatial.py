@@ -12,6 +12,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from flightlens.functions.geo import band, band_height, bands_within, cell, cells_within, haversine_km
+from flightlens.operators.combine import fits
 
 # A broadcast site row is well under 1 KB and a circle of 50 km touches about ten
 # squares, so this many sites stay below a few hundred MB on each executor.
@@ -32,9 +33,9 @@ def within_radius(
 ) -> DataFrame:
     """Pairs no further apart than ``radius_km``; ``point`` and ``site`` name (lat, lon).
 
-    Few sites (a count that stops at the limit) are broadcast: points are never
-    shuffled and a crowded square costs nothing extra. Otherwise both sides shuffle on
-    the square and a salt, which spreads each square's points over ``salts`` tasks. The
+    Few sites (they are counted) are broadcast: points are never shuffled and a crowded
+    square costs nothing extra. Otherwise both sides shuffle on the square and a salt,
+    which spreads each square's points over ``salts`` tasks. The
     salt is a hash of the point, the same when a lost task runs again; exact copies of
     a point share it, and the adaptive skew join splits what is still uneven.
     """
@@ -44,7 +45,7 @@ def within_radius(
     right = sites.withColumn("_band", F.explode(bands_within(F.col(slat), radius_km))).withColumn(
         "_cell", F.explode(cells_within(F.col(slat), F.col(slon), radius_km))
     )
-    if sites.limit(max_broadcast_sites + 1).count() <= max_broadcast_sites:
+    if fits(sites, max_broadcast_sites):
         right = F.broadcast(right)
     elif salts > 1:
         keys.append("_salt")

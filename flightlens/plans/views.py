@@ -16,11 +16,14 @@ from flightlens.codes import AGE_BUCKETS, AGE_UNKNOWN
 from flightlens.functions.values import bucket
 from flightlens.operators.aggregate import collect_stats, finish, merge_stats, top_per_group
 from flightlens.operators.checks import present, require_columns
+from flightlens.operators.combine import fits
 from flightlens.operators.reshape import ranks_to_columns
 from flightlens.plans.flights import with_view_keys
 from flightlens.schemas import PERIOD
 
 AIRPORT, CARRIER, TAIL = "DepartureAirportID", "CarrierCode", "TailNumber"
+# A tail number and a year take about 100 bytes in a broadcast table: 100 MB at most.
+MAX_BROADCAST_AIRCRAFT = 1_000_000
 DELAYS = ("avg_dep_delay", "avg_arr_delay", "flights_cnt")
 
 
@@ -119,22 +122,33 @@ def cancel_weather_region_month(flights: DataFrame, airports: DataFrame, weather
     return finish(stats, CANCEL_WEATHER.grain, CANCEL_WEATHER.measures)
 
 
-def aircraft_age_bucket_carrier_year(flights: DataFrame, aircraft: DataFrame | None, keep_unknown_year: bool = False) -> DataFrame | None:
+def aircraft_age_bucket_carrier_year(
+    flights: DataFrame,
+    aircraft: DataFrame | None,
+    keep_unknown_year: bool = False,
+    max_broadcast_aircraft: int = MAX_BROADCAST_AIRCRAFT,
+) -> DataFrame | None:
     """Delays per year, aircraft age bucket and carrier; None if there is no aircraft table.
 
-    Flights are aggregated per carrier, year and tail before the join: a placeholder
-    tail number on very many flights is one row per carrier and year by then.
+    A registry of ordinary size (it is counted) is broadcast, and flights are aggregated
+    straight to the few result rows. A larger one is joined to flights aggregated per
+    carrier, year and tail: a placeholder tail number on very many flights is one row per
+    carrier and year by then.
     """
     if aircraft is None:
         return None
     require_columns(aircraft, ["TailNum", "YearManufactured"], "aircraft_dim")
-    keyed = present(with_view_keys(flights), CARRIER, TAIL)
-    stats = collect_stats(keyed.withColumnRenamed(PERIOD[0], "flight_year"), [CARRIER, "flight_year", TAIL])
     built = aircraft.select(F.col("TailNum").alias(TAIL), F.col("YearManufactured").cast("int").alias("_built"))
     built = present(built, TAIL) if keep_unknown_year else present(built, TAIL, "_built")
-    age = F.col("flight_year") - F.col("_built")
-    aged = stats.join(built, TAIL, "inner").withColumn("aircraft_age_bucket", bucket(age, AGE_BUCKETS, AGE_UNKNOWN))
-    return finish(merge_stats(aged, AIRCRAFT_AGE.grain), AIRCRAFT_AGE.grain, AIRCRAFT_AGE.measures)
+    keyed = present(with_view_keys(flights), CARRIER, TAIL).withColumnRenamed(PERIOD[0], "flight_year")
+    age = bucket(F.col("flight_year") - F.col("_built"), AGE_BUCKETS, AGE_UNKNOWN)
+    if fits(aircraft, max_broadcast_aircraft):
+        aged = keyed.join(F.broadcast(built), TAIL).withColumn("aircraft_age_bucket", age)
+        stats = collect_stats(aged, AIRCRAFT_AGE.grain)
+    else:
+        per_tail = collect_stats(keyed, [CARRIER, "flight_year", TAIL])
+        stats = merge_stats(per_tail.join(built, TAIL).withColumn("aircraft_age_bucket", age), AIRCRAFT_AGE.grain)
+    return finish(stats, AIRCRAFT_AGE.grain, AIRCRAFT_AGE.measures)
 
 
 def build_views(

@@ -5,6 +5,8 @@ Each writes the whole derived table into the session's shared scratch folder.
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import functions as F
 
 from flightlens import schemas
@@ -31,16 +33,15 @@ def months_of(df):
 
 def bronze_flights(t) -> str:
     """Raw flights as one ``YYYY_M_aotd.parquet`` folder per month."""
-    path = scratch_dir(t.spark, f"bronze-flights-{abs(hash(t.sf_dir))}")
+    path = fresh(t, "bronze-flights")
     named = t.flights.withColumn("file", F.concat_ws("_", "YEAR", "MONTH", F.lit("aotd.parquet")))
     named.hint("rebalance", "file").write.mode("overwrite").partitionBy("file").parquet(path)
     return path
 
 
-def emptied(t, name: str) -> str:
+def fresh(t, name: str) -> str:
     """A new path under the scratch folder on every call."""
-    emptied.calls = getattr(emptied, "calls", 0) + 1
-    return scratch_dir(t.spark, f"{name}-{emptied.calls}")
+    return scratch_dir(t.spark, f"{name}-{uuid.uuid4().hex}")
 
 
 def storm_reports(t):
@@ -63,9 +64,9 @@ def storm_reports(t):
 )
 def bronze_month_split(t):
     """Storm CSV → typed scan → one partition per month → audit."""
-    csv = emptied(t, "storm-csv")
+    csv = fresh(t, "storm-csv")
     storm_reports(t).write.mode("overwrite").option("header", True).csv(csv)
-    return loads.load_storm_bronze(t.spark, csv, emptied(t, "storm-bronze"))
+    return loads.load_storm_bronze(t.spark, csv, fresh(t, "storm-bronze"))
 
 
 @query(
@@ -74,7 +75,7 @@ def bronze_month_split(t):
     "fx_weather",
 )
 def storm_csv_scan(t):
-    csv = emptied(t, "storm-csv")
+    csv = fresh(t, "storm-csv")
     storm_reports(t).write.mode("overwrite").option("header", True).csv(csv)
     return scan.storm_csv(t.spark, csv).select(*t.weather.columns)
 
@@ -86,7 +87,7 @@ def storm_csv_scan(t):
 )
 def registry_csv_load(t):
     """Registry CSV → decoded, cleaned, dated copies → newest copy."""
-    csv, bronze = emptied(t, "registry-csv"), emptied(t, "registry-bronze")
+    csv, bronze = fresh(t, "registry-csv"), fresh(t, "registry-bronze")
     raw = t.aircraft.toDF("N-NUMBER", "MFR", "MODEL", "TYPE AIRCRAFT", "TYPE ENGINE", "YEAR MFR")
     raw.write.mode("overwrite").options(header=True, quote='"', escape="\\").csv(csv)
     loads.load_registry_bronze(t.spark, csv, bronze, "2024-05-01")
@@ -107,7 +108,7 @@ def registry_csv_load(t):
 )
 def registry_csv_inferred(t):
     """Registry CSV with inferred column types."""
-    csv = emptied(t, "registry-csv")
+    csv = fresh(t, "registry-csv")
     t.aircraft.write.options(header=True, quote='"', escape="\\").csv(csv)
     return scan.registry_csv(t.spark, csv).select("N_NUMBER", "MODEL", "TYPE_AIRCRAFT")
 
@@ -117,7 +118,7 @@ def registry_csv_inferred(t):
     "fx_aircraft",
 )
 def snapshot_latest(t):
-    path = emptied(t, "snapshots")
+    path = fresh(t, "snapshots")
     rows = t.aircraft.select("N_NUMBER", "MODEL")
     sink.write_dated_snapshot(rows.withColumn("MODEL", F.lit("old")), path, "2024-05-01")
     sink.write_dated_snapshot(rows, path, "2024-06-01")
@@ -130,7 +131,7 @@ def snapshot_latest(t):
     "fx_airports",
 )
 def parquet_physical_schema(t):
-    path = emptied(t, "weather-keys")
+    path = fresh(t, "weather-keys")
     t.airports.select(
         "AIRPORT_ID",
         F.expr("CASE WHEN AIRPORT_ID % 2 = 0 THEN 'Hail' ELSE 'Tornado' END").alias("EVENT_TYPE"),
@@ -148,7 +149,7 @@ def parquet_physical_schema(t):
     "fx_airport_codes",
 )
 def parquet_merged_schema(t):
-    path = emptied(t, "merged")
+    path = fresh(t, "merged")
     t.airports.select("AIRPORT_ID", "LATITUDE").write.parquet(f"{path}/part=1")
     t.airport_codes.write.parquet(f"{path}/part=2")
     return scan.parquet(t.spark, path, merge=True).select("AIRPORT_ID", "LATITUDE", "AIRPORT")
@@ -183,7 +184,7 @@ def partitions_pending(t):
 @query("SELECT * FROM months_of_flights", "months_of_flights")
 def flights_incremental(t):
     """One month on request, then all pending ones, then nothing left to do."""
-    bronze, silver = bronze_flights(t), emptied(t, "silver-flights")
+    bronze, silver = bronze_flights(t), fresh(t, "silver-flights")
     first = loads.refresh_flights(t.spark, bronze, silver, only=[(1998, 1), (2050, 1)])
     rest = loads.refresh_flights(t.spark, bronze, silver)
     again = loads.refresh_flights(t.spark, bronze, silver)
@@ -194,7 +195,7 @@ def flights_incremental(t):
 
 @query("SELECT * FROM months_of_flights WHERE year_partition = 1997", "months_of_flights")
 def partition_pruned_scan(t):
-    silver = emptied(t, "pruned-flights")
+    silver = fresh(t, "pruned-flights")
     sink.overwrite_periods(facts(t), silver, rebalance=True)
     return months_of(scan.parquet(t.spark, silver).filter("year_partition = 1997"))
 
@@ -205,7 +206,7 @@ def partition_pruned_scan(t):
 )
 def external_table_partitions(t):
     """External partitioned table over written files: partitions found by repair."""
-    silver = emptied(t, "table-flights")
+    silver = fresh(t, "table-flights")
     sink.overwrite_periods(facts(t), silver, rebalance=True)
     catalog.create_database(t.spark, "flightlens_check")
     name = catalog.create_silver(t.spark, "flight_facts", silver, "flightlens_check", replace=True)
@@ -218,14 +219,14 @@ def external_table_partitions(t):
 def saved_view_table(t):
     catalog.create_database(t.spark, "flightlens_check")
     name = "flightlens_check.delay_carrier_month"
-    sink.save_table(views.delay_carrier_month(facts(t)), name, emptied(t, "table-carrier"))
+    sink.save_table(views.delay_carrier_month(facts(t)), name, fresh(t, "table-carrier"))
     return t.spark.table(name)
 
 
 @query("SELECT * FROM airports", "airports")
 def dimension_incremental(t):
     """Part of the airports stored first; the refresh adds the others and changes nothing."""
-    path = emptied(t, "silver-airports")
+    path = fresh(t, "silver-airports")
     airports = airports_of(t.airports)
     known = airports.join(t.airport_codes, F.col("AirportID") == F.col("AIRPORT_ID"), "left_semi")
     loads.refresh_dimension(known, None, path, "AirportID")
@@ -239,7 +240,7 @@ def dimension_incremental(t):
     "fx_airports",
 )
 def airport_reference_scan(t):
-    path = emptied(t, "bronze-airports")
+    path = fresh(t, "bronze-airports")
     t.airports.write.parquet(f"{path}/L_AIRPORT_ID.parquet")
     t.airports.write.parquet(f"{path}/other.parquet")
     rows = scan.airport_reference(t.spark, path, country="Canada")
@@ -248,7 +249,7 @@ def airport_reference_scan(t):
 
 @query("SELECT AIRPORT_ID, AIRPORT FROM fx_airport_codes", "fx_airport_codes")
 def code_csv_scan(t):
-    path = emptied(t, "codes-csv")
+    path = fresh(t, "codes-csv")
     t.airport_codes.write.option("header", True).csv(path)
     return scan.code_csv(t.spark, path)
 
@@ -256,6 +257,6 @@ def code_csv_scan(t):
 @query(series_sql("delay_airport", f"DepartureAirportID = '{AIRPORT}'", DELAY_CELLS), "delay_airport")
 def kv_store_lookup(t):
     """Keyed rows written in key order, read back by key."""
-    path = emptied(t, "kv-delay")
+    path = fresh(t, "kv-delay")
     sink.write_keyed(delays(t), path)
     return serving.month_series(scan.parquet(t.spark, path), AIRPORT, YEAR, *MONTHS, DELAY_CELLS)

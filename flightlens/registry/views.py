@@ -4,12 +4,16 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from flightlens.functions.times import month_of
+from flightlens.operators.combine import union_all
 from flightlens.plans import views
 from flightlens.plans.dimensions import aircraft_dim, airport_dim
 from flightlens.plans.flights import flight_facts
+from flightlens.plans.storms import aligned_storms, storms_near_airports
+from flightlens.registry import storms  # noqa: F401 - the SQL below builds on its parts
 from flightlens.registry.query import part, query
-from flightlens.registry.storms import near
 from flightlens.schemas import PERIOD
+from flightlens.session import materialize
 
 DELAYS = "avg(DepartureDelay) AS avg_dep_delay, avg(ArrivalDelay) AS avg_arr_delay, count(*) AS flights_cnt"
 MONTH = "year_partition, month_partition"
@@ -81,13 +85,9 @@ part("aircraft_age", ("facts", "aircraft"), aged("AND a.YearManufactured IS NOT
 
 def weather(t):
     """Storm events near airports, in the month the storm begins."""
-    raw = t.weather.withColumns(
-        {
-            PERIOD[0]: F.expr("BEGIN_YEARMONTH div 100").cast("int"),
-            PERIOD[1]: (F.col("BEGIN_YEARMONTH") % 100).cast("int"),
-        }
-    )
-    return near(type("Months", (), {"weather": raw, "airports": t.airports}))
+    year = F.expr("BEGIN_YEARMONTH div 100").cast("int")
+    months = dict(zip(PERIOD, (year, month_of(F.col("BEGIN_YEARMONTH"))), strict=True))
+    return storms_near_airports(aligned_storms(t.weather.withColumns(months)), t.airports)
 
 
 def facts(t):
@@ -161,6 +161,12 @@ def aircraft_age_view(t):
     return views.aircraft_age_bucket_carrier_year(facts(t), aircraft_dim(t.aircraft))
 
 
+@query("SELECT * FROM aircraft_age", "aircraft_age")
+def aircraft_age_large_registry(t):
+    """The plan for a registry too large to broadcast: same rows."""
+    return views.aircraft_age_bucket_carrier_year(facts(t), aircraft_dim(t.aircraft), max_broadcast_aircraft=0)
+
+
 @query(aged(""), "facts", "aircraft")
 def aircraft_age_keep_unknown(t):
     """Aircraft without a manufacture year stay, in the bucket ``unknown``."""
@@ -183,9 +189,6 @@ def aircraft_age_keep_unknown(t):
 )
 def all_views_from_shared_stats(t):
     """Every view built together from stored statistics, summarised."""
-    from flightlens.operators.combine import union_all
-    from flightlens.session import materialize
-
     built = views.build_views(
         facts(t), airport_dim(t.airports), weather(t), aircraft_dim(t.aircraft), shared=materialize
     )

@@ -81,6 +81,8 @@ def test_aircraft_ages(rows):
     assert {(r.aircraft_age_bucket, r.flights_cnt) for r in out.collect()} == {
         ("0-5", 2), ("6-10", 2), ("11-20", 2), (">20", 1), ("unknown", 1),
     }
+    shuffled = views.aircraft_age_bucket_carrier_year(flights, aircraft, max_broadcast_aircraft=0)
+    assert values(shuffled) == values(out)
     kept = views.aircraft_age_bucket_carrier_year(flights, aircraft, keep_unknown_year=True)
     assert {(r.aircraft_age_bucket, r.flights_cnt) for r in kept.collect()} >= {("unknown", 2)}
 
