@@ -10,6 +10,7 @@ import uuid
 from pyspark.sql import functions as F
 
 from flightlens import schemas
+from flightlens.functions.keys import plain_cells
 from flightlens.operators.combine import missing_rows
 from flightlens.plans import loads, serving, views
 from flightlens.plans.dimensions import airport_dim as airports_of
@@ -260,3 +261,29 @@ def kv_store_lookup(t):
     path = fresh(t, "kv-delay")
     sink.write_keyed(delays(t), path)
     return serving.month_series(scan.parquet(t.spark, path), AIRPORT, YEAR, *MONTHS, DELAY_CELLS)
+
+
+@query(series_sql("delay_airport", f"DepartureAirportID = '{AIRPORT}'", DELAY_CELLS), "delay_airport")
+def kv_exported_lookup(t):
+    """Rows as a key-value store exports them (``m:name`` → bytes), decoded and looked up."""
+    exported = F.transform_values("cells", lambda _, v: F.encode(v, "UTF-8"))
+    exported = F.transform_keys(exported, lambda k, _: F.encode(F.concat(F.lit("m:"), k), "UTF-8"))
+    rows = delays(t).select("rowkey", exported.alias("cells")).select("rowkey", plain_cells(F.col("cells")).alias("cells"))
+    return serving.month_series(rows, AIRPORT, YEAR, *MONTHS, DELAY_CELLS)
+
+
+@query(
+    """SELECT CAST(BEGIN_YEARMONTH // 100 AS INT) AS year_partition, CAST(BEGIN_YEARMONTH % 100 AS INT) AS month_partition,
+ count(*) AS n, count(DISTINCT AIRPORT_ID) AS airports FROM events_near e JOIN fx_weather w ON e.ORIGINAL_INDEX = w.EVENT_ID
+ GROUP BY ALL""",
+    "events_near",
+    "fx_weather",
+)
+def weather_incremental(t):
+    """Storms stored per month; one month matched on request, the others as pending."""
+    bronze, silver = fresh(t, "storm-bronze"), fresh(t, "silver-weather")
+    sink.split_by_month(t.weather.withColumn("YEAR", F.expr("BEGIN_YEARMONTH div 100")), bronze, "YEAR", "BEGIN_YEARMONTH")
+    loads.refresh_weather(t.spark, bronze, t.airports, silver, only=[(1998, 1)])
+    loads.refresh_weather(t.spark, bronze, t.airports, silver)
+    stored = scan.parquet(t.spark, silver)
+    return stored.groupBy(*PERIOD).agg(F.count("*").alias("n"), F.count_distinct("AIRPORT_ID").alias("airports"))

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import tempfile
+import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -50,11 +51,11 @@ def scratch_dir(spark: SparkSession, name: str) -> str:
 
 
 def materialize(df: DataFrame, name: str) -> DataFrame:
-    """Write ``df`` once as Parquet in the shared folder and read it back.
+    """Write ``df`` once as Parquet in the shared folder, under a path of its own, and read it back.
 
     Used where several results share one aggregate: the lineage is cut, and a lost
     executor costs a re-read of the written files rather than a second scan.
     """
-    path = scratch_dir(df.sparkSession, name)
-    df.write.mode("overwrite").option("partitionOverwriteMode", "static").parquet(path)
+    path = scratch_dir(df.sparkSession, f"{name}-{uuid.uuid4().hex}")
+    df.write.parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
