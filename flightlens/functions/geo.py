@@ -33,9 +33,18 @@ def band(lat: Column, radius_km: float) -> Column:
     return F.floor(lat / band_height(radius_km)).cast("int")
 
 
-def cell(lon: Column) -> Column:
-    """One-degree longitude cell, 0-359, so that the antimeridian joins up."""
-    return F.pmod(F.floor(lon), F.lit(360)).cast("int")
+def cell_count(radius_km: float) -> int:
+    """Number of longitude cells around the globe; each is about two radii wide at the equator."""
+    return max(1, int(180 / band_height(radius_km)))
+
+
+def _cell_at(lon: Column, radius_km: float) -> Column:
+    return F.floor(lon / (360 / cell_count(radius_km))).cast("int")
+
+
+def cell(lon: Column, radius_km: float) -> Column:
+    """Longitude cell, counted modulo the number of cells so that the antimeridian joins up."""
+    return F.pmod(_cell_at(lon, radius_km), F.lit(cell_count(radius_km)))
 
 
 def bands_within(lat: Column, radius_km: float) -> Column:
@@ -55,5 +64,5 @@ def cells_within(lat: Column, lon: Column, radius_km: float) -> Column:
     half = F.when(polar, 180.0).otherwise(
         F.degrees(F.asin(F.least(F.lit(1.0), F.lit(reach) / F.cos(F.radians(lat))))) + 1e-9
     )
-    span = F.sequence(F.floor(lon - half).cast("int"), F.floor(lon + half).cast("int"))
-    return F.array_distinct(F.transform(span, lambda c: F.pmod(c, F.lit(360))))
+    span = F.sequence(_cell_at(lon - half, radius_km), _cell_at(lon + half, radius_km))
+    return F.array_distinct(F.transform(span, lambda c: F.pmod(c, F.lit(cell_count(radius_km)))))

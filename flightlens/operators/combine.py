@@ -29,12 +29,12 @@ def one_per_key(df: DataFrame, key: str, prefer: Sequence[str] = ()) -> DataFram
 
 def new_keys_only(incoming: DataFrame, existing: DataFrame, key: str) -> DataFrame:
     """Rows whose key is present and not among the existing ones."""
-    return incoming.filter(F.col(key).isNotNull()).join(existing.select(key).distinct(), key, "left_anti")
+    return incoming.filter(F.col(key).isNotNull()).join(existing.select(key), key, "left_anti")
 
 
 def missing_rows(wanted: DataFrame, present: DataFrame, on: Sequence[str]) -> DataFrame:
     """Distinct ``on`` values of ``wanted`` that ``present`` lacks."""
-    return wanted.select(*on).distinct().join(present.select(*on).distinct(), list(on), "left_anti")
+    return wanted.select(*on).distinct().join(present.select(*on), list(on), "left_anti")
 
 
 def fits(df: DataFrame, max_rows: int) -> bool:
@@ -48,7 +48,9 @@ def only_matching(df: DataFrame, keep: DataFrame, on: str) -> DataFrame:
 
 
 def label(df: DataFrame, key: str, codes: DataFrame, code_key: str, code_name: str, as_: str) -> DataFrame:
-    """Add the code's name; where the lookup has none, the key itself as text."""
+    """Add the code's name; where the lookup has none, the key itself as text. A code listed
+    twice gives one row all the same."""
     lookup = codes.select(F.col(code_key).cast("string").alias("_code"), F.col(code_name).alias("_name"))
+    lookup = one_per_key(lookup, "_code")
     joined = df.join(lookup, df[key].cast("string") == F.col("_code"), "left")
     return joined.withColumn(as_, F.coalesce("_name", F.col(key).cast("string"))).drop("_code", "_name")

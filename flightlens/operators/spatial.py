@@ -2,8 +2,8 @@
 
 Points fall in one latitude band and one longitude cell. Each site is listed under
 every (band, cell) its circle can touch. A pair within the radius therefore meets in
-exactly one grid square; an exact distance test removes the rest. Candidates grow with
-local density, not with points x sites.
+exactly one grid square; an exact distance test removes the rest. Squares scale with the
+radius, so candidates stay within a small factor of the result, however crowded a place is.
 """
 
 from __future__ import annotations
@@ -41,7 +41,7 @@ def within_radius(
     """
     (plat, plon), (slat, slon) = point, site
     keys = ["_band", "_cell"]
-    left = points.withColumns({"_band": band(F.col(plat), radius_km), "_cell": cell(F.col(plon))})
+    left = points.withColumns({"_band": band(F.col(plat), radius_km), "_cell": cell(F.col(plon), radius_km)})
     right = sites.withColumn("_band", F.explode(bands_within(F.col(slat), radius_km))).withColumn(
         "_cell", F.explode(cells_within(F.col(slat), F.col(slon), radius_km))
     )

@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from flightlens.operators.checks import clean_names
-from flightlens.operators.combine import missing_rows
+from flightlens.operators.combine import missing_rows, union_all
 from flightlens.plans.dimensions import airport_dim, aircraft_dim, decoded_registry, refresh_dimension
 from flightlens.plans.flights import flight_facts
 from flightlens.plans.serving import keyed_view
@@ -51,21 +51,44 @@ def choose_periods(
     return sorted(map(tuple, todo.collect()))
 
 
-def refresh_flights(spark: SparkSession, bronze: str, silver: str, *, only=None, full: bool = False) -> list[tuple[int, int]]:
+def refresh_flights(
+    spark: SparkSession, bronze: str, silver: str, *, only=None, full: bool = False, types_differ: bool = False
+) -> list[tuple[int, int]]:
     """Process new, listed or all months of raw flights; returns the months processed.
 
     One plan for all months, without a shuffle. The stored month is that of the file.
+    With ``types_differ`` every month is read with its own types before the months are
+    put together, for raw files in which a column is text in one month and a number in
+    another; otherwise one scan with one set of types reads them all.
     """
     found = scan.bronze_periods(spark, bronze, scan.FLIGHT_FILES)
     todo = choose_periods(found, scan.stored_periods(spark, silver), only=only, full=full)
     if todo:
-        raw = scan.read_periods(spark, bronze, scan.FLIGHT_FILES, todo)
-        facts = flight_facts(raw, keep=[F.col(p).alias(f"_file_{p}") for p in PERIOD])
-        by_file = facts.drop(*PERIOD).withColumnsRenamed({f"_file_{p}": p for p in PERIOD})
-        sink.overwrite_periods(by_file, silver)
+        if types_differ:
+            facts = union_all(_month_by_month(spark, bronze, todo))
+        else:
+            facts = _facts_of_file_month(scan.read_periods(spark, bronze, scan.FLIGHT_FILES, todo))
+        sink.overwrite_periods(facts, silver)
     return todo
 
 
+def _facts_of_file_month(raw: DataFrame) -> DataFrame:
+    """Facts in the month of their file, whatever the record itself says."""
+    facts = flight_facts(raw, keep=[F.col(p).alias(f"_file_{p}") for p in PERIOD])
+    return facts.drop(*PERIOD).withColumnsRenamed({f"_file_{p}": p for p in PERIOD})
+
+
+def _month_by_month(spark: SparkSession, bronze: str, todo: list[tuple[int, int]]) -> list[DataFrame]:
+    wanted = set(todo)
+    rows = scan.month_folders(spark, bronze, scan.FLIGHT_FILES).collect()  # one per month
+    frames = []
+    for year, month, path in sorted(map(tuple, rows)):
+        if (year, month) in wanted:
+            period = {PERIOD[0]: F.lit(year), PERIOD[1]: F.lit(month)}
+            frames.append(_facts_of_file_month(scan.parquet(spark, path).withColumns(period)))
+    return frames
+
+
 def refresh_weather(
     spark: SparkSession,
     bronze: str,

@@ -105,6 +105,14 @@ def read_periods(spark: SparkSession, path: str, pattern: str, periods: Iterable
     return rows.filter(month.isin(wanted)).withColumns(_period(month))
 
 
+def month_folders(spark: SparkSession, path: str, pattern: str) -> DataFrame:
+    """(year, month, path) of every monthly file, or folder of part files."""
+    month = _month_text(F.col("path"), pattern)
+    root = F.concat(F.substring_index("path", ".parquet", 1), F.lit(".parquet"))
+    columns = [c.alias(n) for n, c in _period(month).items()]
+    return list_files(spark, path).select(*columns, root.alias("path")).dropna().distinct()
+
+
 def read_named(spark: SparkSession, path: str, pattern: str, schema: str | None = None, merge: bool = False) -> DataFrame:
     """Rows of every file whose name matches: a union of many files by column name."""
     reader = spark.read.options(recursiveFileLookup=True, mergeSchema=merge)

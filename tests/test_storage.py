@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 from flightlens import fixtures
 from flightlens.plans import loads
 from flightlens.plans.dimensions import aircraft_dim
+from flightlens.plans.flights import flight_facts
 from flightlens.plans.views import VIEWS
 from flightlens.sources import catalog, scan, sink
 
@@ -199,6 +200,17 @@ def test_whole_pipeline(spark, tmp_path):
         loads.serve(spark, at("kv2"), silver="nowhere")
 
 
+def test_months_with_different_types(spark, tmp_path):
+    raw = fixtures.load(spark, SF, "fx_flights").filter("YEAR = 1998 AND MONTH IN (1, 2)").drop("FLIGHT_KEY")
+    bronze, silver = str(tmp_path / "raw"), str(tmp_path / "silver")
+    raw.filter("MONTH = 1").write.parquet(f"{bronze}/1998_1_aotd.parquet")
+    text = raw.filter("MONTH = 2").select(*[F.col(c).cast("string").alias(c) for c in raw.columns])
+    text.write.parquet(f"{bronze}/1998_02_aotd.parquet")
+    assert loads.refresh_flights(spark, bronze, silver, types_differ=True) == [(1998, 1), (1998, 2)]
+    expected = flight_facts(raw).drop("FactID")
+    assert values(scan.parquet(spark, silver).select(*expected.columns)) == values(expected)
+
+
 def test_weather_from_named_files(spark, tmp_path):
     raw = fixtures.load(spark, SF, "fx_weather").filter("BEGIN_YEARMONTH IN (199805, 199910)")
     for month in (199805, 199910):

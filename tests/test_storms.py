@@ -82,7 +82,7 @@ def points(n, seed):
     return spots + near + polar + crowd + anywhere
 
 
-@pytest.mark.parametrize("radius", [5, 50, 400])
+@pytest.mark.parametrize("radius", [5, 50, 400, 9000])
 @pytest.mark.parametrize("options", [{}, {"max_broadcast_sites": 0}, {"max_broadcast_sites": 0, "salts": 1}])
 def test_pairs_equal_brute_force(rows, radius, options):
     left, right = points(240, 1), points(120, 2)
@@ -102,7 +102,7 @@ def test_pairs_equal_brute_force(rows, radius, options):
     edge = {pair for pair, d in distances.items() if abs(d - radius) < 1e-6}
     assert len(got) == len(set(got))
     assert clear <= set(got) <= clear | edge
-    assert len(clear) > 500
+    assert len(clear) > 100
 
 
 def test_distance_limit_and_missing_coordinates(rows):
