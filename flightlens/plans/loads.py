@@ -18,6 +18,8 @@ from flightlens.schemas import AIRCRAFT_DIM, AIRPORT_DIM, PERIOD
 from flightlens.session import materialize
 from flightlens.sources import catalog, scan, sink
 
+MONTHS_PER_JOB = 24
+
 
 def load_storm_bronze(spark: SparkSession, csv_path: str, bronze: str) -> DataFrame:
     """Storm CSV files → one partition per month; returns the audit of the write."""
@@ -56,19 +58,26 @@ def refresh_flights(
 ) -> list[tuple[int, int]]:
     """Process new, listed or all months of raw flights; returns the months processed.
 
-    One plan for all months, without a shuffle. The stored month is that of the file.
-    With ``types_differ`` every month is read with its own types before the months are
-    put together, for raw files in which a column is text in one month and a number in
-    another; otherwise one scan with one set of types reads them all.
+    One plan for all months, without a shuffle: files are projected and written under the
+    month of the file. ``types_differ`` is for raw files in which a column is text in one
+    month and a number in another: each is read with its own types, a batch of months per
+    job.
     """
-    found = scan.bronze_periods(spark, bronze, scan.FLIGHT_FILES)
-    todo = choose_periods(found, scan.stored_periods(spark, silver), only=only, full=full)
-    if todo:
-        if types_differ:
-            facts = union_all(_month_by_month(spark, bronze, todo))
-        else:
-            facts = _facts_of_file_month(scan.read_periods(spark, bronze, scan.FLIGHT_FILES, todo))
-        sink.overwrite_periods(facts, silver)
+    paths = scan.month_paths(spark, bronze, scan.FLIGHT_FILES)
+    todo = choose_periods(paths, scan.stored_periods(spark, silver), only=only, full=full)
+    wanted = set(todo)
+    found = sorted(r for r in map(tuple, paths.collect()) if r[:2] in wanted)  # one per calendar month
+    months = [r[:3] for r in found]
+    if months and types_differ:
+        for start in range(0, len(todo), MONTHS_PER_JOB):
+            batch = set(todo[start : start + MONTHS_PER_JOB])
+            frames = scan.read_months(spark, [m for m in months if m[:2] in batch])
+            sink.overwrite_periods(union_all([_facts_of_file_month(raw) for raw in frames]), silver)
+    elif months and all(r[3] for r in found) and len(months) == len(todo):
+        with scan.months_as_table(spark, bronze, months) as raw:
+            sink.overwrite_periods(_facts_of_file_month(raw), silver)
+    elif months:
+        sink.overwrite_periods(_facts_of_file_month(scan.read_periods(spark, bronze, scan.FLIGHT_FILES, todo)), silver)
     return todo
 
 
@@ -78,17 +87,6 @@ def _facts_of_file_month(raw: DataFrame) -> DataFrame:
     return facts.drop(*PERIOD).withColumnsRenamed({f"_file_{p}": p for p in PERIOD})
 
 
-def _month_by_month(spark: SparkSession, bronze: str, todo: list[tuple[int, int]]) -> list[DataFrame]:
-    wanted = set(todo)
-    rows = scan.month_folders(spark, bronze, scan.FLIGHT_FILES).collect()  # one per month
-    frames = []
-    for year, month, path in sorted(map(tuple, rows)):
-        if (year, month) in wanted:
-            period = {PERIOD[0]: F.lit(year), PERIOD[1]: F.lit(month)}
-            frames.append(_facts_of_file_month(scan.parquet(spark, path).withColumns(period)))
-    return frames
-
-
 def refresh_weather(
     spark: SparkSession,
     bronze: str,

@@ -22,6 +22,8 @@ def build_session(app_name: str = "flightlens", *, hive: bool = False, **conf: s
         .config("spark.sql.sources.partitionOverwriteMode", "dynamic")
         .config("spark.sql.adaptive.enabled", "true")
         .config("spark.sql.adaptive.skewJoin.enabled", "true")
+        # A task that writes few months keeps their files open instead of sorting its rows.
+        .config("spark.sql.maxConcurrentOutputFileWriters", "4")
     )
     for key, value in conf.items():
         builder = builder.config(key.replace("__", "."), value)

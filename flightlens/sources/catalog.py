@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterable
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -17,6 +19,11 @@ SILVER_TABLES = {
 }
 
 
+def _text(value: str) -> str:
+    """SQL text literal."""
+    return "'" + value.replace("\\", "\\\\").replace("'", "\\'") + "'"
+
+
 def create_database(spark: SparkSession, name: str) -> None:
     spark.sql(f"CREATE DATABASE IF NOT EXISTS {name}")
 
@@ -28,7 +35,16 @@ def create_external(spark: SparkSession, name: str, columns: str, path: str, *,
     period = ", ".join(f"{c} INT" for c in PERIOD)
     body = f"{columns}, {period}" if monthly else columns
     partitioned = f"PARTITIONED BY ({', '.join(PERIOD)})" if monthly else ""
-    spark.sql(f"CREATE TABLE IF NOT EXISTS {name} ({body}) USING parquet {partitioned} LOCATION '{path}'")
+    spark.sql(f"CREATE TABLE IF NOT EXISTS {name} ({body}) USING parquet {partitioned} LOCATION {_text(path)}")
+
+
+def add_months(spark: SparkSession, name: str, months: Iterable[tuple[int, int, str]]) -> None:
+    """Partitions of a monthly table at given places."""
+    specs = [
+        f"PARTITION ({PERIOD[0]}={year}, {PERIOD[1]}={month}) LOCATION {_text(path)}"
+        for year, month, path in months
+    ]
+    spark.sql(f"ALTER TABLE {name} ADD {' '.join(specs)}")
 
 
 def create_silver(spark: SparkSession, table: str, path: str, database: str = "silver", *, replace: bool = False) -> str:

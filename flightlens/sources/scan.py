@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterable, Sequence
+import uuid
+from collections.abc import Iterable, Iterator, Sequence
+from contextlib import contextmanager
 
 from pyspark.errors import AnalysisException
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -11,6 +13,7 @@ from pyspark.sql import functions as F
 from flightlens import schemas
 from flightlens.operators.combine import one_per_key
 from flightlens.schemas import PERIOD
+from flightlens.sources import catalog
 
 # Patterns of bronze file names without ``.parquet``; the group is the
 # month as ``YYYY_M`` or the date.
@@ -96,7 +99,9 @@ def read_periods(spark: SparkSession, path: str, pattern: str, periods: Iterable
     """Rows of the files of the given months, with the month taken from the file name.
 
     The filter reads only the file path, so Spark drops the other files from the scan
-    before opening them. The list has at most two spellings per calendar month.
+    before opening them. The list has at most two spellings per calendar month. Parsing
+    the name costs a microsecond or two per row, which ``months_as_table`` avoids where
+    every month is a folder of part files.
     """
     reader = spark.read.option("recursiveFileLookup", True)
     rows = (reader.schema(schema) if schema else reader).parquet(path)
@@ -105,12 +110,39 @@ def read_periods(spark: SparkSession, path: str, pattern: str, periods: Iterable
     return rows.filter(month.isin(wanted)).withColumns(_period(month))
 
 
-def month_folders(spark: SparkSession, path: str, pattern: str) -> DataFrame:
-    """(year, month, path) of every monthly file, or folder of part files."""
+def month_paths(spark: SparkSession, path: str, pattern: str) -> DataFrame:
+    """(year, month, path, folder) of every monthly file, or folder of part files."""
     month = _month_text(F.col("path"), pattern)
     root = F.concat(F.substring_index("path", ".parquet", 1), F.lit(".parquet"))
     columns = [c.alias(n) for n, c in _period(month).items()]
-    return list_files(spark, path).select(*columns, root.alias("path")).dropna().distinct()
+    found = list_files(spark, path).select(*columns, root.alias("path"), (root != F.col("path")).alias("folder"))
+    return found.dropna().distinct()
+
+
+@contextmanager
+def months_as_table(spark: SparkSession, path: str, months: Sequence[tuple[int, int, str]]) -> Iterator[DataFrame]:
+    """Monthly folders as partitions of a table that exists inside the ``with`` block only.
+
+    The catalog maps each month to its folder, so the month is a partition column: constant
+    per file, pruned by the planner, free per row. The table is external; dropping it leaves
+    the files. Columns have the types of the first month. A plain file cannot be a partition.
+    """
+    columns = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in spark.read.parquet(months[0][2]).schema)
+    name = f"flightlens_months_{uuid.uuid4().hex}"
+    catalog.create_external(spark, name, columns, path, monthly=True)
+    try:
+        catalog.add_months(spark, name, months)
+        yield spark.table(name)
+    finally:
+        spark.sql(f"DROP TABLE IF EXISTS {name}")
+
+
+def read_months(spark: SparkSession, months: Sequence[tuple[int, int, str]]) -> list[DataFrame]:
+    """One frame per (year, month, path), each with the column types of its own file."""
+    return [
+        spark.read.parquet(path).withColumns({PERIOD[0]: F.lit(year), PERIOD[1]: F.lit(month)})
+        for year, month, path in months
+    ]
 
 
 def read_named(spark: SparkSession, path: str, pattern: str, schema: str | None = None, merge: bool = False) -> DataFrame:

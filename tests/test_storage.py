@@ -53,6 +53,35 @@ def test_only_the_wanted_files_are_opened(spark, bronze):
     assert files_read(scan.read_named(spark, bronze, "notes")) == 1
 
 
+def test_months_as_partitions(spark, tmp_path):
+    path = tmp_path / "it's raw"
+    for month in (1, 2):
+        spark.range(month).coalesce(1).write.parquet(f"{path}/2024_{month}_aotd.parquet")
+    months = sorted(tuple(r) for r in scan.month_paths(spark, str(path), scan.FLIGHT_FILES).collect())
+    assert all(folder for *_, folder in months)
+    before = {t.name for t in spark.catalog.listTables()}
+    with scan.months_as_table(spark, str(path), [m[:3] for m in months]) as raw:
+        assert values(raw.groupBy("year_partition", "month_partition").count()) == [(2024, 1, 1), (2024, 2, 2)]
+        assert files_read(raw.filter("month_partition = 2")) == 1
+    assert {t.name for t in spark.catalog.listTables()} == before
+
+
+@pytest.mark.parametrize("plain", [(), (2,), (1, 2)])
+def test_flights_in_folders_and_plain_files(spark, tmp_path, plain):
+    raw = fixtures.load(spark, SF, "fx_flights").filter("YEAR = 1998 AND MONTH IN (1, 2)")
+    bronze, silver = tmp_path / "raw", str(tmp_path / "silver")
+    for month in (1, 2):
+        folder = bronze / f"1998_{month}_aotd.parquet"
+        target = tmp_path / str(month) if month in plain else folder
+        raw.filter(F.col("MONTH") == month).withColumn("MONTH", F.lit(9)).coalesce(1).write.parquet(str(target))
+        if month in plain:
+            bronze.mkdir(exist_ok=True)
+            folder.write_bytes(next(target.glob("part-*.parquet")).read_bytes())
+    assert loads.refresh_flights(spark, str(bronze), silver) == [(1998, 1), (1998, 2)]
+    expected = flight_facts(raw).drop("FactID")  # the month of the file, not the record's 9
+    assert values(scan.parquet(spark, silver).select(*expected.columns)) == values(expected)
+
+
 @pytest.mark.parametrize(
     ("name", "pattern", "expected"),
     [
