@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from flightlens.llm import host_rules, line_dedup
+from flightlens.llm import host_rules, lattice_lm, line_dedup, pieces
 from flightlens.llm.common import NO_ID, table, text_of
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -32,6 +32,27 @@ UPPER_LOWER = "'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'"
 WHITE_SQL = "chr(32) || chr(9) || chr(10) || chr(11) || chr(12) || chr(13)"
 
 
+@query()
+def op2_sentencepiece(spark, sf_dir):
+    """Identifiers of every text, and whether they decode to it."""
+    df = pieces.encode(table(spark, sf_dir, "documents").select("doc_id", "text"))
+    df = pieces.decode(df).withColumn("exact", F.col("decoded").eqNullSafe(F.col("text")))
+    return df.select("doc_id", "piece_ids", F.size("piece_ids").cast("long").alias("n_pieces"), "exact")
+
+
+@query()
+def op3_token_counts(spark, sf_dir):
+    df = pieces.count_tokens(table(spark, sf_dir, "documents").select("doc_id", "text"))
+    return df.select("doc_id", F.length("text").cast("long").alias("n_chars"), "n_tokens", "token_score")
+
+
+@query()
+def op4_lattice_lm(spark, sf_dir):
+    scored = lattice_lm.score(table(spark, sf_dir, "documents"))
+    scored = scored.withColumn("copy", F.explode(F.sequence(F.lit(1), F.col("copies").cast("int"))))
+    return scored.select(doc_id(), "held_out", "n_tokens", "n_known", "train_tokens", "base_score", "score")
+
+
 @query(
     f"""
 WITH docs AS (SELECT doc_id, string_split(coalesce(text, ''), chr(10)) AS l FROM documents),
