@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from flightlens.llm import host_rules, lattice_lm, line_dedup, pieces
+from flightlens.llm import host_rules, language_id, lattice_lm, line_dedup, pieces, url_filters
 from flightlens.llm.common import NO_ID, table, text_of
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -74,3 +74,17 @@ def op5_line_dedup(spark, sf_dir):
 def op7_host_rules(spark, sf_dir):
     judged, _ = host_rules.judge(table(spark, sf_dir, "documents"))
     return judged.select(doc_id(), *host_rules.COUNTS, "base_failed", "kept")
+
+
+@query()
+def op9_link_graph(spark, sf_dir):
+    judged = url_filters.judge_urls(table(spark, sf_dir, "pages"))
+    return judged.select("page_id", "host", "path", "rule", "verdict")
+
+
+@query()
+def op10_language_mixture(spark, sf_dir):
+    docs = table(spark, sf_dir, "documents").withColumn("held_out", language_id.held_out())
+    model = language_id.learn(docs.where(~F.col("held_out")))
+    found = language_id.identify(docs.select("doc_id", "held_out", "text"), model)
+    return found.select("doc_id", "held_out", "mixture.lang_pred", "mixture.score")
