@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from flightlens.llm import host_rules, language_id, lattice_lm, line_dedup, pieces, url_filters
+from flightlens.llm import host_rules, language_id, lattice_lm, line_dedup, pieces, url_filters, warc
 from flightlens.llm.common import NO_ID, table, text_of
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -70,6 +70,30 @@ def op5_line_dedup(spark, sf_dir):
     return df.select("doc_id", "n_lines", "n_dropped", F.sha2(text_of(), 256).alias("kept_sha256"))
 
 
+@query(
+    """
+WITH p AS (SELECT page_id, coalesce(html, '') AS body, sha1(coalesce(html, '')) AS h FROM pages),
+digits AS (SELECT page_id, unnest(range(32)) AS i FROM p),
+chars AS (
+    SELECT page_id, i, (('0x' || substr(h, 5 * (i // 4) + 1, 5))::BIGINT >> (15 - 5 * (i % 4))) & 31 AS d
+    FROM digits JOIN p USING (page_id)
+),
+base32 AS (
+    SELECT page_id, string_agg(substr('ABCDEFGHIJKLMNOPQRSTUVWXYZ234567', (d + 1)::INTEGER, 1), '' ORDER BY i) AS digest
+    FROM chars GROUP BY page_id
+),
+largest AS (SELECT h, max(page_id) AS top FROM p GROUP BY h)
+SELECT page_id, strlen(body) AS payload_bytes, digest AS payload_digest,
+       CASE WHEN page_id = top THEN 'response' ELSE 'revisit' END AS record_type,
+       CASE WHEN page_id <> top THEN top END AS refers_to
+FROM p JOIN largest USING (h) JOIN base32 USING (page_id)
+"""
+)
+def op6_warc(spark, sf_dir):
+    index = warc.archive(table(spark, sf_dir, "pages"))
+    return index.select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
+
+
 @query()
 def op7_host_rules(spark, sf_dir):
     judged, _ = host_rules.judge(table(spark, sf_dir, "documents"))
