@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from flightlens.llm import host_rules, language_id, lattice_lm, line_dedup, pieces, url_filters, warc
+from flightlens.llm import fm_index, host_rules, language_id, lattice_lm, line_dedup, pieces, url_filters, warc
 from flightlens.llm.common import NO_ID, table, text_of
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -100,6 +100,40 @@ def op7_host_rules(spark, sf_dir):
     return judged.select(doc_id(), *host_rules.COUNTS, "base_failed", "kept")
 
 
+@query(
+    f"""
+WITH words AS (
+    SELECT 'd' AS kind, doc_id AS id, regexp_extract_all(translate(coalesce(text, ''), {UPPER_LOWER}), '[^\\x00-\\x2F\\x3A-\\x60\\x7B-\\x7F]+') AS w FROM documents
+    UNION ALL
+    SELECT 'b', item_id, regexp_extract_all(translate(coalesce(text, ''), {UPPER_LOWER}), '[^\\x00-\\x2F\\x3A-\\x60\\x7B-\\x7F]+') FROM benchmark
+),
+lengths AS (SELECT DISTINCT least(len(w), 13) AS n FROM words WHERE kind = 'b' AND len(w) > 0),
+phrases AS (
+    SELECT id AS item, n, array_to_string(w[i:i + n - 1], ' ') AS p
+    FROM (SELECT id, w, least(len(w), 13) AS n, unnest(range(1, len(w) - least(len(w), 13) + 2)) AS i FROM words WHERE kind = 'b' AND len(w) > 0)
+),
+places AS (
+    SELECT id AS doc, i, n, array_to_string(w[i:i + n - 1], ' ') AS p
+    FROM (SELECT id, w, n, unnest(range(1, len(w) - n + 2)) AS i FROM words, lengths WHERE kind = 'd' AND len(w) >= n)
+),
+met AS (SELECT doc, item, i, n FROM places JOIN phrases USING (n, p)),
+hit AS (SELECT doc, count(DISTINCT k) AS n_hit FROM (SELECT doc, unnest(range(i, i + n)) AS k FROM met) GROUP BY doc),
+items AS (
+    SELECT doc, count(*) AS n_items, string_agg(item, ',' ORDER BY item) AS names
+    FROM (SELECT DISTINCT doc, item::VARCHAR AS item FROM met) GROUP BY doc
+)
+SELECT id AS doc_id, len(w) AS n_words, coalesce(n_hit, 0) AS n_hit, coalesce(n_items, 0) AS n_items,
+       sha256(coalesce(names, '')) AS items_sha256, coalesce(n_hit, 0) > 0 AND 20 * coalesce(n_hit, 0) >= len(w) AS contaminated
+FROM words LEFT JOIN hit ON id = hit.doc LEFT JOIN items ON id = items.doc WHERE kind = 'd'
+"""
+)
+def op8_fm_index(spark, sf_dir):
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    found = fm_index.find(docs, table(spark, sf_dir, "benchmark")).select("doc_id", "hits.*")
+    names = F.sha2(F.array_join("items", ","), 256)
+    return found.select("doc_id", "n_words", "n_hit", F.size("items").cast("long").alias("n_items"), names.alias("items_sha256"), "contaminated")
+
+
 @query()
 def op9_link_graph(spark, sf_dir):
     judged = url_filters.judge_urls(table(spark, sf_dir, "pages"))
