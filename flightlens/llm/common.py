@@ -45,7 +45,15 @@ def prepare(spark: SparkSession) -> None:
 
 
 def lower_ascii(text: Column) -> Column:
-    return F.translate(text, UPPER, LOWER)
+    """A-Z in lower case. ``lower`` does it much faster where there is nothing but ASCII."""
+    return F.when(F.octet_length(text) == F.length(text), F.lower(text)).otherwise(F.translate(text, UPPER, LOWER))
+
+
+def without(text: Column, chars: str) -> Column:
+    """The text without some characters, each searched in one pass over the bytes."""
+    for char in chars:
+        text = F.replace(text, F.lit(char), F.lit(""))
+    return text
 
 
 def text_of(column: str = "text") -> Column:
@@ -54,7 +62,9 @@ def text_of(column: str = "text") -> Column:
 
 def words_of(text: Column) -> Column:
     """Words ``[^\\x20\\x09-\\x0D]+`` in order."""
-    return F.filter(F.split(F.translate(text, WHITE, " " * len(WHITE)), " "), lambda w: w != "")
+    for char in WHITE[1:]:
+        text = F.replace(text, F.lit(char), F.lit(" "))
+    return F.filter(F.split(text, " "), lambda w: w != "")
 
 
 def did(column: str = "doc_id") -> Column:

@@ -16,7 +16,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from flightlens.llm.common import WHITE, did, free_name, sig, text_of, words_of
+from flightlens.llm.common import WHITE, did, free_name, sig, text_of, without, words_of
 from flightlens.session import materialize
 
 SYMBOLS = "#*$%&|<>"
@@ -24,10 +24,6 @@ COUNTS = ["n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words"]
 RULES = ["short", "repeated", "symbols", "word_length", "dup_lines"]
 
 
-def without(text: Column, chars: str) -> Column:
-    return F.translate(text, chars, "")
-
-
 def repeat_words(df: DataFrame, text: Column, out: str) -> DataFrame:
     """Adds ``n_words`` and ``out``: the words that lie in a window of three words found twice or more.
 

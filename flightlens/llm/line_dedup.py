@@ -23,7 +23,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from flightlens.llm.common import LOWER, UPPER, WHITE, did, free_name, lower_ascii, prepare, sig, text_of
+from flightlens.llm.common import LOWER, UPPER, WHITE, did, free_name, lower_ascii, prepare, sig, text_of, without
 from flightlens.session import materialize
 
 MAX_FILTER_BITS = 2**30
@@ -32,7 +32,7 @@ PROBES = 4
 
 
 def n_lines(text: Column) -> Column:
-    return F.length(text) - F.length(F.translate(text, "\n", "")) + F.lit(1)
+    return F.length(text) - F.length(without(text, "\n")) + F.lit(1)
 
 
 def keys_of(text: Column, min_chars: int) -> Column:
