@@ -82,3 +82,9 @@ def free_name(df: DataFrame, name: str) -> str:
         k += 1
         free = f"{name}_{k}"
     return free
+
+
+def keyed(df: DataFrame) -> tuple[DataFrame, str, str]:
+    """``df`` with ``did`` and ``sig`` under names it does not have yet, and these names."""
+    d, s = free_name(df, "did"), free_name(df, "sig")
+    return df.withColumns({d: did(), s: sig()}), d, s

@@ -296,3 +296,9 @@ def find(docs: DataFrame, benchmark: DataFrame, *, window: int = WINDOW, part_ch
     n_hit = F.aggregate(F.zip_with(h["first"], h["last"], lambda a, b: b - a + 1), F.lit(0).cast("long"), lambda acc, x: acc + x)
     contaminated = (n_hit > 0) & (20 * n_hit >= h["n_words"])
     return docs.withColumn(name, F.struct(h["n_words"].alias("n_words"), spans.alias("spans"), h["items"].alias("items"), n_hit.alias("n_hit"), contaminated.alias("contaminated")))
+
+
+def keep(docs: DataFrame, benchmark: DataFrame, **settings) -> DataFrame:
+    """The rows of ``docs`` that are not contaminated, with their columns."""
+    found = find(docs, benchmark, **settings)
+    return found.where(~F.col(found.columns[-1])["contaminated"]).select(docs.columns)

@@ -16,7 +16,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from flightlens.llm.common import WHITE, did, free_name, sig, text_of, without, words_of
+from flightlens.llm.common import WHITE, did, free_name, keyed, sig, text_of, without, words_of
 from flightlens.session import materialize
 
 SYMBOLS = "#*$%&|<>"
@@ -119,3 +119,13 @@ def judge(docs: DataFrame, *, host_rate: float = 0.75) -> tuple[DataFrame, DataF
     judged = measured.join(hosts.select("host", "host_ok"), "host", "left")
     judged = judged.withColumn("base_failed", base).withColumn("kept", ~base & ~own & F.coalesce("host_ok", F.lit(True)))
     return judged, hosts
+
+
+def keep(docs: DataFrame, *, host_rate: float = 0.75) -> DataFrame:
+    """The rows of ``docs`` that ``judge`` keeps, with their columns."""
+    judged, _ = judge(docs, host_rate=host_rate)
+    rows, d, s = keyed(docs)
+    other = [free_name(rows, x) for x in ("rejected_did", "rejected_sig", "rejected_host")]
+    rejected = materialize(judged.where(~F.col("kept")).select("did", "sig", "host").distinct().toDF(*other), "rejected")
+    same = (F.col(d) == F.col(other[0])) & (F.col(s) == F.col(other[1])) & F.col("source").eqNullSafe(F.col(other[2]))
+    return rows.join(rejected, same, "left_anti").select(docs.columns)

@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from flightlens.llm import fm_index, host_rules, language_id, lattice_lm, line_dedup, pieces, url_filters, warc
+from flightlens.llm import fm_index, host_rules, language_id, lattice_lm, line_dedup, lsh_forest, pieces, url_filters, warc
 from flightlens.llm.common import NO_ID, table, text_of
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -32,6 +32,36 @@ UPPER_LOWER = "'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'"
 WHITE_SQL = "chr(32) || chr(9) || chr(10) || chr(11) || chr(12) || chr(13)"
 
 
+@query(
+    f"""
+WITH RECURSIVE words AS (
+    SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), {UPPER_LOWER}), '[^\\x20\\x09-\\x0D]+') AS w FROM documents
+),
+shingles AS (
+    SELECT DISTINCT doc_id, CASE WHEN len(w) < 4 THEN array_to_string(w, ' ') ELSE array_to_string(w[i:i + 3], ' ') END AS s
+    FROM (SELECT doc_id, w, unnest(range(1, greatest(len(w) - 3, 1) + 1)) AS i FROM words WHERE len(w) > 0)
+),
+sizes AS (SELECT doc_id, count(*) AS n FROM shingles GROUP BY doc_id),
+links AS (
+    SELECT a.doc_id AS x, b.doc_id AS y FROM shingles a JOIN shingles b ON a.s = b.s AND a.doc_id < b.doc_id
+    JOIN sizes na ON na.doc_id = a.doc_id JOIN sizes nb ON nb.doc_id = b.doc_id
+    GROUP BY a.doc_id, b.doc_id, na.n, nb.n HAVING 100 * count(*) >= 80 * (na.n + nb.n - count(*))
+),
+reach(x, y) AS (
+    SELECT doc_id, doc_id FROM documents
+    UNION
+    SELECT r.x, CASE WHEN l.x = r.y THEN l.y ELSE l.x END FROM reach r JOIN links l ON l.x = r.y OR l.y = r.y
+)
+SELECT x AS doc_id, coalesce(any_value(n), 0) AS n_shingles, min(y) AS component_id, x = min(y) AS kept
+FROM reach LEFT JOIN sizes ON x = doc_id GROUP BY x
+"""
+)
+def op1_lsh_forest(spark, sf_dir):
+    rows = lsh_forest.linked(table(spark, sf_dir, "documents"), shingle=4)
+    component = F.when(F.col("component") != NO_ID, F.col("component"))
+    return rows.select(doc_id(), "n_shingles", component.alias("component_id"), "kept")
+
+
 @query()
 def op2_sentencepiece(spark, sf_dir):
     """Identifiers of every text, and whether they decode to it."""
@@ -146,3 +176,13 @@ def op10_language_mixture(spark, sf_dir):
     model = language_id.learn(docs.where(~F.col("held_out")))
     found = language_id.identify(docs.select("doc_id", "held_out", "text"), model)
     return found.select("doc_id", "held_out", "mixture.lang_pred", "mixture.score")
+
+
+def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The whole corpus pipeline at the top of the repository."""
+    import corpus_pipeline
+
+    return corpus_pipeline.run(spark, sf_dir)
+
+
+QUERIES["pipeline"] = pipeline
