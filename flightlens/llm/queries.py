@@ -124,7 +124,44 @@ def op6_warc(spark, sf_dir):
     return index.select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
 
 
-@query()
+WORDS_SQL = f"regexp_extract_all(coalesce(text, ''), '[^\\x20\\x09-\\x0D]+')"
+
+
+def count_sql(chars: str) -> str:
+    return f"length(coalesce(text, '')) - length(translate(coalesce(text, ''), {chars}, ''))"
+
+
+@query(
+    f"""
+WITH docs AS (
+    SELECT doc_id, source, {WORDS_SQL} AS w, string_split(coalesce(text, ''), chr(10)) AS l,
+           length(coalesce(text, '')) - ({count_sql(WHITE_SQL)}) AS word_chars, {count_sql("'#*$%&|<>'")} AS n_symbols
+    FROM documents
+),
+lines AS (SELECT *, list_filter(l, lambda x: length(trim(x, {WHITE_SQL})) > 0) AS full_lines FROM docs),
+windows AS (SELECT doc_id, i, w[i:i + 2] AS win FROM (SELECT doc_id, w, unnest(range(1, len(w) - 1)) AS i FROM docs)),
+twice AS (SELECT doc_id, win FROM windows GROUP BY doc_id, win HAVING count(*) > 1),
+covered AS (SELECT doc_id, count(DISTINCT k) AS n FROM (SELECT doc_id, unnest(range(i, i + 3)) AS k FROM windows JOIN twice USING (doc_id, win)) GROUP BY doc_id),
+counted AS (
+    SELECT doc_id, source, len(w) AS n_words, word_chars, n_symbols, len(full_lines) - len(list_distinct(full_lines)) AS n_dup_lines,
+           coalesce(n, 0) AS n_repeat_words, len(l) AS n_lines
+    FROM lines LEFT JOIN covered USING (doc_id)
+),
+failed AS (
+    SELECT doc_id, source, unnest(['short', 'repeated', 'symbols', 'word_length', 'dup_lines']) AS rule,
+           unnest([n_words < 50, 100 * n_repeat_words > 50 * n_words, 10 * n_symbols > n_words,
+                   word_chars < 3 * n_words OR word_chars > 12 * n_words, 10 * n_dup_lines > 3 * n_lines])::INTEGER AS f
+    FROM counted
+),
+rates AS (SELECT source, rule, sum(f) AS f, count(*) AS n FROM failed WHERE source IS NOT NULL GROUP BY source, rule),
+moments AS (SELECT rule, avg(f / n) AS m, var_pop(f / n) AS v, greatest(avg(n), 1) AS most FROM rates GROUP BY rule),
+prior AS (SELECT rule, m, CASE WHEN v > 0 THEN least(greatest(m * (1 - m) / v - 1, 1), most) ELSE most END AS k FROM moments),
+hosts AS (SELECT source, max((f + m * k) / (n + k)) >= 0.75 AS bad FROM rates JOIN prior USING (rule) GROUP BY source),
+own AS (SELECT doc_id, max(f) AS f, max(f) FILTER (WHERE rule IN ('short', 'repeated')) AS base FROM failed GROUP BY doc_id)
+SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base = 1 AS base_failed, f = 0 AND NOT coalesce(bad, FALSE) AS kept
+FROM counted JOIN own USING (doc_id) LEFT JOIN hosts USING (source)
+"""
+)
 def op7_host_rules(spark, sf_dir):
     judged, _ = host_rules.judge(table(spark, sf_dir, "documents"))
     return judged.select(doc_id(), *host_rules.COUNTS, "base_failed", "kept")
