@@ -271,13 +271,14 @@ def links_to_core(least: float, percent: int):
 
 
 def linked(docs: DataFrame, *, shingle: int = 5, percent: int = 80) -> DataFrame:
-    """did, sig, n_shingles, component (smallest did reachable) and kept of every row of ``docs``.
+    """did, sig, n_shingles, component (smallest did reachable), kept and root of every row of ``docs``.
 
     Words ``[^\\x20\\x09-\\x0D]+`` of the lower-cased (A-Z) text; shingles of ``shingle`` words, or
     the whole sequence if there are fewer. Two rows are linked if 100 * intersection >=
     ``percent`` * union of their sets. Null and empty texts have no shingles and are linked
     with nothing, not even each other. A null ``doc_id`` is larger than any other. Rows with
     the same ``doc_id`` and text are in one component; all of them have ``kept`` if one has.
+    ``root`` tells components apart even if an identifier is in several; null without shingles.
     An empty table gives an empty result.
     """
     prepare(docs.sparkSession)
@@ -313,9 +314,9 @@ def linked(docs: DataFrame, *, shingle: int = 5, percent: int = 80) -> DataFrame
     named = nodes.select("node", "doc.did").join(roots, "node", "left").withColumn("root", F.coalesce("root", "node"))
     named = materialize(named, "rooted")
     smallest = materialize(named.groupBy("root").agg(F.min("did").alias("component")), "components")
-    named = materialize(named.join(smallest, "root").select("node", "component"), "named")
+    named = materialize(named.join(smallest, "root").select("node", "root", "component"), "named")
     out = signed.join(named, "node", "left").withColumn("component", F.coalesce("component", "did"))
-    return out.select("did", "sig", "n_shingles", "component", (F.col("did") == F.col("component")).alias("kept"))
+    return out.select("did", "sig", "n_shingles", "component", (F.col("did") == F.col("component")).alias("kept"), "root")
 
 
 def keep(docs: DataFrame, **settings) -> DataFrame:
@@ -323,8 +324,8 @@ def keep(docs: DataFrame, **settings) -> DataFrame:
 
     Rows without a word are in no component and all stay.
     """
-    found = linked(docs, **settings).where("n_shingles > 0")
-    chosen = found.groupBy("component").agg(F.min(F.struct("did", "sig")).alias("doc"))
+    found = linked(docs, **settings).where("root IS NOT NULL")
+    chosen = found.groupBy("root").agg(F.min(F.struct("did", "sig")).alias("doc"))
     rows, d, s = keyed(docs)
     empty = F.length(without(text_of(), WHITE)) == 0
     chosen = materialize(chosen.select(F.col("doc.did").alias(d), F.col("doc.sig").alias(s)), "chosen")
