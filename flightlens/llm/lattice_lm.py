@@ -25,7 +25,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from flightlens.llm.common import did, lower_ascii, prepare, sig, text_of, words_of
+from flightlens.llm.common import did, lower_ascii, prepare, sig, split_words, text_of
 from flightlens.llm.pieces import LITERAL, SPACE, Pieces, default_model, read_model
 from flightlens.session import materialize
 
@@ -144,8 +144,8 @@ def score(docs: DataFrame, *, model: str | None = None, max_hot: int = MAX_HOT)
     spark = docs.sparkSession
     prepare(spark)
     model = model or default_model()
-    rows = docs.select(did().alias("did"), sig().alias("sig"), held_out().alias("held_out"), words_of(lower_ascii(text_of())).alias("w"))
-    token = rows.select("held_out", F.explode("w").alias("word"))
+    rows = docs.select(did().alias("did"), sig().alias("sig"), held_out().alias("held_out"), split_words(lower_ascii(text_of())).alias("w"))
+    token = rows.select("held_out", F.explode("w").alias("word")).where("word != ''")
     words = token.groupBy("word").agg(F.count_if(~F.col("held_out")).alias("c"), F.count("*").alias("all"))
     words = materialize(words, "words")
 
@@ -177,7 +177,7 @@ def score(docs: DataFrame, *, model: str | None = None, max_hot: int = MAX_HOT)
             F.sum("lp").alias("lp"),
         )
 
-    token = rows.select("did", "sig", F.explode("w").alias("word"))
+    token = rows.select("did", "sig", F.explode("w").alias("word")).where("word != ''")
     near = sums(token.join(hot, "word"))
     far = sums(token.join(hot.select("word"), "word", "left_anti").join(cold, "word"))
     one = rows.select("did", "sig", "held_out")
