@@ -19,7 +19,7 @@ from pyspark.sql import functions as F
 WHITE = " \t\n\x0b\x0c\r"  # [\x20\x09-\x0D]
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 NO_ID = 2**63 - 1
-BATCH_BYTES = "33554432"
+BATCH_BYTES = "8388608"
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -39,7 +39,7 @@ def ship_code(context: SparkContext) -> None:
 
 def prepare(spark: SparkSession) -> None:
     """For operators with Python code: ship it, and keep the batches that go to Python at
-    32 MB, whatever the length of a text."""
+    8 MB, whatever the length of a text."""
     ship_code(spark.sparkContext)
     spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", BATCH_BYTES)
 
@@ -60,11 +60,16 @@ def text_of(column: str = "text") -> Column:
     return F.coalesce(F.col(column), F.lit(""))
 
 
-def words_of(text: Column) -> Column:
-    """Words ``[^\\x20\\x09-\\x0D]+`` in order."""
+def split_words(text: Column) -> Column:
+    """Words ``[^\\x20\\x09-\\x0D]+`` in order, with empty strings among them."""
     for char in WHITE[1:]:
         text = F.replace(text, F.lit(char), F.lit(" "))
-    return F.filter(F.split(text, " "), lambda w: w != "")
+    return F.split(text, " ")
+
+
+def words_of(text: Column) -> Column:
+    """Words ``[^\\x20\\x09-\\x0D]+`` in order."""
+    return F.filter(split_words(text), lambda w: w != "")
 
 
 def did(column: str = "doc_id") -> Column:

@@ -157,7 +157,7 @@ class Pieces:
         if not hasattr(self, "raw"):
             byte_of = {i: bytes([b]) for b, i in enumerate(self.byte_ids)}
             self.raw = [byte_of.get(i, name.replace(SPACE, " ").encode()) for i, name in enumerate(self.names)]
-        text = b"".join(map(self.raw.__getitem__, ids)).decode(errors="replace")
+        text = b"".join(map(self.raw.__getitem__, np.asarray(ids).tolist())).decode(errors="replace")
         return text[1:] if text.startswith(" ") else text
 
 
