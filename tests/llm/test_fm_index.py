@@ -1,0 +1,88 @@
+"""FM-index against plain search, and whole documents against a loop over windows."""
+
+import random
+import re
+
+import numpy as np
+from conftest import values
+
+from flightlens.llm import fm_index
+from flightlens.llm.fm_index import FMIndex, Phrases, Wavelet, search_shard
+
+
+def test_wavelet_ranks_and_access():
+    draw = np.random.default_rng(1)
+    sequence = draw.integers(0, 11, 200)
+    wavelet = Wavelet(sequence, 4)
+    symbol, end = draw.integers(0, 11, 500), draw.integers(0, 201, 500)
+    assert wavelet.rank(symbol, end).tolist() == [int((sequence[:e] == s).sum()) for s, e in zip(symbol, end, strict=True)]
+    found, before = wavelet.access(np.arange(200))
+    assert found.tolist() == sequence.tolist()
+    assert before.tolist() == [int((sequence[:k] == sequence[k]).sum()) for k in range(200)]
+
+
+def test_counts_and_positions_of_phrases():
+    draw = np.random.default_rng(2)
+    for _ in range(20):
+        text = np.concatenate([draw.integers(0, 4, draw.integers(1, 400)), [0]])
+        index = FMIndex(text)
+        for _ in range(20):
+            phrase = draw.integers(1, 5, draw.integers(1, 5))
+            want = [k for k in range(len(text) - len(phrase) + 1) if (text[k : k + len(phrase)] == phrase).all()]
+            low, high = index.search(phrase[None, :], np.array([len(phrase)]))
+            assert sorted(index.locate(np.arange(low[0], max(high[0], low[0]))).tolist()) == want
+
+
+def words(text):
+    return re.findall(r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+", (text or "").translate({c: c + 32 for c in range(65, 91)}))
+
+
+def plain(text, items, window):
+    w, hit, found = words(text), set(), set()
+    for name, item in items:
+        of = words(item)
+        size = min(len(of), window)
+        for i in range(len(of) - size + 1 if of else 0):
+            for k in range(len(w) - size + 1):
+                if w[k : k + size] == of[i : i + size]:
+                    hit.update(range(k, k + size))
+                    found.add(name)
+    return len(w), len(hit), sorted(str(x) for x in found if x is not None), bool(hit) and 20 * len(hit) >= len(w)
+
+
+def run(docs, bench, **settings):
+    return [(r.doc_id, r.hits.n_words, r.hits.n_hit, list(r.hits["items"]), r.hits.contaminated) for r in fm_index.find(docs, bench, **settings).collect()]
+
+
+def test_random_texts_in_one_or_many_parts(spark, rows):
+    draw = random.Random(4)
+    text = lambda n, letters: " ".join(draw.choice(letters) for _ in range(n))
+    items = [(i, text(draw.randint(0, 9), "abC")) for i in range(25)]
+    docs = [(i, text(draw.randint(0, 60), "abcdé,")) for i in range(40)]
+    df, bench = rows("doc_id long, text string", *docs), rows("item_id long, text string", *items)
+    want = sorted((i, *plain(x, items, 4)) for i, x in docs)
+    assert sorted(run(df, bench, window=4)) == want
+    assert sorted(run(df, bench, window=4, part_chars=120)) == want
+
+
+def test_edges(spark, rows, monkeypatch):
+    long = " ".join(f"w{k % 977}" for k in range(60_000))
+    items = [(10, "The quick-brown fox"), (9, None), (8, ""), (None, "lazy dog"), (10, "The quick-brown fox"), (7, "w5 " + long[:90])]
+    docs = [(1, None), (2, ""), (3, "the QUICK brown fox!"), (4, "... the quick"), (None, "lazy dog"), (5, long), (3, "the QUICK brown fox!")]
+    df = rows("doc_id long, text string, hits string", *[(i, x, "h") for i, x in docs])
+    bench = rows("item_id long, text string, extra int", *[(i, x, 1) for i, x in items])
+    out = fm_index.find(df, bench)
+    assert out.columns == ["doc_id", "text", "hits", "hits_1"]
+    got = [(r.doc_id, r.hits_1.n_words, r.hits_1.n_hit, list(r.hits_1["items"]), r.hits_1.contaminated) for r in out.collect()]
+    assert sorted(got, key=repr) == sorted([(i, *plain(x, items[:4], 13)) for i, x in docs if i != 5] + [(5, *plain(long, items, 13))], key=repr)
+    spans = out.where("doc_id = 3").first().hits_1.spans
+    assert [tuple(s) for s in spans] == [(0, 3)]
+    assert values(fm_index.keep(df, bench).select("doc_id")) == values(rows("doc_id long", 1, 2, 4, 5))
+    assert values(fm_index.find(df.limit(0), bench)) == []
+    assert all(x[2] == 0 and not x[4] for x in run(df.drop("hits"), bench.limit(0)))
+
+
+def test_nothing_to_search():
+    ids = np.array([1, 2, 0])
+    assert all(len(x) == 0 for x in search_shard(ids, Phrases([], 13)))
+    assert all(len(x) == 0 for x in search_shard(np.zeros(3, int), Phrases([("a", "x y")], 13)))

@@ -1,0 +1,84 @@
+"""Encoding, decoding and counting against brute force and the library's lattice."""
+
+import itertools
+import random
+
+import pytest
+from conftest import values
+
+from flightlens.llm import pieces
+from flightlens.llm.pieces import BYTE, NORMAL, UNKNOWN, Pieces, default_model, load
+
+TINY = [("<unk>", 0.0, UNKNOWN), ("▁", -4.0, NORMAL), ("a", -3.0, NORMAL), ("b", -3.0, NORMAL), ("ab", -6.0, NORMAL), ("▁a", -5.0, NORMAL), ("ba", -5.5, NORMAL), ("aba", -8.0, NORMAL)]
+WITH_BYTES = TINY + [(f"<0x{b:02X}>", 0.0, BYTE) for b in range(256)]
+
+
+def best_score(p: Pieces, text: str) -> float:
+    """Best score of all segmentations, each tried."""
+    text = "▁" + text.replace(" ", "▁")
+    scores = {p.names[i]: p.scores[i] for i in range(1, 8)}
+    best = float("-inf")
+    for cuts in itertools.product([0, 1], repeat=len(text) - 1):
+        parts, start = [], 0
+        for k, cut in enumerate([*cuts, 1], 1):
+            if cut:
+                parts.append(text[start:k])
+                start = k
+        if all(x in scores or len(x) == 1 for x in parts):
+            best = max(best, sum(scores.get(x, p.unknown_score) for x in parts))
+    return best
+
+
+@pytest.mark.parametrize("vocabulary", [TINY, WITH_BYTES])
+def test_best_score_of_all_segmentations(vocabulary):
+    p, draw = Pieces(vocabulary), random.Random(1)
+    for _ in range(150):
+        text = "".join(draw.choice("aabb x\n") for _ in range(draw.randint(1, 9)))
+        ids = p.encode(text)
+        count, score = p.count(text)
+        assert score == pytest.approx(best_score(p, text))
+        assert count == len(ids)
+
+
+def test_ties_go_to_the_longer_last_piece():
+    p = Pieces(TINY)  # "ab" (-6) against "a" + "b" (-6)
+    assert [p.names[i] for i in p.solve("ab")] == ["ab"]
+
+
+def test_without_byte_pieces_unknown():
+    p = Pieces(TINY)
+    assert [p.names[i] for i in p.encode("ax")] == ["▁a", "<unk>"]
+
+
+def test_like_the_library_lattice():
+    """Scores within a word are small enough to be exact in the library's 32 bits."""
+    import sentencepiece
+    from sentencepiece import sentencepiece_model_pb2
+
+    model = sentencepiece_model_pb2.ModelProto()
+    with open(default_model(), "rb") as file:
+        model.ParseFromString(file.read())
+    model.trainer_spec.model_type = 1
+    library = sentencepiece.SentencePieceProcessor(model_proto=model.SerializeToString())
+    p = load(default_model())
+    for word in "the retitioning thorreou ndernt worthless enèment éoioiç aulich über erüver que ciónrr thblering".split():
+        assert list(p.encode(word)) == library.nbest_encode_as_ids(word, 2)[0], word
+
+
+TEXTS = [None, "", " ", "  two  spaces ", "▁ literal ▁▁", "日本語 𝄞\n\n\tx", "a" * 5000, "word " * 3000, "line\nline\n"]
+
+
+def test_round_trip_of_any_text(spark, rows):
+    df = rows("doc_id long, text string, piece_ids string", *[(i, x, "kept") for i, x in enumerate(TEXTS)], (0, None, "kept"))
+    out = pieces.decode(pieces.encode(df), column="piece_ids_1")
+    assert out.columns == ["doc_id", "text", "piece_ids", "piece_ids_1", "decoded"]
+    assert all(r.decoded == r.text and r.piece_ids == "kept" for r in out.collect())
+    counted = pieces.count_tokens(df)
+    sizes = {(r.doc_id, r.text): len(r.piece_ids_1) if r.piece_ids_1 is not None else None for r in out.collect()}
+    assert all(r.n_tokens == sizes[r.doc_id, r.text] for r in counted.collect())
+    assert counted.where("text = ''").first().n_tokens == 0
+
+
+def test_empty_table(spark, rows):
+    df = rows("doc_id long, text string")
+    assert values(pieces.decode(pieces.encode(df))) == values(pieces.count_tokens(df)) == []
