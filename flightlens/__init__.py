@@ -5,6 +5,6 @@ matched to airports by distance; the tables feed delay and cancellation views,
 which are stored as keyed rows and read back as series and matrices.
 """
 
-from flightlens.session import build_session, pin_utc, scratch_dir
+from flightlens.session import build_session, clear_scratch, pin_utc, scratch_dir
 
-__all__ = ["build_session", "pin_utc", "scratch_dir"]
+__all__ = ["build_session", "clear_scratch", "pin_utc", "scratch_dir"]

@@ -1,5 +1,5 @@
 """The domain's raw tables, derived from the test tables by SQL that Spark and DuckDB
-both run unchanged (documented in FIXTURES.md)."""
+both run unchanged (documented in FIXTURES.md). Event names are fixed values of the data."""
 
 from __future__ import annotations
 

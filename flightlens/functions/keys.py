@@ -47,11 +47,13 @@ def plain_cells(cells: Column) -> Column:
 
 
 def load_id() -> Column:
-    """Identifier unique within one load: no shuffle, and the same on a retried task."""
+    """Identifier unique within one load: no shuffle, and the same on a retried task. A month is
+    written by one load only, so over several loads (year, month, identifier) is the key."""
     return F.monotonically_increasing_id()
 
 
 def content_id(*cols: Column) -> Column:
-    """Identifier that depends on the row's values only, whatever the file layout.
-    Exact copies of a row share it."""
+    """Identifier that depends on the row's values only, whatever the file layout. Exact copies
+    of a row share it, and with 64 bits a few of some billion different rows do as well; it
+    marks content and is no key."""
     return F.xxhash64(*cols)

@@ -33,7 +33,3 @@ def present(df: DataFrame, *names: str) -> DataFrame:
     for name in names:
         df = df.filter(F.col(name).isNotNull())
     return df
-
-
-def all_columns_except(df: DataFrame, *names: str) -> DataFrame:
-    return df.drop(*names)

@@ -43,10 +43,6 @@ def fits(df: DataFrame, max_rows: int) -> bool:
     return df.count() <= max_rows
 
 
-def only_matching(df: DataFrame, keep: DataFrame, on: str) -> DataFrame:
-    return df.join(keep.select(on), on, "left_semi")
-
-
 def label(df: DataFrame, key: str, codes: DataFrame, code_key: str, code_name: str, as_: str) -> DataFrame:
     """Add the code's name; where the lookup has none, the key itself as text. A code listed
     twice gives one row all the same."""

@@ -14,9 +14,10 @@ from pyspark.sql import functions as F
 from flightlens.functions.geo import band, band_height, bands_within, cell, cells_within, haversine_km
 from flightlens.operators.combine import fits
 
-# A broadcast site row is well under 1 KB and a circle of 50 km touches about ten
-# squares, so this many sites stay below a few hundred MB on each executor.
-MAX_BROADCAST_SITES = 100_000
+# A broadcast row, a site in one grid square, is well under 1 KB, so this many stay below a
+# few hundred MB on each executor. A circle of 50 km touches some ten squares, but near a
+# pole over a thousand: the rows are counted after sites are listed under their squares.
+MAX_BROADCAST_SITES = 300_000
 SALTS = 16
 
 
@@ -33,7 +34,7 @@ def within_radius(
 ) -> DataFrame:
     """Pairs no further apart than ``radius_km``; ``point`` and ``site`` name (lat, lon).
 
-    Few sites (they are counted) are broadcast: points are never shuffled and a crowded
+    Few sites (counted once per square they touch) are broadcast: points are never shuffled and a crowded
     square costs nothing extra. Otherwise both sides shuffle on the square and a salt,
     which spreads each square's points over ``salts`` tasks. The
     salt is a hash of the point, the same when a lost task runs again; exact copies of
@@ -45,7 +46,7 @@ def within_radius(
     right = sites.withColumn("_band", F.explode(bands_within(F.col(slat), radius_km))).withColumn(
         "_cell", F.explode(cells_within(F.col(slat), F.col(slon), radius_km))
     )
-    if fits(sites, max_broadcast_sites):
+    if fits(right.select("_band"), max_broadcast_sites):
         right = F.broadcast(right)
     elif salts > 1:
         keys.append("_salt")

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterable
+from collections.abc import Callable, Iterable
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -16,9 +16,7 @@ from flightlens.plans.storms import RADIUS_KM, aligned_storms, storms_near_airpo
 from flightlens.plans.views import build_views
 from flightlens.schemas import AIRCRAFT_DIM, AIRPORT_DIM, PERIOD
 from flightlens.session import materialize
-from flightlens.sources import catalog, scan, sink
-
-MONTHS_PER_JOB = 24
+from flightlens.sources import catalog, listing, scan, sink
 
 
 def load_storm_bronze(spark: SparkSession, csv_path: str, bronze: str) -> DataFrame:
@@ -26,14 +24,44 @@ def load_storm_bronze(spark: SparkSession, csv_path: str, bronze: str) -> DataFr
     return sink.split_by_month(scan.storm_csv(spark, csv_path), bronze, "YEAR", "BEGIN_YEARMONTH")
 
 
-def load_registry_bronze(spark: SparkSession, csv_path: str, bronze: str, date: str | None = None) -> None:
-    """Aircraft registry → a dated copy with both type codes decoded.
+def load_registry_bronze(spark: SparkSession, csv_path: str, bronze: str, date: str | None = None) -> DataFrame:
+    """Aircraft registry → a dated copy with both type codes decoded; returns the audit of the write.
 
     Columns stay text: types inferred from each day's file differ from day to day (a year
     column with and without blanks), and such copies could not be read together.
     """
     raw = scan.registry_csv(spark, csv_path, infer=False)
     sink.write_dated_snapshot(clean_names(decoded_registry(raw)), bronze, date)
+    count = F.count(F.lit(1))
+    day = F.current_date() if date is None else F.lit(date).cast("date")
+    stored = scan.parquet(spark, bronze).filter(F.col("snapshot_date") == day)
+    report = raw.agg(count.alias("rows_read")).withColumn("rows_written", stored.agg(count).scalar())
+    report = report.select(day.alias("snapshot_date"), "rows_read", "rows_written", (F.col("rows_read") == F.col("rows_written")).alias("verified"))
+    return spark.createDataFrame(report.collect(), report.schema)  # as of now
+
+
+class MonthsFailed(RuntimeError):
+    """Some months could not be processed; the others were. ``failed``: month → error; ``done``: months."""
+
+    def __init__(self, failed: dict, done: list):
+        super().__init__(f"months failed: {', '.join(f'{y}-{m:02d}' for y, m in sorted(failed))}; first error: {next(iter(failed.values()))}")
+        self.failed, self.done = failed, done
+
+
+def _all_or_each(todo: list[tuple[int, int]], run: Callable[[list[tuple[int, int]]], object]) -> None:
+    """All months in one go; if that fails, one by one, so that a bad month does not stop the others."""
+    try:
+        run(todo)
+    except Exception as error:
+        failed = {}
+        for month in todo if len(todo) > 1 else []:
+            try:
+                run([month])
+            except Exception as own:
+                failed[month] = own
+        if failed or len(todo) == 1:
+            failed = failed or {todo[0]: error}
+            raise MonthsFailed(failed, [m for m in todo if m not in failed]) from error
 
 
 def pending_periods(bronze: DataFrame, stored: DataFrame) -> DataFrame:
@@ -54,30 +82,26 @@ def choose_periods(
 
 
 def refresh_flights(
-    spark: SparkSession, bronze: str, silver: str, *, only=None, full: bool = False, types_differ: bool = False
+    spark: SparkSession, bronze: str, silver: str, *, only=None, full: bool = False, table: str | None = None
 ) -> list[tuple[int, int]]:
     """Process new, listed or all months of raw flights; returns the months processed.
 
     One plan for all months, without a shuffle: files are projected and written under the
-    month of the file. ``types_differ`` is for raw files in which a column is text in one
-    month and a number in another: each is read with its own types, a batch of months per
-    job.
+    month of the file, each kind of file with its own types. A processed month without a row
+    loses what it had stored and is not pending again. ``table``: a catalog table over
+    ``silver`` that shall see the months. Raises ``MonthsFailed`` after the others are done.
     """
-    paths = scan.month_paths(spark, bronze, scan.FLIGHT_FILES)
-    todo = choose_periods(paths, scan.stored_periods(spark, silver), only=only, full=full)
-    wanted = set(todo)
-    found = sorted(r for r in map(tuple, paths.collect()) if r[:2] in wanted)  # one per calendar month
-    months = [r[:3] for r in found]
-    if months and types_differ:
-        for start in range(0, len(todo), MONTHS_PER_JOB):
-            batch = set(todo[start : start + MONTHS_PER_JOB])
-            frames = scan.read_months(spark, [m for m in months if m[:2] in batch])
-            sink.overwrite_periods(union_all([_facts_of_file_month(raw) for raw in frames]), silver)
-    elif months and all(r[3] for r in found) and len(months) == len(todo):
-        with scan.months_as_table(spark, bronze, months) as raw:
-            sink.overwrite_periods(_facts_of_file_month(raw), silver)
-    elif months:
-        sink.overwrite_periods(_facts_of_file_month(scan.read_periods(spark, bronze, scan.FLIGHT_FILES, todo)), silver)
+    months = scan.named_months(spark, bronze, scan.FLIGHT_FILES)
+    todo = choose_periods(scan.bronze_periods(spark, bronze, scan.FLIGHT_FILES), scan.processed_periods(spark, silver), only=only, full=full)
+
+    def run(part: list[tuple[int, int]]) -> None:
+        with scan.month_frames(spark, bronze, [m for m in months if m[:2] in set(part)], scan.FLIGHT_FILES) as frames:
+            sink.replace_periods(union_all([_facts_of_file_month(raw) for raw in frames]), silver, part)
+
+    if todo:
+        _all_or_each(todo, run)
+    if table:
+        catalog.refresh(spark, table, monthly=True)
     return todo
 
 
@@ -97,56 +121,77 @@ def refresh_weather(
     full: bool = False,
     radius_km: float = RADIUS_KM,
     country: str | None = None,
+    table: str | None = None,
 ) -> list[tuple[int, int]]:
     """Match new, listed or all months of storms to airports; returns the months processed.
 
-    ``bronze`` holds one file per month, or the partitions ``load_storm_bronze`` writes.
-    Rows stay in the month of their file even where a storm runs into the next one.
+    ``bronze`` holds files or folders named by month, or the partitions ``load_storm_bronze``
+    writes, or both; a month that has a partition is read from there only. Rows stay in the
+    month of their file even where a storm runs into the next one. A processed month without
+    a pair loses what it had stored and is not pending again. ``table`` as for flights.
     """
-    found = scan.bronze_periods(spark, bronze, scan.STORM_FILES)
-    folders = scan.stored_periods(spark, bronze)
-    todo = choose_periods(found.union(folders), scan.stored_periods(spark, silver), only=only, full=full)
+    stored = scan.partition_months(spark, bronze)
+    ours = {m[:2] for m in stored}
+    months = stored + [m for m in scan.named_months(spark, bronze, scan.STORM_FILES) if m[:2] not in ours]
+    found = spark.createDataFrame(sorted({m[:2] for m in months}), ", ".join(f"{p} INT" for p in PERIOD))
+    todo = choose_periods(found, scan.processed_periods(spark, silver), only=only, full=full)
+
+    def run(part: list[tuple[int, int]]) -> None:
+        with scan.month_frames(spark, bronze, [m for m in months if m[:2] in set(part)], scan.STORM_FILES) as frames:
+            storms = union_all([aligned_storms(raw) for raw in frames])
+            pairs = storms_near_airports(storms, airports, radius_km, country=country)
+            order = ["ORIGINAL_WEATHER_INDEX", "HOUR_OFFSET", "DISTANCE_KM"]
+            sink.replace_periods(pairs, silver, part, rebalance=True, sort=order)
+
     if todo:
-        raw = _storm_months(spark, bronze, folders, todo)
-        pairs = storms_near_airports(aligned_storms(raw), airports, radius_km, country=country)
-        order = ["ORIGINAL_WEATHER_INDEX", "HOUR_OFFSET", "DISTANCE_KM"]
-        sink.overwrite_periods(pairs, silver, rebalance=True, sort=order)
+        _all_or_each(todo, run)
+    if table:
+        catalog.refresh(spark, table, monthly=True)
     return todo
 
 
-def _storm_months(spark: SparkSession, bronze: str, folders: DataFrame, todo: list[tuple[int, int]]) -> DataFrame:
-    if folders.isEmpty():
-        return scan.read_periods(spark, bronze, scan.STORM_FILES, todo)
-    year, month = (F.col(p) for p in PERIOD)
-    return scan.parquet(spark, bronze).filter((year * 100 + month).isin([y * 100 + m for y, m in todo]))
-
-
-def refresh_airports(spark: SparkSession, bronze: str, silver: str, *, full: bool = False) -> None:
-    incoming = airport_dim(scan.read_named(spark, bronze, scan.AIRPORT_FILES))
+def refresh_airports(spark: SparkSession, bronze: str, silver: str, *, full: bool = False, table: str | None = None) -> bool:
+    """Returns False, and leaves the table alone, if no file matches."""
+    paths = scan.named_files(spark, bronze, scan.AIRPORT_FILES)
+    if not paths:
+        return False
+    incoming = airport_dim(scan.read_files(spark, paths))
     refresh_dimension(incoming, _stored(spark, silver, AIRPORT_DIM), silver, "AirportID", "full" if full else "insert_new")
-
-
-def refresh_aircraft(spark: SparkSession, bronze: str, silver: str, *, full: bool = False, **columns: str) -> None:
-    """``bronze`` holds dated files, or the dated partitions ``load_registry_bronze`` writes.
-    The newest copy of a tail number counts."""
-    named = scan.list_files(spark, bronze).filter(F.col("path").rlike(scan.AIRCRAFT_FILES))
-    raw = scan.parquet(spark, bronze) if named.isEmpty() else scan.registry_snapshots(spark, bronze)
+    if table:
+        catalog.refresh(spark, table)
+    return True
+
+
+def refresh_aircraft(spark: SparkSession, bronze: str, silver: str, *, full: bool = False, table: str | None = None, **columns: str) -> bool:
+    """``bronze`` holds dated files, the dated partitions ``load_registry_bronze`` writes, or both.
+    The newest copy of a tail number counts. Returns False, and leaves the table alone, if
+    there is no copy."""
+    raw = scan.registry_snapshots(spark, bronze)
+    if raw is None:
+        return False
     incoming = aircraft_dim(raw, prefer=["snapshot_date"], **columns)
     refresh_dimension(incoming, _stored(spark, silver, AIRCRAFT_DIM), silver, "TailNum", "full" if full else "insert_new")
+    if table:
+        catalog.refresh(spark, table)
+    return True
 
 
 def _stored(spark: SparkSession, path: str, schema: str) -> DataFrame | None:
-    return None if scan.list_files(spark, path).isEmpty() else scan.parquet(spark, path, schema=schema)
+    return scan.parquet(spark, path, schema=schema) if listing.entries(spark, path) else None
 
 
 def serve(
     spark: SparkSession, store: str, *, silver: str = "silver", serving: str = "serving", on_null: str = "collapse"
 ) -> list[str]:
     """Build every view whose silver tables exist, save it as a table and as keyed rows
-    under ``store``; returns the view names. Flight and airport tables must exist."""
+    under ``store``; returns the view names. Flight and airport tables must exist; all are
+    refreshed first, so every stored month counts."""
     for table in ("flight_facts", "airport_dim"):
         if not catalog.table_exists(spark, f"{silver}.{table}"):
             raise ValueError(f"missing table: {silver}.{table}")
+    for table, (_, monthly) in catalog.SILVER_TABLES.items():
+        if catalog.table_exists(spark, f"{silver}.{table}"):
+            catalog.refresh(spark, f"{silver}.{table}", monthly=monthly)
     catalog.create_database(spark, serving)
     views = build_views(
         spark.table(f"{silver}.flight_facts"),

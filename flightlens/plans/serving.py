@@ -9,14 +9,13 @@ from __future__ import annotations
 
 from collections.abc import Callable, Sequence
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from flightlens.codes import AGE_ORDER
 from flightlens.functions.keys import key_parts, row_key, year_month, year_text
 from flightlens.functions.values import as_text, safe_float, safe_int
-from flightlens.operators.aggregate import top_groups
-from flightlens.operators.combine import label, only_matching
+from flightlens.operators.combine import label
 from flightlens.operators.reshape import declared_order, dense_axis, matrix, rows_from
 from flightlens.plans.views import AIRPORT, CARRIER, VIEWS
 from flightlens.schemas import PERIOD
@@ -148,7 +147,10 @@ def age_rows(keyed: DataFrame, year: int, top_carriers: int | None = 5, *, order
         *map(_number, ["avg_dep_delay", "avg_arr_delay", "flights_cnt"]),
     )
     if top_carriers:
-        rows = only_matching(rows, top_groups(rows, "carrier", top_carriers, weight="flights_cnt"), "carrier")
+        # One read: totals and ranks as windows over the year's few rows.
+        total = rows.withColumn("_flights", F.sum("flights_cnt").over(Window.partitionBy("carrier")))
+        ranked = total.withColumn("_rank", F.dense_rank().over(Window.orderBy(F.desc("_flights"), "carrier")))
+        rows = ranked.filter(F.col("_rank") <= top_carriers).drop("_flights", "_rank")
     return rows.orderBy(declared_order("aircraft_age_bucket", AGE_ORDER), "carrier") if ordered else rows
 
 

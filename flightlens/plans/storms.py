@@ -15,6 +15,8 @@ from flightlens.operators.spatial import MAX_BROADCAST_SITES, SALTS, within_radi
 from flightlens.schemas import PERIOD
 
 RADIUS_KM = 50
+BLOCK_HOURS = 1_000
+LONG_HOURS = 24 * 366
 
 
 def aligned_storms(raw: DataFrame) -> DataFrame:
@@ -41,15 +43,39 @@ def aligned_storms(raw: DataFrame) -> DataFrame:
     )
 
 
-def storm_hours(storms: DataFrame) -> DataFrame:
+def dealt_out(storms: DataFrame, spread: int | None = None) -> DataFrame:
+    """The same rows over ``spread`` tasks, or more if the input has more splits than that."""
+    if spread is None:
+        spread = int(storms.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    if spread <= 0 or storms.rdd.getNumPartitions() >= spread:
+        return storms
+    return storms.repartition(spread)
+
+
+def long_storms(storms: DataFrame, hours: int = LONG_HOURS) -> DataFrame:
+    """Aligned storms of more than ``hours`` hours in either direction, longest first, to be checked by eye."""
+    span = storms.withColumn("HOURS", hours_between(F.col("BEGIN_DATETIME"), F.col("END_DATETIME")))
+    return span.filter(F.abs("HOURS") > hours).orderBy(F.desc(F.abs("HOURS")), "ORIGINAL_INDEX")
+
+
+def storm_hours(storms: DataFrame, *, spread: int | None = None) -> DataFrame:
     """One row per hour of each storm, at its place on the straight track.
 
     A storm that ends before it begins counts its hours downwards; one without a valid
-    begin or end gives no row; one of zero hours gives its begin point.
+    begin or end gives no row; one of zero hours gives its begin point. Hours are made in
+    blocks, so a storm with a mistyped year is long, but never one large array; ``long_storms``
+    lists such storms.
+
+    Storm files are small, but each storm becomes tens of hours. So the storms, still one
+    narrow row each, are first dealt out evenly over ``spread`` tasks: by default as many as
+    ``spark.sql.shuffle.partitions``, never fewer than the input has; 0: not at all.
     """
     c = F.col
+    storms = dealt_out(storms, spread)
     span = storms.withColumn("_hours", hours_between(c("BEGIN_DATETIME"), c("END_DATETIME")))
-    hours = span.withColumn("HOUR_OFFSET", F.explode(F.sequence(F.lit(0), c("_hours"))))
+    span = span.withColumn("_block", F.explode(F.sequence(F.lit(0), F.expr(f"_hours div {BLOCK_HOURS}").cast("int"))))
+    last = F.when(c("_hours") < 0, F.greatest(c("_hours"), (c("_block") - 1) * BLOCK_HOURS + 1)).otherwise(F.least(c("_hours"), (c("_block") + 1) * BLOCK_HOURS - 1))
+    hours = span.withColumn("HOUR_OFFSET", F.explode(F.sequence(c("_block") * BLOCK_HOURS, last.cast("int"))))
     share = F.when(c("_hours") == 0, 0.0).otherwise(c("HOUR_OFFSET").cast("double") / c("_hours"))
     hours = hours.withColumn("INTERPOLATION_FACTOR", share)
     return hours.select(
@@ -82,17 +108,9 @@ def storms_near_airports(
 
     ``airports`` must hold one row per airport, with coordinates in double precision.
     ``ordered`` sorts the whole result by storm, hour and distance; stored tables are
-    sorted within files instead.
-
-    Storm files are small, but each storm becomes tens of hours and each hour several
-    distance tests. So the storms, still one narrow row each, are first dealt out evenly
-    over ``spread`` tasks (by default ``spark.sql.shuffle.partitions``; 0: not at all).
+    sorted within files instead. ``spread`` as in ``storm_hours``.
     """
     c = F.col
-    if spread is None:
-        spread = int(storms.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    if spread > 0:
-        storms = storms.repartition(spread)
     if country is not None:
         airports = airports.filter(c("AIRPORT_COUNTRY_NAME") == country)
     sites = airports.select(
@@ -102,7 +120,7 @@ def storms_near_airports(
         c("LATITUDE").alias("AIRPORT_LATITUDE"),
         c("LONGITUDE").alias("AIRPORT_LONGITUDE"),
     )
-    points = storm_hours(storms).withColumnsRenamed(
+    points = storm_hours(storms, spread=spread).withColumnsRenamed(
         {"ORIGINAL_INDEX": "ORIGINAL_WEATHER_INDEX", "LATITUDE": "WEATHER_LATITUDE", "LONGITUDE": "WEATHER_LONGITUDE"}
     )
     pairs = within_radius(

@@ -43,24 +43,36 @@ def _local_root() -> str:
     return tempfile.mkdtemp(prefix="flightlens-")
 
 
+def _scratch_root(spark: SparkSession) -> str:
+    root = spark.conf.get("spark.checkpoint.dir", None)
+    if not root:
+        if not spark.sparkContext.master.startswith("local"):
+            raise RuntimeError("set spark.checkpoint.dir to a folder all executors share")
+        root = _local_root()
+    return f"{root.rstrip('/')}/flightlens-{spark.sparkContext.applicationId}"
+
+
 def scratch_dir(spark: SparkSession, name: str) -> str:
     """A folder for an intermediate table, under the session's checkpoint folder.
 
     Only a local session without the setting falls back to a temporary folder; on a
     cluster that would be a disk the other executors cannot see.
     """
-    root = spark.conf.get("spark.checkpoint.dir", None)
-    if not root:
-        if not spark.sparkContext.master.startswith("local"):
-            raise RuntimeError("set spark.checkpoint.dir to a folder all executors share")
-        root = _local_root()
-    return f"{root.rstrip('/')}/flightlens-{spark.sparkContext.applicationId}/{name}"
+    return f"{_scratch_root(spark)}/{name}"
+
+
+def clear_scratch(spark: SparkSession) -> None:
+    """Delete the session's intermediate tables. Results that were not stored elsewhere still
+    read them, so this is for the end of a session or of a load."""
+    context = spark.sparkContext
+    root = context._jvm.org.apache.hadoop.fs.Path(_scratch_root(spark))
+    root.getFileSystem(context._jsc.hadoopConfiguration()).delete(root, True)
 
 
 def materialize(df: DataFrame, name: str) -> DataFrame:
     """Write ``df`` once as Parquet in the shared folder, under a path of its own, and read it back.
 
-    Used where several results share one aggregate: the lineage is cut, and a lost
+    ``clear_scratch`` removes it. Used where several results share one aggregate: the lineage is cut, and a lost
     executor costs a re-read of the written files rather than a second scan.
     """
     path = scratch_dir(df.sparkSession, f"{name}-{uuid.uuid4().hex}")

@@ -55,9 +55,9 @@ def create_silver(spark: SparkSession, table: str, path: str, database: str = "s
 
 
 def refresh(spark: SparkSession, name: str, *, monthly: bool = False) -> None:
-    """Make newly written files visible, and new month folders known."""
+    """Make newly written files visible, new month folders known, and deleted ones forgotten."""
     if monthly:
-        spark.sql(f"MSCK REPAIR TABLE {name}")
+        spark.sql(f"MSCK REPAIR TABLE {name} SYNC PARTITIONS")
     spark.catalog.refreshTable(name)
 
 

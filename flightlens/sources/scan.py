@@ -2,24 +2,25 @@
 
 from __future__ import annotations
 
+import re
 import uuid
-from collections.abc import Iterable, Iterator, Sequence
-from contextlib import contextmanager
+from collections import Counter
+from collections.abc import Callable, Iterable, Iterator, Sequence
+from contextlib import ExitStack, contextmanager
 
-from pyspark.errors import AnalysisException
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from flightlens import schemas
-from flightlens.operators.combine import one_per_key
+from flightlens.operators.combine import one_per_key, union_all
 from flightlens.schemas import PERIOD
-from flightlens.sources import catalog
+from flightlens.sources import catalog, listing, sink
 
 # Patterns of bronze file names without ``.parquet``; the group is the
 # month as ``YYYY_M`` or the date.
 FLIGHT_FILES = r"(\d{4}_\d{1,2})_aotd"
 STORM_FILES = r"(\d{4}_\d{1,2})"
-STORM_FILES_STRICT = r"storm_events_(\d{4}_\d{1,2})$"
 AIRPORT_FILES = r"airport|L_AIRPORT_ID"
 AIRCRAFT_FILES = r"plane_registry_(\d{4}-\d{2}-\d{2})"
 
@@ -54,80 +55,117 @@ def weather_keys_physical(spark: SparkSession, path: str) -> DataFrame:
     )
 
 
-def _stem(path: Column) -> Column:
-    """Name of a Parquet file, or of the folder ``<name>.parquet`` its part files are in.
-
-    Plain string functions: this runs per row, and a regular expression over the whole
-    path would cost more than reading the row.
-    """
-    return F.substring_index(F.substring_index(path, ".parquet", 1), "/", -1)
-
-
-def _month_text(path: Column, pattern: str) -> Column:
-    return F.regexp_extract(_stem(path), pattern, 1)
+def _months(spark: SparkSession, months: Iterable[tuple[int, int]]) -> DataFrame:
+    return spark.createDataFrame(sorted(set(months)), ", ".join(f"{p} INT" for p in PERIOD))
 
 
-def _period(month_text: Column) -> dict[str, Column]:
-    parts = (month_text.substr(1, 4), F.substring_index(month_text, "_", -1))
-    return {name: part.try_cast("int") for name, part in zip(PERIOD, parts, strict=True)}
+def named_months(spark: SparkSession, path: str, pattern: str) -> list[tuple[int, int, str, bool]]:
+    """(year, month, path, folder) of every file, or folder of part files, whose name holds a month."""
+    found = []
+    for entry in listing.entries(spark, path):
+        text = re.search(pattern, entry.name)
+        if text:
+            year, month = text[1].split("_")
+            found.append((int(year), int(month), entry.path, entry.folder))
+    return sorted(found)
 
 
-def list_files(spark: SparkSession, path: str) -> DataFrame:
-    """Paths of the Parquet files under ``path``; contents are not read. Empty if absent."""
-    reader = spark.read.format("binaryFile").options(recursiveFileLookup=True, pathGlobFilter="*.parquet")
-    try:
-        return reader.load(path).select("path")
-    except AnalysisException as error:
-        if error.getCondition() != "PATH_NOT_FOUND":
-            raise
-        return spark.createDataFrame([], "path STRING")
+def partition_months(spark: SparkSession, path: str) -> list[tuple[int, int, str, bool]]:
+    """(year, month, path, True) of the partition folders of a monthly table."""
+    found = []
+    for entry in listing.entries(spark, path):
+        if text := re.search(rf"/{PERIOD[0]}=(\d+)/{PERIOD[1]}=(\d+)$", entry.path):
+            found.append((int(text[1]), int(text[2]), entry.path, True))
+    return sorted(found)
 
 
 def bronze_periods(spark: SparkSession, path: str, pattern: str) -> DataFrame:
     """Distinct (year, month) found in file names."""
-    period = _period(_month_text(F.col("path"), pattern))
-    return list_files(spark, path).select(*[c.alias(n) for n, c in period.items()]).dropna().distinct()
+    return _months(spark, (m[:2] for m in named_months(spark, path, pattern)))
 
 
 def stored_periods(spark: SparkSession, path: str) -> DataFrame:
     """Distinct (year, month) of the partition folders of a table."""
-    found = [F.regexp_extract("path", rf"/{name}=(\d+)/", 1).try_cast("int").alias(name) for name in PERIOD]
-    return list_files(spark, path).select(*found).dropna().distinct()
+    return _months(spark, (m[:2] for m in partition_months(spark, path)))
 
 
-def read_periods(spark: SparkSession, path: str, pattern: str, periods: Iterable[tuple[int, int]], schema: str | None = None) -> DataFrame:
-    """Rows of the files of the given months, with the month taken from the file name.
+def processed_periods(spark: SparkSession, path: str) -> DataFrame:
+    """Months a table has, and months that were processed but gave no row."""
+    stored, empty = stored_periods(spark, path), f"{path}/{sink.PROCESSED}"
+    return stored.union(spark.read.parquet(empty).select(*PERIOD)).distinct() if listing.exists(spark, empty) else stored
+
+
+def common_type(types: Sequence[T.DataType]) -> T.DataType:
+    """A type that holds every value of the given ones: themselves, a wider number, or text."""
+    if len(set(types)) == 1:
+        return types[0]
+    if all(isinstance(t, T.IntegralType) for t in types):
+        return T.LongType()
+    return T.DoubleType() if all(isinstance(t, T.NumericType) for t in types) else T.StringType()
 
-    The filter reads only the file path, so Spark drops the other files from the scan
-    before opening them. The list has at most two spellings per calendar month. Parsing
-    the name costs a microsecond or two per row, which ``months_as_table`` avoids where
-    every month is a folder of part files.
-    """
-    reader = spark.read.option("recursiveFileLookup", True)
-    rows = (reader.schema(schema) if schema else reader).parquet(path)
-    month = _month_text(F.col("_metadata.file_path"), pattern)
-    wanted = sorted({f"{y}_{text}" for y, m in periods for text in (f"{m}", f"{m:02d}")})
-    return rows.filter(month.isin(wanted)).withColumns(_period(month))
 
+def by_schema(spark: SparkSession, paths: Sequence[str]) -> list[tuple[T.StructType, list[str]]]:
+    """Files grouped by their own columns and types; one footer is read per path."""
+    groups: dict[str, tuple[T.StructType, list[str]]] = {}
+    for path in paths:
+        schema = spark.read.parquet(path).schema
+        groups.setdefault(schema.json(), (schema, []))[1].append(path)
+    return list(groups.values())
 
-def month_paths(spark: SparkSession, path: str, pattern: str) -> DataFrame:
-    """(year, month, path, folder) of every monthly file, or folder of part files."""
-    month = _month_text(F.col("path"), pattern)
-    root = F.concat(F.substring_index("path", ".parquet", 1), F.lit(".parquet"))
-    columns = [c.alias(n) for n, c in _period(month).items()]
-    found = list_files(spark, path).select(*columns, root.alias("path"), (root != F.col("path")).alias("folder"))
-    return found.dropna().distinct()
+
+def with_all_columns(frames: Sequence[DataFrame]) -> list[DataFrame]:
+    """The same frames, each with the columns that only others have, as NULL."""
+    types: dict[str, list[T.DataType]] = {}
+    for df in frames:
+        for field in df.schema:
+            types.setdefault(field.name, []).append(field.dataType)
+    absent = {n: F.lit(None).cast(common_type(t)) for n, t in types.items()}
+    return [df.withColumns({n: c for n, c in absent.items() if n not in df.columns}) for df in frames]
+
+
+def read_files(spark: SparkSession, paths: Sequence[str], add: Callable[[DataFrame], DataFrame] = lambda df: df) -> DataFrame:
+    """Rows of exactly these files, by column name. Files may differ in columns and types:
+    each is read with its own, then brought to a common type. ``add`` sees each group as read."""
+    frames = with_all_columns([add(spark.read.schema(schema).parquet(*group)) for schema, group in by_schema(spark, paths)])
+    types = {n: common_type([df.schema[n].dataType for df in frames]) for n in frames[0].columns}
+    return union_all([df.select(*[F.col(f"`{n}`").cast(t).alias(n) for n, t in types.items()]) for df in frames])
 
 
 @contextmanager
-def months_as_table(spark: SparkSession, path: str, months: Sequence[tuple[int, int, str]]) -> Iterator[DataFrame]:
-    """Monthly folders as partitions of a table that exists inside the ``with`` block only.
+def month_frames(spark: SparkSession, path: str, months: Sequence[tuple[int, int, str, bool]], pattern: str) -> Iterator[list[DataFrame]]:
+    """Monthly files as frames with the month of the file, one for each kind of schema.
 
-    The catalog maps each month to its folder, so the month is a partition column: constant
-    per file, pruned by the planner, free per row. The table is external; dropping it leaves
-    the files. Columns have the types of the first month. A plain file cannot be a partition.
+    Folders become partitions of a table that exists inside the ``with`` block only: the
+    month is constant per file, pruned by the planner, free per row. Plain files take the
+    month from their name. All frames have the same columns; types are the files' own.
     """
-    columns = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in spark.read.parquet(months[0][2]).schema)
+    month_of = {m[2]: m for m in months}
+    with ExitStack() as open_tables:
+        frames = []
+        for schema, group in by_schema(spark, list(month_of)):
+            folders, files = ([p for p in group if month_of[p][3] == kind] for kind in (True, False))
+            turns: dict[int, list] = {}  # a table holds one folder per month
+            seen: Counter = Counter()
+            for p in folders:
+                turns.setdefault(seen[month_of[p][:2]], []).append(month_of[p][:3])
+                seen[month_of[p][:2]] += 1
+            frames += [open_tables.enter_context(months_as_table(spark, path, turn, schema)) for turn in turns.values()]
+            if files:
+                frames.append(_months_of_files(spark.read.schema(schema).parquet(*files), pattern))
+        yield with_all_columns(frames)
+
+
+def _months_of_files(rows: DataFrame, pattern: str) -> DataFrame:
+    """The month of each row's file, from the file's name."""
+    name = F.substring_index(F.substring_index(F.col("_metadata.file_path"), "/", -1), listing.SUFFIX, 1)
+    month = F.split(F.regexp_extract(name, pattern, 1), "_")
+    return rows.withColumns({p: month[k].cast("int") for k, p in enumerate(PERIOD)})
+
+
+@contextmanager
+def months_as_table(spark: SparkSession, path: str, months: Sequence[tuple[int, int, str]], schema: T.StructType) -> Iterator[DataFrame]:
+    """Monthly folders of one schema as partitions of an external table; dropping it leaves the files."""
+    columns = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in schema)
     name = f"flightlens_months_{uuid.uuid4().hex}"
     catalog.create_external(spark, name, columns, path, monthly=True)
     try:
@@ -137,25 +175,30 @@ def months_as_table(spark: SparkSession, path: str, months: Sequence[tuple[int,
         spark.sql(f"DROP TABLE IF EXISTS {name}")
 
 
-def read_months(spark: SparkSession, months: Sequence[tuple[int, int, str]]) -> list[DataFrame]:
-    """One frame per (year, month, path), each with the column types of its own file."""
-    return [
-        spark.read.parquet(path).withColumns({PERIOD[0]: F.lit(year), PERIOD[1]: F.lit(month)})
-        for year, month, path in months
-    ]
+def named_files(spark: SparkSession, path: str, pattern: str) -> list[str]:
+    """Paths of the files whose name matches."""
+    return [e.path for e in listing.entries(spark, path) if re.search(pattern, e.name)]
 
 
-def read_named(spark: SparkSession, path: str, pattern: str, schema: str | None = None, merge: bool = False) -> DataFrame:
+def read_named(spark: SparkSession, path: str, pattern: str) -> DataFrame:
     """Rows of every file whose name matches: a union of many files by column name."""
-    reader = spark.read.options(recursiveFileLookup=True, mergeSchema=merge)
-    rows = (reader.schema(schema) if schema else reader).parquet(path)
-    return rows.filter(_stem(F.col("_metadata.file_path")).rlike(pattern))
+    paths = named_files(spark, path, pattern)
+    if not paths:
+        raise FileNotFoundError(f"no file under {path} matches {pattern}")
+    return read_files(spark, paths)
+
+
+def registry_snapshots(spark: SparkSession, path: str) -> DataFrame | None:
+    """Every registry copy with its date as ``snapshot_date``: files and folders named by date,
+    and the partitions of ``sink.write_dated_snapshot``. None if there is neither."""
 
+    def dated(df: DataFrame) -> DataFrame:
+        where = F.col("_metadata.file_path")
+        date = F.regexp_extract(where, rf"(?:{AIRCRAFT_FILES}|/snapshot_date=(\d{{4}}-\d{{2}}-\d{{2}})/)", 0)
+        return df.withColumn("snapshot_date", F.regexp_extract(date, r"\d{4}-\d{2}-\d{2}", 0).try_cast("date"))
 
-def registry_snapshots(spark: SparkSession, path: str) -> DataFrame:
-    """Every registry file, with the date from its name as ``snapshot_date``."""
-    date = F.regexp_extract(_stem(F.col("_metadata.file_path")), AIRCRAFT_FILES, 1)
-    return read_named(spark, path, AIRCRAFT_FILES).withColumn("snapshot_date", date.try_cast("date"))
+    found = [e.path for e in listing.entries(spark, path) if re.search(AIRCRAFT_FILES, e.name) or e.name.startswith("snapshot_date=")]
+    return read_files(spark, found, dated) if found else None
 
 
 def airport_reference(spark: SparkSession, path: str, country: str | None = None) -> DataFrame:

@@ -4,11 +4,15 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import DataFrame, Observation
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from flightlens.functions.times import month_of
 from flightlens.schemas import PERIOD
+from flightlens.sources import listing
+
+# Hidden folder of a monthly table: months that were processed without a row.
+PROCESSED = "_processed"
 
 
 def overwrite_periods(df: DataFrame, path: str, *, rebalance: bool = False, sort: Sequence[str] = ()) -> None:
@@ -25,6 +29,23 @@ def overwrite_periods(df: DataFrame, path: str, *, rebalance: bool = False, sort
     df.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy(*PERIOD).parquet(path)
 
 
+def replace_periods(df: DataFrame, path: str, periods: Sequence[tuple[int, int]], **how) -> list[tuple[int, int]]:
+    """Make ``df`` the content of the given months: stored months that it no longer has are
+    deleted, and months without a row are recorded as processed. Returns these months.
+
+    A rewritten month has files of new names, so a listing tells which were not rewritten.
+    """
+    spark, folder = df.sparkSession, {p: f"{path}/{PERIOD[0]}={p[0]}/{PERIOD[1]}={p[1]}" for p in periods}
+    before = {p: listing.names_in(spark, f) for p, f in folder.items()}
+    overwrite_periods(df, path, **how)
+    empty = [p for p, f in folder.items() if listing.names_in(spark, f) == before[p]]
+    listing.delete(spark, [folder[p] for p in empty if before[p]])
+    if empty:
+        months = spark.createDataFrame(empty, ", ".join(f"{p} INT" for p in PERIOD))
+        months.coalesce(1).write.mode("append").parquet(f"{path}/{PROCESSED}")
+    return empty
+
+
 def write_snapshot(df: DataFrame, path: str, mode: str = "overwrite") -> None:
     """Whole table, replaced or added to."""
     df.write.mode(mode).option("partitionOverwriteMode", "static").parquet(path)
@@ -59,22 +80,26 @@ def write_keyed(rows: DataFrame, path: str) -> None:
 
 
 def split_by_month(df: DataFrame, path: str, year: str, yearmonth: str) -> DataFrame:
-    """Write one partition per month in a single pass and return the audit of the write:
-    rows per month as read back, and whether their total equals the rows that came in."""
-    seen = Observation()
+    """Write one partition per month in a single pass and return the audit of the write."""
     parts = {"year_partition": F.col(year).cast("int"), "month_partition": month_of(F.col(yearmonth))}
-    overwrite_periods(df.withColumns(parts).observe(seen, F.count(F.lit(1)).alias("rows")), path, rebalance=True)
-    return audit(df.sparkSession.read.parquet(path), seen.get["rows"])
-
-
-def audit(stored: DataFrame, rows_in: int) -> DataFrame:
-    """Rows per stored month next to the rows of the input."""
-    months = stored.groupBy(*PERIOD).agg(F.count(F.lit(1)).alias("rows_written"))
-    total = months.agg(F.sum("rows_written")).scalar()
-    return months.select(
+    rows = df.withColumns(parts)
+    overwrite_periods(rows, path, rebalance=True)
+    return audit(df.sparkSession.read.parquet(path), rows)
+
+
+def audit(stored: DataFrame, rows: DataFrame) -> DataFrame:
+    """Rows per month as read back next to the rows of the input, for the months of the input
+    only; ``verified`` if the totals and every month agree."""
+    count = F.count(F.lit(1))
+    read = rows.groupBy(*PERIOD).agg(count.alias("rows_read"))
+    months = read.join(stored.groupBy(*PERIOD).agg(count.alias("rows_written")), PERIOD, "left").fillna(0, ["rows_written"])
+    months = months.select(*PERIOD, "rows_read", "rows_written")
+    same = months.agg(F.bool_and(F.col("rows_read") == F.col("rows_written"))).scalar()
+    report = months.select(
         *PERIOD,
         "rows_written",
-        F.lit(rows_in).cast("bigint").alias("total_read"),
-        total.alias("total_written"),
-        (total == rows_in).alias("verified"),
+        months.agg(F.sum("rows_read")).scalar().alias("total_read"),
+        months.agg(F.sum("rows_written")).scalar().alias("total_written"),
+        same.alias("verified"),
     )
+    return report.sparkSession.createDataFrame(report.collect(), report.schema)  # one row per month, as of now

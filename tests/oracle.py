@@ -8,6 +8,7 @@ from __future__ import annotations
 import math
 import os
 import sys
+import tempfile
 import time
 
 import duckdb
@@ -71,7 +72,7 @@ def compare(df, con, sql: str) -> str | None:
 
 if __name__ == "__main__":
     from __spark_entry__ import oracle_sql, queries
-    from flightlens import build_session
+    from flightlens import build_session, clear_scratch
 
     sf_dir = sys.argv[1] if len(sys.argv) > 1 else "/root/testdata/sf0.01"
     wanted = sys.argv[2:]
@@ -80,6 +81,8 @@ if __name__ == "__main__":
         spark__ui__enabled="false",
         spark__sql__shuffle__partitions="8",
         spark__ui__showConsoleProgress="false",
+        spark__checkpoint__dir=tempfile.mkdtemp(prefix="oracle-"),
+        spark__sql__warehouse__dir=tempfile.mkdtemp(prefix="oracle-tables-"),
     )
     spark.sparkContext.setLogLevel("ERROR")
     con, oracles, bad = connect(sf_dir), oracle_sql(), 0
@@ -94,4 +97,5 @@ if __name__ == "__main__":
             problem = f"{type(error).__name__}: {str(error)[:600]}"
         bad += problem is not None
         print(f"{'ok ' if problem is None else 'BAD'} {name} {time.time() - start:.1f}s {problem or ''}", flush=True)
+    clear_scratch(spark)
     print(f"{bad} of {len(queries())} differ")

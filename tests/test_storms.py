@@ -7,6 +7,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from flightlens.operators.spatial import within_radius
+from flightlens.plans import storms
 from flightlens.plans.storms import aligned_storms, storm_hours, storms_near_airports
 
 from conftest import values
@@ -128,3 +129,15 @@ def test_result_columns_order_and_country(rows):
     got = [(r.HOUR_OFFSET, r.AIRPORT_ID, round(r.DISTANCE_KM, 1)) for r in out.collect()]
     assert got == [(0, 1, 0.0), (0, 2, 11.1), (1, 1, 0.0), (1, 2, 11.1)]
     assert storms_near_airports(storms, airports, country="Canada", spread=0).count() == 2
+
+
+def test_a_storm_of_centuries_is_listed_and_loses_no_hour(spark, rows):
+    schema = "ORIGINAL_INDEX bigint, BEGIN_DATETIME timestamp, END_DATETIME timestamp, BEGIN_LAT double, BEGIN_LON double, END_LAT double, END_LON double, EVENT_TYPE string, EVENT_CATEGORY_ID int"
+    df = rows(schema, (1, None, None, 1.0, 2.0, 3.0, 4.0, "Hail", 1)).drop("BEGIN_DATETIME", "END_DATETIME")
+    span = df.withColumns({"BEGIN_DATETIME": F.lit("1998-01-01").cast("timestamp"), "END_DATETIME": F.lit("2198-01-01").cast("timestamp")})
+    back = span.withColumns({"ORIGINAL_INDEX": F.lit(2).cast("bigint"), "BEGIN_DATETIME": F.col("END_DATETIME"), "END_DATETIME": F.lit("2197-09-01").cast("timestamp")})
+    both = span.unionByName(back)
+    hours = storms.storm_hours(both).groupBy("ORIGINAL_INDEX").agg(F.count("*"), F.count_distinct("HOUR_OFFSET"), F.min("HOUR_OFFSET"), F.max("HOUR_OFFSET"))
+    days = 200 * 365 + 49
+    assert values(hours) == [(1, days * 24 + 1, days * 24 + 1, 0, days * 24), (2, 122 * 24 + 1, 122 * 24 + 1, -122 * 24, 0)]
+    assert [r.ORIGINAL_INDEX for r in storms.long_storms(both).collect()] == [1]
