@@ -77,7 +77,7 @@ def counts(docs: DataFrame) -> DataFrame:
             "repeated": 100 * F.col("n_repeat_words") > 50 * words,
             "symbols": 10 * F.col("n_symbols") > words,
             "word_length": (F.col("word_chars") < 3 * words) | (F.col("word_chars") > 12 * words),
-            "dup_lines": 10 * F.col("n_dup_lines") > 3 * F.col("n_lines"),
+            "dup_lines": 2 * F.col("n_dup_lines") > F.col("n_lines"),
         }
     )
 

@@ -150,7 +150,7 @@ counted AS (
 failed AS (
     SELECT doc_id, source, unnest(['short', 'repeated', 'symbols', 'word_length', 'dup_lines']) AS rule,
            unnest([n_words < 50, 100 * n_repeat_words > 50 * n_words, 10 * n_symbols > n_words,
-                   word_chars < 3 * n_words OR word_chars > 12 * n_words, 10 * n_dup_lines > 3 * n_lines])::INTEGER AS f
+                   word_chars < 3 * n_words OR word_chars > 12 * n_words, 2 * n_dup_lines > n_lines])::INTEGER AS f
     FROM counted
 ),
 rates AS (SELECT source, rule, sum(f) AS f, count(*) AS n FROM failed WHERE source IS NOT NULL GROUP BY source, rule),

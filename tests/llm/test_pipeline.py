@@ -29,7 +29,7 @@ def test_every_stage_of_the_test_table(spark, tmp_path):
         if name == "quality_rules":
             def good(t):
                 n, chars, symbols, dup, repeat = counted(t)
-                return n >= 50 and 2 * repeat <= n and 10 * symbols <= n and 3 * n <= chars <= 12 * n and 10 * dup <= 3 * (t.count("\n") + 1)
+                return n >= 50 and 2 * repeat <= n and 10 * symbols <= n and 3 * n <= chars <= 12 * n and 2 * dup <= t.count("\n") + 1
 
             assert set(after) == {i for i, t in texts if good(t)}  # no host is rejected
         elif name == "line_dedup":
