@@ -165,7 +165,7 @@ def build_views(
     ``flightlens.session.materialize``; by default nothing is stored.
     """
     fine = shared(month_stats(flights, AIRPORT, CARRIER), "airport_carrier_month_stats")
-    by_airport = merge_stats(fine, DELAY_AIRPORT.grain)
+    by_airport = shared(merge_stats(fine, DELAY_AIRPORT.grain), "airport_month_stats")
     delays = finish(by_airport, DELAY_AIRPORT.grain, DELAY_AIRPORT.measures)
     views = {
         DELAY_AIRPORT: delays,

@@ -1,10 +1,11 @@
 """Session settings and the scratch folder."""
 
+from pathlib import Path
 from types import SimpleNamespace
 
 import pytest
 
-from flightlens import build_session, pin_utc, scratch_dir
+from flightlens import build_session, clear_scratch, pin_utc, scratch_dir
 from flightlens.session import materialize
 
 from conftest import values
@@ -29,6 +30,16 @@ def test_stored_intermediate_tables_are_separate(rows):
     assert "FileScan parquet" in first._jdf.queryExecution().executedPlan().toString()
 
 
+def test_intermediate_tables_can_be_cleared(spark, rows, tmp_path):
+    settings = SimpleNamespace(get=lambda key, default: f"file:{tmp_path}")
+    other = SimpleNamespace(conf=settings, sparkContext=spark.sparkContext)
+    path = scratch_dir(other, "t")
+    rows("x int", 1).write.parquet(path)
+    assert Path(path.removeprefix("file:")).exists()
+    clear_scratch(other)
+    assert not list(tmp_path.iterdir())
+
+
 def test_settings(spark):
     assert build_session().conf.get("spark.sql.session.timeZone") == "UTC"
     assert spark.conf.get("spark.sql.ansi.enabled") == "true"
