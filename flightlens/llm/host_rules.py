@@ -33,23 +33,34 @@ def repeat_words(df: DataFrame, text: Column, out: str) -> DataFrame:
     3 + min(3, p2 - p1) + min(3, p3 - p2) + ... words.
     """
     w, h, s, p = (free_name(df, x) for x in ("w", "h", "s", "p"))
+    no = F.lit(False)
+
+    def both(a, b):
+        return F.xxhash64(a, b)
+
+    def ahead(array: str) -> Column:
+        """Each element's successor; null for the last, once zipped."""
+        return F.slice(array, 2, F.greatest(F.size(array), F.lit(1)))
+
     df = df.withColumn(w, words_of(text))
-    n = F.size(w)
-    df = df.withColumn("n_words", n.cast("long")).withColumn(h, F.transform(w, lambda x: F.xxhash64(x))).drop(w)
-    second, third = F.slice(h, 2, F.greatest(F.size(h) - 2, F.lit(0))), F.slice(h, 3, F.greatest(F.size(h) - 2, F.lit(0)))
-    first = F.slice(h, 1, F.greatest(F.size(h) - 2, F.lit(0)))
-    mixed = F.zip_with(F.zip_with(first, second, lambda a, b: F.xxhash64(a, b)), third, lambda a, b: F.xxhash64(a, b))
-    df = df.withColumn(h, mixed)
+    df = df.withColumns({"n_words": F.size(w).cast("long"), h: F.transform(w, lambda x: F.xxhash64(x))}).drop(w)
+    n = F.greatest(F.size(h) - 2, F.lit(0))
+    df = df.withColumn(h, F.zip_with(F.zip_with(F.slice(h, 1, n), F.slice(h, 2, n), both), F.slice(h, 3, n), both))
+
     df = df.withColumn(s, F.sort_array(h))
-    twice = F.exists(F.zip_with(s, F.slice(s, 2, F.greatest(F.size(s), F.lit(1))), lambda a, b: a == b), lambda x: x)
-    pairs = F.array_sort(F.transform(h, lambda x, i: F.struct(x.alias("h"), i.alias("i"))))
-    df = df.withColumn(p, F.when(F.coalesce(twice, F.lit(False)), pairs)).drop(s, h)
-    ahead = F.slice(p, 2, F.size(p))
+    twice = F.exists(F.zip_with(s, ahead(s), lambda a, b: a == b), lambda x: x)
+    places = F.array_sort(F.transform(h, lambda x, i: F.struct(x.alias("h"), i.alias("i"))))
+    df = df.withColumn(p, F.when(F.coalesce(twice, no), places)).drop(s, h)
+
+    # A place stays if the hash before or after it, in order of hashes, is the same.
+    like_next = F.zip_with(p, ahead(p), lambda a, b: F.struct(a.alias("at"), F.coalesce(a["h"] == b["h"], no).alias("same")))
     behind = F.concat(F.array(F.lit(None).cast("struct<h:bigint,i:int>")), F.slice(p, 1, F.size(p) - 1))
-    flags = F.zip_with(F.zip_with(p, ahead, lambda a, b: F.struct(a.alias("x"), (a["h"] == b["h"]).alias("up"))), behind, lambda a, b: F.when(F.coalesce(a["up"], F.lit(False)) | F.coalesce(a["x"]["h"] == b["h"], F.lit(False)), a["x"]["i"]))
-    df = df.withColumn(p, F.sort_array(F.array_compact(flags)))
-    gaps = F.zip_with(p, F.slice(p, 2, F.size(p)), lambda a, b: F.least(F.coalesce(b - a, F.lit(3)), F.lit(3)))
-    return df.withColumn(out, F.coalesce(F.aggregate(gaps, F.lit(0).cast("long"), lambda acc, x: acc + x), F.lit(0).cast("long"))).drop(p)
+    repeated = F.zip_with(like_next, behind, lambda a, b: F.when(a["same"] | F.coalesce(a["at"]["h"] == b["h"], no), a["at"]["i"]))
+    df = df.withColumn(p, F.sort_array(F.array_compact(repeated)))
+
+    covered = F.zip_with(p, ahead(p), lambda a, b: F.least(F.coalesce(b - a, F.lit(3)), F.lit(3)))
+    zero = F.lit(0).cast("long")
+    return df.withColumn(out, F.coalesce(F.aggregate(covered, zero, lambda acc, x: acc + x), zero)).drop(p)
 
 
 def dup_lines(text: Column) -> Column:
@@ -58,7 +69,7 @@ def dup_lines(text: Column) -> Column:
 
 
 def counts(docs: DataFrame) -> DataFrame:
-    """(did, sig, host) with the counts and one boolean per rule; equal rows are one."""
+    """(did, sig, host) with the counts and one boolean per rule, for every row."""
     text = text_of("t")
     df = docs.select(did().alias("did"), sig().alias("sig"), F.col("source").alias("host"), F.col("text").alias("t"))
     df = df.withColumns(
