@@ -49,8 +49,12 @@ ROW_KEYS = {
 def keyed_rows(df: DataFrame, key: Column, cells: Sequence[str]) -> DataFrame:
     """Rows of a key-value table; a row without key or without any cell is left out."""
     types = dict(df.dtypes)
-    texts = F.array(*[as_text(F.col(c), types[c]) for c in cells])
-    names = F.array(*[F.lit(c) for c in cells])
+    # All doubles are written by one expression over an array: plans stay small for wide rows.
+    doubles = [c for c in cells if types[c] == "double"]
+    others = [c for c in cells if types[c] != "double"]
+    written = F.transform(F.array(*doubles).cast("array<double>"), lambda x: as_text(x, "double"))
+    texts = F.concat(written, F.array(*[as_text(F.col(c), types[c]) for c in others]).cast("array<string>"))
+    names = F.array(*[F.lit(c) for c in [*doubles, *others]])
     present = F.map_filter(F.map_from_arrays(names, texts), lambda _, v: v.isNotNull())
     rows = df.select(key.alias("rowkey"), present.alias("cells"))
     return rows.filter(F.col("rowkey").isNotNull() & (F.size("cells") > 0))
