@@ -14,8 +14,6 @@ task's memory). Past that, more lines are suspected and shuffled; the result is
 
 from __future__ import annotations
 
-import zlib
-
 import numpy as np
 import pandas as pd
 import pyarrow as pa
@@ -23,13 +21,10 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from flightlens.llm.bloom import MAX_FILTER_BITS, bits_of, contains, filter_of, passes
 from flightlens.llm.common import LOWER, UPPER, WHITE, did, free_name, lower_ascii, prepare, sig, text_of, without
 from flightlens.session import materialize
 
-MAX_FILTER_BITS = 2**30
-SEGMENT_BITS = 2**20
-PROBES = 4
-
 
 def n_lines(text: Column) -> Column:
     return F.length(text) - F.length(without(text, "\n")) + F.lit(1)
@@ -41,75 +36,6 @@ def keys_of(text: Column, min_chars: int) -> Column:
     return F.array_distinct(F.filter(lines, lambda x: F.length(x) >= min_chars))
 
 
-def bits_of(hashes: np.ndarray, bits: int) -> np.ndarray:
-    """Positions of each hash in a filter: one row per hash."""
-    h = hashes.view(np.uint64)
-    low, high = h & np.uint64(0xFFFFFFFF), (h >> np.uint64(32)) | np.uint64(1)
-    steps = np.arange(PROBES, dtype=np.uint64)
-    return ((low[:, None] + steps * high[:, None]) % np.uint64(bits)).astype(np.int64)
-
-
-def contains(bitmap: np.ndarray, where: np.ndarray) -> np.ndarray:
-    return ((bitmap[where >> 3] >> (where & 7).astype(np.uint8)) & 1).all(axis=1)
-
-
-def put(bitmap: np.ndarray, where: np.ndarray) -> None:
-    where = np.unique(where)
-    np.bitwise_or.at(bitmap, where >> 3, np.uint8(1) << (where & 7).astype(np.uint8))
-
-
-def fill(bits: int):
-    """Batches of ``hashes`` → (segment, once, twice) of this task."""
-
-    def run(batches):
-        once, twice = np.zeros(bits // 8, np.uint8), np.zeros(bits // 8, np.uint8)
-        for batch in batches:
-            hashes, count = np.unique(batch.column(0).flatten().to_numpy(zero_copy_only=False), return_counts=True)
-            where = bits_of(hashes, bits)
-            again = (count > 1) | contains(once, where)
-            put(twice, where[again])
-            put(once, where)
-        size = min(SEGMENT_BITS, bits) // 8
-        for k in range(bits // 8 // size):
-            part = slice(k * size, (k + 1) * size)
-            if once[part].any():
-                yield segment(k, once[part], twice[part])
-
-    return run
-
-
-def segment(k: int, once: np.ndarray, twice: np.ndarray) -> pa.RecordBatch:
-    packed = [zlib.compress(x.tobytes(), 1) for x in (once, twice)]
-    return pa.RecordBatch.from_arrays([pa.array([k], pa.int32()), *(pa.array([x], pa.binary()) for x in packed)], names=["segment", "once", "twice"])
-
-
-def merge(batches):
-    """Folds the parts of each segment one by one: memory for the segments of this task only."""
-    folded: dict[int, list[np.ndarray]] = {}
-    for batch in batches:
-        for k, *parts in zip(*(batch.column(i).to_pylist() for i in range(3)), strict=True):
-            once, twice = (np.frombuffer(zlib.decompress(x), np.uint8) for x in parts)
-            if k not in folded:
-                folded[k] = [once.copy(), twice.copy()]
-            else:
-                folded[k][1] |= twice | (folded[k][0] & once)
-                folded[k][0] |= once
-    for k, (once, twice) in folded.items():
-        yield segment(k, once[:0], twice)
-
-
-def repeated_filter(keyed: DataFrame, lines: int, max_filter_bits: int):
-    """The merged *twice* filter, as a broadcast variable, and its length in bits."""
-    bits = min(max(1 << (16 * max(lines, 1) - 1).bit_length(), SEGMENT_BITS), max_filter_bits)
-    parts = keyed.select("hashes").mapInArrow(fill(bits), "segment int, once binary, twice binary")
-    merged = parts.repartition(F.col("segment")).mapInArrow(merge, "segment int, once binary, twice binary").select("segment", "twice")
-    size = min(SEGMENT_BITS, bits) // 8
-    whole = np.zeros(bits // 8, np.uint8)
-    for row in merged.toLocalIterator():  # bits / 8 bytes in all
-        whole[row.segment * size : (row.segment + 1) * size] = np.frombuffer(zlib.decompress(row.twice), np.uint8)
-    return keyed.sparkSession.sparkContext.broadcast(whole.tobytes()), bits
-
-
 def suspect_lines(twice, bits: int):
     """(did, sig, keys, hashes) → a row for each key that passes the filter."""
 
@@ -125,21 +51,6 @@ def suspect_lines(twice, bits: int):
     return run
 
 
-def holds_suspect(twice, bits: int):
-    """Column function: does any hash of the list pass the filter?"""
-
-    @F.pandas_udf("boolean")
-    def run(lists: pd.Series) -> pd.Series:
-        sizes = np.fromiter(map(len, lists), np.int64, len(lists))
-        flags = np.zeros(len(lists), bool)
-        if sizes.sum():
-            found = contains(np.frombuffer(twice.value, np.uint8), bits_of(np.concatenate(lists.to_list()).astype(np.int64), bits))
-            flags[np.repeat(np.arange(len(lists)), sizes)[found]] = True
-        return pd.Series(flags)
-
-    return run
-
-
 FOLD = str.maketrans(UPPER, LOWER)
 
 
@@ -171,7 +82,7 @@ def dedup_lines(docs: DataFrame, *, min_chars: int = 10, max_filter_bits: int =
     lines = docs.select(F.sum(n_lines(text)).alias("n")).first().n or 0
     keyed = docs.select(did().alias("did"), sig().alias("sig"), keys_of(text, min_chars).alias("keys"))
     keyed = keyed.withColumn("hashes", F.transform("keys", lambda k: F.xxhash64(k)))
-    twice, bits = repeated_filter(keyed, lines, max_filter_bits)
+    twice, bits = filter_of(keyed.select("hashes"), lines, "twice", max_filter_bits)
 
     found = materialize(keyed.mapInArrow(suspect_lines(twice, bits), "did bigint, sig bigint, key string"), "lines")
     ends = found.groupBy("key").agg(F.min("did").alias("first"), F.max("did").alias("last"))
@@ -180,7 +91,7 @@ def dedup_lines(docs: DataFrame, *, min_chars: int = 10, max_filter_bits: int =
     gone = gone.groupBy(F.col("did").alias(d), F.col("sig").alias(s)).agg(F.collect_set("key").alias(lost))
 
     kept = [c for c in docs.columns if c.lower() not in ("n_lines", "n_dropped")]
-    marked = docs.withColumn(flag, holds_suspect(twice, bits)(F.transform(keys_of(text, min_chars), lambda k: F.xxhash64(k))))
+    marked = docs.withColumn(flag, passes(twice, bits)(F.transform(keys_of(text, min_chars), lambda k: F.xxhash64(k))))
     whole = marked.where(~F.col(flag)).select(*kept, n_lines(text).cast("long").alias("n_lines"), F.lit(0).cast("long").alias("n_dropped"))
     part = marked.where(F.col(flag)).withColumns({d: did(), s: sig()}).join(gone, [d, s], "left")
     part = part.withColumn(lost, without_lines(text, F.coalesce(F.col(lost), F.array().cast("array<string>"))))

@@ -26,6 +26,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from flightlens.llm.bloom import filter_of, passes
 from flightlens.llm.common import WHITE, did, keyed, lower_ascii, prepare, sig, text_of, without, words_of
 from flightlens.llm.components import components
 from flightlens.session import materialize
@@ -169,7 +170,7 @@ def forest(nodes: DataFrame) -> DataFrame:
     """(region, tree, node, n) of regions with two nodes or more; n: nodes in the region."""
     leaves = nodes.select("node", F.posexplode("regions").alias("tree", "region"))
     shared = materialize(leaves.groupBy("region").agg(F.count("*").alias("n")).where("n > 1"), "regions")
-    return materialize(leaves.join(shared, "region"), "leaves")
+    return materialize(leaves.join(shared.hint("merge"), "region"), "leaves")
 
 
 def candidates(leaves: DataFrame, nodes: DataFrame, least: float) -> DataFrame:
@@ -293,7 +294,10 @@ def linked(docs: DataFrame, *, shingle: int = 5, percent: int = 80) -> DataFrame
     needed = pairs.select(F.col("a").alias("node")).unionByName(pairs.select(F.col("b").alias("node")))
     needed = needed.unionByName(leaves.where(F.col("n") > WINDOW + 1).select("node")).distinct()
     needed = materialize(needed.join(nodes, "node").select("node", "doc.did", "doc.sig"), "needed")
-    texts = rows.join(needed, ["did", "sig"]).dropDuplicates(["did", "sig"]).select("node", word_hashes(text_of()))
+    # Only documents that pass a filter of the needed ones leave their task.
+    place = F.array(F.xxhash64("did", "sig"))
+    wanted, bits = filter_of(needed.select(place.alias("hashes")), needed.count(), "once")
+    texts = rows.where(passes(wanted, bits)(place)).join(needed.hint("merge"), ["did", "sig"]).dropDuplicates(["did", "sig"]).select("node", word_hashes(text_of()))
     sets = materialize(texts.mapInArrow(shingled(shingle), "node binary, shingles array<bigint>"), "sets")
 
     first = confirmed(best_of_each(pairs, FIRST), sets, percent)
