@@ -8,13 +8,16 @@
 3. Candidates are neighbours in a tree's order inside a region. A region of up to ``WINDOW`` nodes
    gives all its pairs. In a denser one the order goes on to deeper hashes, so that the
    next ``WINDOW`` nodes are those with the longest common prefix: depth adapts to density.
-   Large regions are sorted by range over many tasks, and each node keeps its best few there.
+   Large regions are sorted by range over many tasks, and each node keeps its best few there:
+   these only start the components, step 6 compares the rest.
 4. Candidates far below the limit by their signatures are dropped. The best of each node
    are confirmed on the full sets first; then, between components that are still apart,
    all the others are confirmed.
 5. A node with few partners inside a dense cluster may have met none of them. So the nodes
    that share a dense region with a large component, but do not belong to it, are compared
    with all its members, in tiles of bounded size; only confirmed links leave a tile.
+6. The nodes of each dense region outside its large component are then compared with each
+   other, whatever component they are in: all pairs of different components, in tiles too.
 
 At a similarity of 0.8, two sets share a region of some tree with a probability over 0.99999.
 """
@@ -225,20 +228,22 @@ def merge(roots: DataFrame, bridges: DataFrame, name: str) -> DataFrame:
     return materialize(every.select("node", F.coalesce("over", "root").alias("root")), f"{name}-roots")
 
 
-def strays(leaves: DataFrame, roots: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """(core, node) of the members of large components, and of the other nodes that share a dense region with them.
+def strays(leaves: DataFrame, roots: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """(core, node) of the members of large components, and of the other nodes that share a dense region with them;
+    (region, tree, node) of all nodes of dense regions that are outside the region's core.
 
     A component of over ``WINDOW`` nodes is the core of the dense regions where it has most
-    nodes, if there are over ``WINDOW`` of them.
+    nodes, if there are over ``WINDOW`` of them. Other dense regions have none.
     """
     large = materialize(roots.groupBy("root").agg(F.count("*").alias("n")).where(F.col("n") > WINDOW).select("root"), "large")
     members = roots.join(large, "root").select(F.col("root").alias("core"), "node")
-    dense = leaves.where(F.col("n") > WINDOW + 1).select("region", "node").join(roots, "node", "left").withColumn("root", F.coalesce("root", "node"))
+    dense = leaves.where(F.col("n") > WINDOW + 1).select("region", "tree", "node").join(roots, "node", "left").withColumn("root", F.coalesce("root", "node"))
     dense = materialize(dense, "dense-roots")
     share = dense.groupBy("region", "root").agg(F.count("*").alias("n"))
     core = share.groupBy("region").agg(F.max(F.struct("n", "root")).alias("top")).where(F.col("top.n") > WINDOW)
     core = materialize(core.select("region", F.col("top.root").alias("core")), "cores")
-    return members, dense.join(core, "region").where("root != core").select("core", "node").distinct()
+    outside = dense.join(core, "region", "left").where("core IS NULL OR root != core")
+    return members, outside.where("core IS NOT NULL").select("core", "node").distinct(), outside.select("region", "tree", "node")
 
 
 def tiled(members: DataFrame, others: DataFrame) -> tuple[DataFrame, DataFrame]:
@@ -271,6 +276,96 @@ def links_to_core(least: float, percent: int):
     return run
 
 
+def paired(outside: DataFrame, roots: DataFrame) -> DataFrame:
+    """``outside`` with root, block, i and j: any two nodes of a region with several roots meet in one tile (i, j), i <= j, of its blocks of about ``TILE``."""
+    rows = materialize(outside.join(roots, "node", "left").withColumn("root", F.coalesce("root", "node")), "outside")
+    count = rows.groupBy("region").agg(F.count("*").alias("n"), F.min("root").alias("low"), F.max("root").alias("high")).where("low != high")
+    count = materialize(count.select("region", F.ceil(F.col("n") / TILE).alias("blocks")), "outside-blocks")
+    rows = rows.join(count, "region").withColumn("block", F.pmod(F.xxhash64("node"), "blocks"))
+    rows = rows.withColumn("other", F.explode(F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1)))
+    return rows.select("region", "tree", "node", "root", "block", F.least("block", "other").alias("i"), F.greatest("block", "other").alias("j"))
+
+
+def common_counts(x: list[np.ndarray], y: list[np.ndarray], shared: np.ndarray) -> np.ndarray:
+    """Sizes of the intersections of all sets of ``x`` with all of ``y``; ``shared``: sorted elements that are in both."""
+
+    def places(sets):
+        row, value = np.repeat(np.arange(len(sets)), [len(s) for s in sets]), np.concatenate(sets)
+        at = np.minimum(np.searchsorted(shared, value), len(shared) - 1)
+        hit = shared[at] == value
+        order = np.argsort(at[hit], kind="stable")
+        return row[hit][order], at[hit][order]
+
+    out = np.zeros((len(x), len(y)), np.int64)
+    sides = [(len(s), *places(s)) for s in (x, y)] if len(shared) else []
+    for begin in range(0, len(shared), BLOCK):
+        parts = []
+        for n, row, at in sides:
+            low, high = np.searchsorted(at, [begin, begin + BLOCK])
+            part = np.zeros((n, min(BLOCK, len(shared) - begin)), np.float32)
+            part[row[low:high], at[low:high] - begin] = 1
+            parts.append(part)
+        out += np.rint(parts[0] @ parts[1].T).astype(np.int64)
+    return out
+
+
+def links_between(least: float, percent: int):
+    """A tile of a region → (u, v): roots that are linked by a pair of the tile, as a forest.
+
+    A pair that shares a region of an earlier tree has been compared there: with a core, in a
+    small region, or in a tile of that region.
+    """
+
+    def run(tile: pa.Table) -> pa.Table:
+        i, j, tree = (tile.column(c)[0].as_py() for c in ("i", "j", "tree"))
+        block = tile.column("block").to_numpy()
+        left, right = np.flatnonzero(block == i), np.flatnonzero(block == j)
+        names = tile.column("root").to_pylist()
+        number = np.unique(np.array([x.hex() for x in names]), return_inverse=True)[1]
+        small = np.frombuffer(b"".join(tile.column("small").to_pylist()), np.uint8).reshape(tile.num_rows, HASHES)
+        regions = np.array(tile.column("regions").to_pylist(), np.int64).reshape(tile.num_rows, TREES)
+        open_ = number[left][:, None] != number[right]
+        if i == j:
+            open_ &= left[:, None] < right
+        same = np.zeros(open_.shape, np.uint8)
+        for k in range(HASHES):
+            same += small[left, k][:, None] == small[right, k]
+        open_ &= (same / HASHES - 1 / 256) * 256 / 255 >= least
+        if open_.any():
+            for k in range(tree):
+                open_ &= regions[left, k][:, None] != regions[right, k]
+        a, b = open_.nonzero()
+        found = []
+        if len(a):
+            parent = list(range(number.max() + 1))
+
+            def find(x: int) -> int:
+                while parent[x] != x:
+                    parent[x] = x = parent[parent[x]]
+                return x
+
+            (rows, ra), (cols, rb) = np.unique(a, return_inverse=True), np.unique(b, return_inverse=True)
+            lists = tile.column("shingles")
+            x, y = ([np.asarray(lists[int(k)].values) for k in side] for side in (left[rows], right[cols]))
+            nx, ny = (np.array([len(s) for s in side]) for side in (x, y))
+            shared = np.intersect1d(np.unique(np.concatenate(x)), np.unique(np.concatenate(y)), assume_unique=True)
+            # All intersections as one product of matrices, or each alone, whichever is less work.
+            product = 1e-10 * len(x) * len(y) * len(shared) < len(a) * (2e-5 + 5e-8 * (nx.mean() + ny.mean()))
+            both = common_counts(x, y, shared) if product else None
+            for k in np.argsort(-same[a, b].astype(np.int64), kind="stable"):
+                p, q = ra[k], rb[k]
+                u, v = find(number[left[a[k]]]), find(number[right[b[k]]])
+                if u == v:
+                    continue
+                n = both[p, q] if product else len(np.intersect1d(x[p], y[q], assume_unique=True))
+                if 100 * n >= percent * (nx[p] + ny[q] - n):
+                    parent[u] = v
+                    found.append((names[left[a[k]]], names[right[b[k]]]))
+        return pa.table({"u": pa.array([u for u, _ in found], pa.binary()), "v": pa.array([v for _, v in found], pa.binary())})
+
+    return run
+
+
 def linked(docs: DataFrame, *, shingle: int = 5, percent: int = 80) -> DataFrame:
     """did, sig, n_shingles, component (smallest did reachable), kept and root of every row of ``docs``.
 
@@ -306,7 +401,7 @@ def linked(docs: DataFrame, *, shingle: int = 5, percent: int = 80) -> DataFrame
     bridges = confirmed(rest.select("a", "b"), sets, percent).join(rest, ["a", "b"])
     roots = merge(roots, bridges.select(F.col("ra").alias("u"), F.col("rb").alias("v")), "rest")
 
-    members, others = (materialize(x, "strays") for x in strays(leaves, roots))
+    members, others, outside = (materialize(x, "strays") for x in strays(leaves, roots))
     if not others.isEmpty():
         full = sets.join(nodes.select("node", "small"), "node")
         left, right = (x.join(full, "node").select("core", "m", "o", "node", "small", "shingles") for x in tiled(members, others))
@@ -314,6 +409,10 @@ def linked(docs: DataFrame, *, shingle: int = 5, percent: int = 80) -> DataFrame
         more = left.groupBy("core", "m", "o").cogroup(right.groupBy("core", "m", "o")).applyInArrow(links_to_core(least, percent), "u binary, v binary")
         more = more.join(roots.withColumnRenamed("node", "u"), "u", "left").select(F.coalesce("root", "u").alias("u"), "v").distinct()
         roots = merge(roots, more, "strays")
+    if not outside.isEmpty():
+        full = sets.join(nodes.select("node", "small", "regions"), "node")
+        tiles = paired(outside, roots).join(full, "node").groupBy("region", "i", "j")
+        roots = merge(roots, tiles.applyInArrow(links_between(least, percent), "u binary, v binary"), "outside")
 
     named = nodes.select("node", "doc.did").join(roots, "node", "left").withColumn("root", F.coalesce("root", "node"))
     named = materialize(named, "rooted")

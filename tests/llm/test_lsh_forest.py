@@ -64,6 +64,31 @@ def test_groups_of_any_size_and_similarity(spark, rows):
     assert run(rows("doc_id long, text string", *docs).repartition(6), shingle=4) == plain(docs, 4)
 
 
+def test_pairs_in_a_dense_region_of_texts_below_the_limit(spark, rows):
+    draw = random.Random(11)
+    base, own = [f"t{k}" for k in range(172)], lambda k: [f"o{k}x{j}" for j in range(28)]
+    texts = []
+    for k in range(800):  # 0.754 alike; the first 200 have a partner 0.80 to 0.85 alike
+        texts.append(base + own(k))
+        if k < 200:
+            shared = draw.randint(6, 12)
+            texts.append(base + own(k)[:shared] + own(k + 1000)[shared:])
+    docs = list(enumerate(" ".join(x) for x in texts))
+    draw.shuffle(docs)
+    want = plain(docs, 1)
+    assert sum(not kept for *_, kept in want) == 200
+    assert run(rows("doc_id long, text string", *docs).repartition(4), shingle=1) == want
+
+
+@pytest.mark.parametrize("shared", [5, 5000])
+def test_common_counts(shared):
+    draw = np.random.default_rng(3)
+    sets_ = [np.unique(draw.integers(0, 2 * shared, shared)) for _ in range(9)]
+    elements = np.intersect1d(np.concatenate(sets_[:4]), np.concatenate(sets_[4:]))
+    got = lsh_forest.common_counts(sets_[:4], sets_[4:], elements)
+    assert got.tolist() == [[len(np.intersect1d(a, b)) for b in sets_[4:]] for a in sets_[:4]]
+
+
 def test_edges(spark, rows):
     long = " ".join(f"w{k}" for k in range(40_000))
     docs = [(1, None), (2, None), (3, ""), (4, " \n"), (5, "One"), (6, "one"), (7, "one two three"), (None, "ONE two  three"), (8, long), (9, long + " end"), (8, long), (8, "other text with the same identifier"), (10, "a b c d e f"), (11, "a b c d e g")]
