@@ -19,7 +19,8 @@
 6. The nodes of each dense region outside its large component are then compared with each
    other, whatever component they are in: all pairs of different components, in tiles too.
 
-At a similarity of 0.8, two sets share a region of some tree with a probability over 0.99999.
+At a similarity of 0.8, two sets share no region of any tree with a probability of 3.2e-6, and their
+signatures differ by more than ``SLACK`` with one of 1.8e-7: 3.4e-6 of such pairs are missed.
 """
 
 from __future__ import annotations
@@ -39,7 +40,7 @@ ORDER = 16
 WINDOW = 16
 BEST = 2
 FIRST = 3
-SLACK = 0.15
+SLACK = 0.2
 BLOCK = 4096
 TILE = 500
 SIGNED = "did bigint, sig bigint, n_shingles bigint, node binary, regions array<bigint>, small binary"

@@ -3,6 +3,7 @@
 import random
 import re
 from collections import defaultdict
+from math import comb
 
 import numpy as np
 import pytest
@@ -126,3 +127,10 @@ def test_signatures_estimate_the_similarity(similarity):
         small = [lsh_forest.minimum_hashes(lsh_forest.mix(x)).astype(np.uint8) for x in (a, b)]
         found.append(lsh_forest.estimate(*small))
     assert np.mean(found) == pytest.approx(similarity, abs=0.02)
+
+
+def test_pairs_at_the_limit_are_missed_as_rarely_as_stated():
+    n, alike = lsh_forest.HASHES, 0.8 + 0.2 / 256
+    dropped = sum(comb(n, k) * alike**k * (1 - alike) ** (n - k) for k in range(n + 1) if lsh_forest.estimate(np.arange(n) < k, True) < 0.8 - lsh_forest.SLACK)
+    apart = (1 - 0.8**lsh_forest.DEPTH) ** lsh_forest.TREES
+    assert dropped + apart < 3.5e-6
