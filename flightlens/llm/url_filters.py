@@ -11,7 +11,8 @@ suspect). A host whose distrust is larger than ``margin`` times its trust, and a
 Pages are reduced to host rows and host edges before the first iteration. Each iteration is
 one join and one aggregate over the edges; its ranks are written to the shared folder,
 which cuts the lineage and lets the adaptive plan split the edges of a very large host. A
-host without links to others keeps its rank.
+host without links to others keeps its rank. Iterations end when all that can still move,
+summed over the hosts, is under ``TOLERANCE`` of the smallest rank that can block a host.
 """
 
 from __future__ import annotations
@@ -25,7 +26,7 @@ from flightlens.llm.common import free_name, lower_ascii
 from flightlens.session import materialize
 
 LINKS = r"""(?i)(?:href|src)\s*=\s*["']?(?:https?:)?//([^/?#"'\s<>]+)"""
-ITERATIONS, DAMPING = 10, 0.85
+DAMPING, TOLERANCE = 0.85, 0.01
 
 
 @dataclass(frozen=True)
@@ -77,19 +78,26 @@ def first_rule(host: Column, path: Column, rules=RULES) -> tuple[Column, Column]
     return text, verdict
 
 
-def pagerank(edges: DataFrame, hosts: DataFrame, *, iterations: int, damping: float, name: str) -> DataFrame:
+def pagerank(edges: DataFrame, hosts: DataFrame, *, iterations: int | None = None, damping: float, tolerance: float = 1e-9, name: str) -> DataFrame:
     """(host, rank): PageRank over ``edges`` (src, dst, w: share of src) that restarts at ``hosts.seed``.
 
-    The shares of each host sum to 1, so the ranks do too; they are all 0 without seeds.
+    The shares of each host sum to 1, so the ranks do too; they are all 0 without seeds. A fixed
+    number of ``iterations``, or as many as it takes until the ranks differ from the limit by at most
+    ``tolerance`` in sum (not below 1e-12): a change shrinks by ``damping`` each time.
     """
+    if iterations is None and not 0 <= damping < 1:
+        raise ValueError("ranks settle only with a damping from 0 to below 1")
     total = hosts.agg(F.sum("seed").alias("s")).first().s or 0.0
-    base = hosts.select("host", (F.col("seed") / (total or 1.0)).alias("start"))
-    ranks = base.withColumn("rank", F.col("start"))
-    for step in range(iterations if total else 0):
+    ranks = hosts.select("host", (F.col("seed") / (total or 1.0)).alias("start")).withColumn("rank", F.col("start"))
+    step = 0
+    while total and step != iterations:
         moved = edges.join(ranks.select(F.col("host").alias("src"), "rank"), "src")
         moved = moved.groupBy(F.col("dst").alias("host")).agg(F.sum(F.col("rank") * F.col("w")).alias("got"))
         rank = F.coalesce("got", F.lit(0.0)) * damping + F.col("start") * (1 - damping)
-        ranks = materialize(base.join(moved, "host", "left").select("host", "start", rank.alias("rank")), f"{name}-{step}")
+        after = ranks.join(moved, "host", "left").select("host", "start", rank.alias("rank"), F.abs(rank - F.col("rank")).alias("change"))
+        ranks, step = materialize(after, f"{name}-{step}"), step + 1
+        if iterations is None and (ranks.agg(F.sum("change").alias("s")).first().s or 0.0) * damping <= max(tolerance, 1e-12) * (1 - damping):
+            break
     return ranks.select("host", "rank")
 
 
@@ -99,8 +107,11 @@ def link_edges(pages: DataFrame) -> DataFrame:
     return links.groupBy("src", "dst").agg(F.count("*").alias("n"))
 
 
-def host_verdicts(pages: DataFrame, *, iterations: int = ITERATIONS, damping: float = DAMPING, margin: float = 1.0, least: float = 0.1) -> DataFrame:
-    """(host, trust, distrust, blocked) from pages with host, links and verdict (null: no rule fits)."""
+def host_verdicts(pages: DataFrame, *, iterations: int | None = None, damping: float = DAMPING, margin: float = 1.0, least: float = 0.1) -> DataFrame:
+    """(host, trust, distrust, blocked) from pages with host, links and verdict (null: no rule fits).
+
+    ``iterations``: of the ranks; without it they are iterated until they settle.
+    """
     own = pages.groupBy("host").agg(F.count("*").alias("n"), F.count_if(F.col("verdict") == "allow").alias("allowed"), F.count_if(F.col("verdict") == "block").alias("denied"))
     own = materialize(own.where("host != ''"), "hosts")
     edges = materialize(link_edges(pages), "links")
@@ -118,8 +129,9 @@ def host_verdicts(pages: DataFrame, *, iterations: int = ITERATIONS, damping: fl
     def seeds(column: str) -> DataFrame:
         return hosts.select("host", F.when(2 * F.col(column) > F.col("n"), F.col(column)).otherwise(0).cast("double").alias("seed"))
 
-    trust = pagerank(shares("src", "dst"), seeds("allowed"), iterations=iterations, damping=damping, name="trust")
-    distrust = pagerank(shares("dst", "src"), seeds("denied"), iterations=iterations, damping=damping, name="distrust")
+    settings = {"iterations": iterations, "damping": damping, "tolerance": TOLERANCE * least / count}
+    trust = pagerank(shares("src", "dst"), seeds("allowed"), **settings, name="trust")
+    distrust = pagerank(shares("dst", "src"), seeds("denied"), **settings, name="distrust")
     both = trust.withColumnRenamed("rank", "trust").join(distrust.withColumnRenamed("rank", "distrust"), "host")
     return both.withColumn("blocked", (F.col("distrust") > margin * F.col("trust")) & (F.col("distrust") * count >= least))
 

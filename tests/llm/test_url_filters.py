@@ -82,3 +82,10 @@ def test_hosts_near_blocked_seeds_are_blocked(spark, rows):
         "bad.net": "block", "bad2.net": "block", "spam.example": "block",
         "good.org": "allow", "friend.example": "allow", "lonely.example": "allow", "mixed.example": got["mixed.example"],
     }
+
+
+def test_hosts_at_the_end_of_a_long_chain_are_blocked(spark, rows):
+    hosts = ["bad.net", *(f"h{k}.example" for k in range(1, 13))]
+    pages = [(k, f"http://{h}/1", f'<a href="http://{hosts[k - 1]}/">x</a>' if k else None) for k, h in enumerate(hosts)]
+    df = rows("page_id long, url string, html string", *pages)
+    assert {r.host: r.verdict for r in url_filters.judge_urls(df).collect()} == dict.fromkeys(hosts, "block")
