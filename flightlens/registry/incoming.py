@@ -182,6 +182,12 @@ def flights_through_table(t):
     return months_of(through_table(t, "flight_facts", facts(t)))
 
 
+@query("SELECT * FROM facts", "facts")
+def flight_rows_through_table(t):
+    """Whole rows, where ``flights_through_table`` has a count and a sum."""
+    return through_table(t, "flight_facts", facts(t)).drop("FactID")
+
+
 @query("SELECT * FROM airports", "airports")
 def airports_through_table(t):
     return through_table(t, "airport_dim", airport_dim(t.airports))

@@ -1,9 +1,10 @@
 """Every registered query against its SQL in DuckDB."""
 
 import pytest
+from pyspark.sql import functions as F
 
 from __spark_entry__ import entry, queries
-from flightlens.registry import ORACLES, QUERIES
+from flightlens.registry import ORACLES, QUERIES, incoming
 from oracle import compare, connect
 
 SF = "/root/testdata/sf0.001"
@@ -26,3 +27,10 @@ def test_query_equals_sql(spark, duck, name):
 
 def test_entry(spark):
     assert entry(spark).columns == ["Region", "EventType", "year_partition", "month_partition", "avg_dep_delay", "avg_arr_delay", "flights_cnt"]
+
+
+def test_a_wrong_column_of_the_flight_table_is_seen(spark, duck, monkeypatch):
+    right = incoming.facts
+    monkeypatch.setattr(incoming, "facts", lambda t: right(t).withColumn("DepartureTimeBlock", F.lit("wrong")))
+    problems = {n: compare(queries()[n](spark, SF), duck, ORACLES[n]) for n in ("flights_through_table", "flight_rows_through_table")}
+    assert [n for n, problem in problems.items() if problem] == ["flight_rows_through_table"]
