@@ -24,25 +24,28 @@ from flightlens.sources import catalog, listing, scan, sink
 MONTH = "BEGIN_YEARMONTH % 100"
 
 
-def plain_file(df, path: str) -> None:
-    """One Parquet file instead of a folder of part files."""
-    df.coalesce(1).write.parquet(f"{path}-parts")
-    (part,) = [n for n in listing.names_in(df.sparkSession, f"{path}-parts") if n.startswith("part-")]
-    listing.rename(df.sparkSession, f"{path}-parts/{part}", path)
+def plain_files(df, parts: str, path: str) -> None:
+    """Files ``<file>_<number>.parquet`` directly in ``path`` for each value of ``file``, instead of folders of part files."""
+    df.hint("rebalance", "file").write.partitionBy("file").parquet(parts)
+    for folder in sorted(n for n in listing.names_in(df.sparkSession, parts) if n.startswith("file=")):
+        files = sorted(n for n in listing.names_in(df.sparkSession, f"{parts}/{folder}") if n.startswith("part-"))
+        for k, part in enumerate(files):
+            listing.rename(df.sparkSession, f"{parts}/{folder}/{part}", f"{path}/{folder.removeprefix('file=')}_{k}.parquet")
 
 
 def mixed_storms(t) -> str:
     """Bronze storms in three layouts: months 1-4 as partitions, 5-11 as folders named by month,
-    December as plain files of all years but one, which is a folder of part files."""
+    December as plain files, one or more a year, but for one year that is a folder of part files."""
     path = fresh(t, "mixed-storms")
     storms = t.weather.withColumn("YEAR", F.expr("BEGIN_YEARMONTH div 100"))
     sink.split_by_month(storms.filter(f"{MONTH} <= 4"), path, "YEAR", "BEGIN_YEARMONTH")
     text = storms.filter(f"{MONTH} BETWEEN 5 AND 11").withColumn("EVENT_ID", F.col("EVENT_ID").cast("string"))
     name = F.format_string("storm_events_%04d_%02d.parquet", F.col("YEAR").cast("int"), F.expr(MONTH))
     text.withColumn("file", name).hint("rebalance", "file").write.mode("append").partitionBy("file").parquet(f"{path}/named")
-    for year in range(1995, 2002):
-        december = storms.filter(f"BEGIN_YEARMONTH = {year}12")
-        plain_file(december, f"{path}/{year}_12.parquet") if year > 1995 else december.write.parquet(f"{path}/storm_events_1995_12.parquet")
+    december = storms.filter(f"{MONTH} = 12")
+    december.filter("YEAR = 1995").write.parquet(f"{path}/storm_events_1995_12.parquet")
+    name = F.format_string("storm_events_%04d_12", F.col("YEAR").cast("int"))
+    plain_files(december.filter("YEAR <> 1995").withColumn("file", name), fresh(t, "december-parts"), path)
     return path
 
 

@@ -34,3 +34,12 @@ def test_a_wrong_column_of_the_flight_table_is_seen(spark, duck, monkeypatch):
     monkeypatch.setattr(incoming, "facts", lambda t: right(t).withColumn("DepartureTimeBlock", F.lit("wrong")))
     problems = {n: compare(queries()[n](spark, SF), duck, ORACLES[n]) for n in ("flights_through_table", "flight_rows_through_table")}
     assert [n for n, problem in problems.items() if problem] == ["flight_rows_through_table"]
+
+
+def test_a_december_in_several_plain_files(spark, duck):
+    spark.conf.set("spark.sql.files.maxRecordsPerFile", 5)
+    try:
+        problem = compare(queries()["weather_from_all_layouts"](spark, SF), duck, ORACLES["weather_from_all_layouts"])
+    finally:
+        spark.conf.unset("spark.sql.files.maxRecordsPerFile")
+    assert problem is None
