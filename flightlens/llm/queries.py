@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from flightlens.llm import fm_index, host_rules, language_id, lattice_lm, line_dedup, lsh_forest, pieces, url_filters, warc
+from flightlens.llm import fm_index, host_rules, language_id, lattice_lm, line_dedup, lsh_forest, merkle, pieces, url_filters, warc
 from flightlens.llm.common import NO_ID, table, text_of
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -215,6 +215,16 @@ def op10_language_mixture(spark, sf_dir):
     return found.select("doc_id", "held_out", "mixture.lang_pred", "mixture.score")
 
 
+@query()
+def op13_merkle_manifest(spark, sf_dir):
+    """Where 7 divides the CRC-32 of ``doc_id``, a reader finds one character more than was written."""
+    docs = table(spark, sf_dir, "documents")
+    tampered = F.crc32(F.col("doc_id").cast("string").cast("binary")) % 7 == 0
+    seen = F.when(tampered, merkle.one_more("n_chars")).otherwise(F.col("n_chars").cast("string"))
+    made = merkle.manifest(docs, seen={"n_chars": seen})
+    return made.select("doc_id", "leaf", "subroot", "root", "proof_sha256", "folded_root", "verified")
+
+
 def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The whole corpus pipeline at the top of the repository."""
     import corpus_pipeline

@@ -9,7 +9,7 @@ SF = "/root/testdata/sf0.001"
 
 
 def test_names():
-    assert [f"op{n}" for n in range(1, 11)] == sorted((x.split("_")[0] for x in QUERIES if x.startswith("op")), key=lambda x: int(x[2:]))
+    assert [f"op{n}" for n in range(1, 14)] == sorted((x.split("_")[0] for x in QUERIES if x.startswith("op")), key=lambda x: int(x[2:]))
     assert set(ORACLES) <= set(QUERIES)
 
 
