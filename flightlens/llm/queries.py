@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from flightlens.llm import fm_index, host_rules, language_id, lattice_lm, line_dedup, lsh_forest, merkle, pieces, url_filters, warc
+from flightlens.llm import fm_index, host_rules, language_id, lattice_lm, line_dedup, lsh_forest, merkle, pieces, simhash, url_filters, warc
 from flightlens.llm.common import NO_ID, table, text_of
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -215,6 +215,13 @@ def op10_language_mixture(spark, sf_dir):
     return found.select("doc_id", "held_out", "mixture.lang_pred", "mixture.score")
 
 
+@query()
+def op11_simhash_pigeonring(spark, sf_dir):
+    rows = simhash.linked(table(spark, sf_dir, "documents"))
+    component = F.when(F.col("component") != NO_ID, F.col("component"))
+    return rows.select(doc_id(), "fingerprint", component.alias("component_id"))
+
+
 @query()
 def op13_merkle_manifest(spark, sf_dir):
     """Where 7 divides the CRC-32 of ``doc_id``, a reader finds one character more than was written."""
