@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from flightlens.llm import fm_index, host_rules, language_id, lattice_lm, line_dedup, lsh_forest, merkle, pieces, simhash, url_filters, warc
+from flightlens.llm import alignment, fm_index, host_rules, language_id, lattice_lm, line_dedup, lsh_forest, merkle, pieces, simhash, url_filters, warc
 from flightlens.llm.common import NO_ID, table, text_of
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -222,6 +222,13 @@ def op11_simhash_pigeonring(spark, sf_dir):
     return rows.select(doc_id(), "fingerprint", component.alias("component_id"))
 
 
+@query()
+def op12_pair_bitmaps(spark, sf_dir):
+    digest = F.when(F.col("groups") == "", "").otherwise(F.sha2("groups", 256))
+    rows, _ = alignment.scored(table(spark, sf_dir, "documents"), of_groups=digest)
+    return rows.select("doc_id", "n_a", "n_b", "n_groups", "n_links", "n_best", "count_sum", F.col("groups").alias("groups_sha256"))
+
+
 @query()
 def op13_merkle_manifest(spark, sf_dir):
     """Where 7 divides the CRC-32 of ``doc_id``, a reader finds one character more than was written."""
