@@ -48,20 +48,22 @@ class MonthsFailed(RuntimeError):
         self.failed, self.done = failed, done
 
 
-def _all_or_each(todo: list[tuple[int, int]], run: Callable[[list[tuple[int, int]]], object]) -> None:
-    """All months in one go; if that fails, one by one, so that a bad month does not stop the others."""
-    try:
-        run(todo)
-    except Exception as error:
-        failed = {}
-        for month in todo if len(todo) > 1 else []:
-            try:
-                run([month])
-            except Exception as own:
-                failed[month] = own
-        if failed or len(todo) == 1:
-            failed = failed or {todo[0]: error}
-            raise MonthsFailed(failed, [m for m in todo if m not in failed]) from error
+def _all_or_halves(todo: list[tuple[int, int]], run: Callable[[list[tuple[int, int]]], object]) -> None:
+    """All months in one go. If that fails, each half by itself, so that a bad month among n costs some 2 log n runs
+    and stops no other."""
+
+    def attempt(part: list[tuple[int, int]]) -> dict[tuple[int, int], Exception]:
+        try:
+            run(part)
+        except Exception as error:
+            if len(part) == 1:
+                return {part[0]: error}
+            middle = len(part) // 2
+            return attempt(part[:middle]) | attempt(part[middle:])
+        return {}
+
+    if failed := attempt(todo):
+        raise MonthsFailed(failed, [m for m in todo if m not in failed]) from next(iter(failed.values()))
 
 
 def pending_periods(bronze: DataFrame, stored: DataFrame) -> DataFrame:
@@ -99,7 +101,7 @@ def refresh_flights(
             sink.replace_periods(union_all([_facts_of_file_month(raw) for raw in frames]), silver, part)
 
     if todo:
-        _all_or_each(todo, run)
+        _all_or_halves(todo, run)
     if table:
         catalog.refresh(spark, table, monthly=True)
     return todo
@@ -144,7 +146,7 @@ def refresh_weather(
             sink.replace_periods(pairs, silver, part, rebalance=True, sort=order)
 
     if todo:
-        _all_or_each(todo, run)
+        _all_or_halves(todo, run)
     if table:
         catalog.refresh(spark, table, monthly=True)
     return todo

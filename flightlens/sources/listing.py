@@ -7,10 +7,10 @@ a listing takes one request per folder above them, whatever their size.
 from __future__ import annotations
 
 import re
-from collections.abc import Iterable
+from collections.abc import Iterable, Sequence
 from dataclasses import dataclass
 
-from pyspark.sql import SparkSession
+from pyspark.sql import DataFrame, SparkSession
 
 SUFFIX = ".parquet"
 PARTITION = re.compile(r"(month_partition|snapshot_date)=[^/]+$")
@@ -56,6 +56,11 @@ def entries(spark: SparkSession, path: str) -> list[Entry]:
     return sorted(found)
 
 
+def files_of(df: DataFrame) -> list[str]:
+    """Paths of all files a scan would read, from one listing that Spark spreads over tasks; no file is opened."""
+    return sorted(df.inputFiles())
+
+
 def names_in(spark: SparkSession, folder: str) -> frozenset[str]:
     """Names of the files directly in a folder; none if it is absent."""
     files, place = _open(spark, folder)
@@ -74,3 +79,49 @@ def rename(spark: SparkSession, old: str, new: str) -> None:
     files, place = _open(spark, old)
     if not files.rename(place, _open(spark, new)[1]):
         raise OSError(f"cannot rename {old} to {new}")
+
+
+def partition_values(spark: SparkSession, root: str, by: Sequence[str]) -> set[tuple[int, ...]]:
+    """The values of the partition folders under ``root``; an error for rows without a value."""
+    files, place = _open(spark, root)
+    found, todo = set(), [(place, ())] if files.exists(place) else []
+    while todo:
+        folder, values = todo.pop()
+        if len(values) == len(by):
+            found.add(values)
+            continue
+        for status in files.listStatus(folder):
+            name, _, value = status.getPath().getName().partition("=")
+            if name == by[len(values)]:
+                todo.append((status.getPath(), (*values, int(value))))
+    return found
+
+
+def make_folder(spark: SparkSession, folder: str) -> None:
+    files, place = _open(spark, folder)
+    files.mkdirs(place)
+
+
+def read_text(spark: SparkSession, path: str) -> str | None:
+    """A small file; None if it is absent."""
+    files, place = _open(spark, path)
+    if not files.exists(place):
+        return None
+    stream = files.open(place)
+    try:
+        return bytes(stream.readAllBytes()).decode()
+    finally:
+        stream.close()
+
+
+def write_text(spark: SparkSession, path: str, text: str) -> None:
+    """A small file, whole or not at all: it gets its name when it is complete."""
+    files, place = _open(spark, path)
+    part = place.suffix(".part")
+    stream = files.create(part, True)
+    try:
+        stream.write(bytearray(text.encode()))
+    finally:
+        stream.close()
+    files.delete(place, False)
+    rename(spark, part.toString(), path)

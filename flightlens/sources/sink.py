@@ -2,9 +2,11 @@
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+import json
+import uuid
+from collections.abc import Iterable, Sequence
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from flightlens.functions.times import month_of
@@ -13,9 +15,13 @@ from flightlens.sources import listing
 
 # Hidden folder of a monthly table: months that were processed without a row.
 PROCESSED = "_processed"
+# Hidden files of a switch: rows not yet in place, months taken out of it, and the journal.
+STAGED, REPLACED, SWITCH = "_staged", "_replaced", "_switch"
 
 
-def overwrite_periods(df: DataFrame, path: str, *, rebalance: bool = False, sort: Sequence[str] = ()) -> None:
+def overwrite_periods(
+    df: DataFrame, path: str, *, by: Sequence[str] = PERIOD, rebalance: bool = False, sort: Sequence[str] = (), bloom: Sequence[str] = ()
+) -> None:
     """Replace the months present in ``df`` and leave the others alone.
 
     Without ``rebalance`` nothing is shuffled: right when each input split holds few
@@ -23,26 +29,59 @@ def overwrite_periods(df: DataFrame, path: str, *, rebalance: bool = False, sort
     larger than the rest is split over several tasks by the adaptive plan.
     """
     if rebalance:
-        df = df.hint("rebalance", *PERIOD)
+        df = df.hint("rebalance", *by)
     if sort:
-        df = df.sortWithinPartitions(*PERIOD, *sort)
-    df.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy(*PERIOD).parquet(path)
+        df = df.sortWithinPartitions(*by, *sort)
+    options = {f"parquet.bloom.filter.enabled#{c}": "true" for c in bloom}
+    df.write.mode("overwrite").options(partitionOverwriteMode="dynamic", **options).partitionBy(*by).parquet(path)
 
 
-def replace_periods(df: DataFrame, path: str, periods: Sequence[tuple[int, int]], **how) -> list[tuple[int, int]]:
-    """Make ``df`` the content of the given months: stored months that it no longer has are
+def _folder(root: str, by: Sequence[str], period: Sequence[int]) -> str:
+    return "/".join([root, *(f"{name}={value}" for name, value in zip(by, period, strict=True))])
+
+
+def replace_periods(df: DataFrame, path: str, periods: Iterable[tuple[int, ...]], *, by: Sequence[str] = PERIOD, **how) -> list[tuple[int, ...]]:
+    """Make ``df`` the content of the given months (of other partitions: ``by``): stored ones that it no longer has are
     deleted, and months without a row are recorded as processed. Returns these months.
 
-    A rewritten month has files of new names, so a listing tells which were not rewritten.
+    Rows go to a hidden folder first. When all are there, a journal says which months are to be switched; then each month's folder is
+    renamed into place. If a run dies before the journal is written, the table is as it was; if it dies later, ``finish_switch`` does the
+    rest. Both happen at the beginning of the next call. A table has one writer at a time.
+    """
+    spark, run = df.sparkSession, uuid.uuid4().hex
+    finish_switch(spark, path, by=by)
+    staged = f"{path}/{STAGED}/{run}"
+    overwrite_periods(df, staged, by=by, **how)
+    filled = listing.partition_values(spark, staged, by)
+    months = sorted(filled | set(periods))
+    listing.write_text(spark, f"{path}/{SWITCH}", json.dumps({"run": run, "filled": sorted(filled), "empty": [p for p in months if p not in filled]}))
+    return finish_switch(spark, path, by=by)
+
+
+def finish_switch(spark: SparkSession, path: str, *, by: Sequence[str] = PERIOD) -> list[tuple[int, ...]]:
+    """Bring the months of a written journal into place, and clear what an interrupted run has left. Returns the months without a row.
+
+    Every step can be repeated: a month whose staged folder is gone has been switched.
     """
-    spark, folder = df.sparkSession, {p: f"{path}/{PERIOD[0]}={p[0]}/{PERIOD[1]}={p[1]}" for p in periods}
-    before = {p: listing.names_in(spark, f) for p, f in folder.items()}
-    overwrite_periods(df, path, **how)
-    empty = [p for p, f in folder.items() if listing.names_in(spark, f) == before[p]]
-    listing.delete(spark, [folder[p] for p in empty if before[p]])
-    if empty:
-        months = spark.createDataFrame(empty, ", ".join(f"{p} INT" for p in PERIOD))
-        months.coalesce(1).write.mode("append").parquet(f"{path}/{PROCESSED}")
+    journal = listing.read_text(spark, f"{path}/{SWITCH}")
+    empty = []
+    if journal is not None:
+        todo = json.loads(journal)
+        run, empty = todo["run"], [tuple(p) for p in todo["empty"]]
+        for k, period in enumerate(todo["filled"]):
+            new, place = _folder(f"{path}/{STAGED}/{run}", by, period), _folder(path, by, period)
+            if listing.exists(spark, new):
+                if listing.exists(spark, place):
+                    listing.make_folder(spark, f"{path}/{REPLACED}/{run}")
+                    listing.rename(spark, place, f"{path}/{REPLACED}/{run}/{k}-{uuid.uuid4().hex}")
+                listing.make_folder(spark, place.rsplit("/", 1)[0])
+                listing.rename(spark, new, place)
+        listing.delete(spark, [_folder(path, by, p) for p in empty])
+        if empty:
+            months = spark.createDataFrame(empty, ", ".join(f"{p} INT" for p in by))
+            months.coalesce(1).write.mode("append").parquet(f"{path}/{PROCESSED}")
+        listing.delete(spark, [f"{path}/{SWITCH}"])
+    listing.delete(spark, [f"{path}/{name}" for name in (STAGED, REPLACED) if listing.exists(spark, f"{path}/{name}")])
     return empty
 
 

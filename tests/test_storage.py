@@ -315,3 +315,70 @@ def test_weather_from_named_files(spark, tmp_path):
     assert loads.refresh_weather(spark, bronze, airports, out, full=True, radius_km=500) == [(1998, 5), (1999, 10)]
     late = scan.parquet(spark, out).filter("DATETIME >= '1998-06-01' AND DATETIME < '1999-01-01'")
     assert late.filter("month_partition <> 5").isEmpty()
+
+
+MONTHLY = "year_partition int, month_partition int, v int"
+
+
+def stored_rows(spark, path):
+    return values(spark.read.schema(MONTHLY).parquet(path).select("year_partition", "month_partition", "v"))
+
+
+def test_a_run_that_dies_before_the_switch_leaves_the_old_months(spark, rows, tmp_path, monkeypatch):
+    path = str(tmp_path / "monthly")
+    old = rows(MONTHLY, (2024, 1, 1), (2024, 2, 2))
+    sink.replace_periods(old, path, [(2024, 1), (2024, 2)])
+    new = rows(MONTHLY, (2024, 1, 10), (2024, 3, 30))
+    monkeypatch.setattr(sink.listing, "write_text", lambda *_: (_ for _ in ()).throw(OSError("lost")))
+    with pytest.raises(OSError):
+        sink.replace_periods(new, path, [(2024, 1), (2024, 2), (2024, 3)])
+    assert stored_rows(spark, path) == values(old.select(*MONTHLY.replace(" int", "").split(", ")))
+    monkeypatch.undo()
+    assert sink.replace_periods(new, path, [(2024, 1), (2024, 2), (2024, 3)]) == [(2024, 2)]
+    assert stored_rows(spark, path) == [(2024, 1, 10), (2024, 3, 30)]
+    assert not [n for n in listing.names_in(spark, path) if n in (sink.STAGED, sink.REPLACED, sink.SWITCH)]
+
+
+@pytest.mark.parametrize("renames", range(6))
+def test_a_switch_that_dies_anywhere_is_finished_later(spark, rows, tmp_path, monkeypatch, renames):
+    path, real = str(tmp_path / "monthly"), listing.rename
+    sink.replace_periods(rows(MONTHLY, (2024, 1, 1), (2024, 2, 2), (2024, 4, 4)), path, [(2024, 1), (2024, 2), (2024, 4)])
+    done = []
+
+    def rename(*args):
+        if len(done) == renames:
+            raise OSError("lost")
+        done.append(args)
+        real(*args)
+
+    monkeypatch.setattr(listing, "rename", rename)
+    new = rows(MONTHLY, (2024, 1, 10), (2024, 2, 20), (2024, 3, 30))
+    try:
+        sink.replace_periods(new, path, [(2024, 1), (2024, 2), (2024, 4)])
+    except OSError:
+        before = stored_rows(spark, path)
+        assert renames > 0 or before == [(2024, 1, 1), (2024, 2, 2), (2024, 4, 4)]
+    monkeypatch.undo()
+    sink.finish_switch(spark, path)
+    if renames:
+        assert stored_rows(spark, path) == [(2024, 1, 10), (2024, 2, 20), (2024, 3, 30)]
+    assert scan.processed_periods(spark, path).count() == (4 if renames else 3)
+
+
+def test_rows_without_a_month_are_an_error(rows, tmp_path):
+    with pytest.raises(ValueError):
+        sink.replace_periods(rows(MONTHLY, (2024, None, 1)), str(tmp_path / "monthly"), [(2024, 1)])
+
+
+def test_bad_months_cost_few_runs():
+    runs = []
+
+    def run(part):
+        runs.append(part)
+        if 13 in part or 40 in part:
+            raise OSError("bad")
+
+    with pytest.raises(loads.MonthsFailed) as error:
+        loads._all_or_halves([(m // 12, m) for m in range(64)], lambda part: run([m for _, m in part]))
+    assert sorted(m for _, m in error.value.failed) == [13, 40] and len(error.value.done) == 62
+    assert len(runs) < 32
