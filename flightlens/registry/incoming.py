@@ -110,6 +110,19 @@ def flights_with_differing_types(t):
     return scan.parquet(t.spark, silver).drop("FactID")
 
 
+@query("SELECT * REPLACE (CASE WHEN CAST(substr(CarrierCode, 2) AS INT) % 3 <> 1 THEN DepartureTimeBlock END AS DepartureTimeBlock) FROM facts", "facts")
+def flights_with_differing_part_files(t):
+    """The part files of one month's folder differ: delays as whole numbers, decimals or text, and one column missing, by carrier."""
+    bronze, silver = fresh(t, "bronze-flights"), fresh(t, "silver-flights")
+    file = F.concat_ws("_", "YEAR", "MONTH", F.lit("aotd.parquet"))
+    for k, kind in enumerate(["int", "double", "string"]):
+        part = t.flights.filter(f"CAST(substr(OP_CARRIER, 2) AS INT) % 3 = {k}").withColumn("DEP_DELAY", F.col("DEP_DELAY").cast(kind))
+        part = part.drop("DEP_TIME_BLK") if k == 1 else part
+        part.withColumn("file", file).hint("rebalance", "file").write.mode("append").partitionBy("file").parquet(bronze)
+    loads.refresh_flights(t.spark, bronze, silver)
+    return scan.parquet(t.spark, silver).drop("FactID")
+
+
 @query("SELECT * FROM airports", "airports")
 def airports_refresh_without_input(t):
     """A full refresh from a folder without a matching file leaves the table as it was."""

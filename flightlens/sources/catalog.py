@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterable
+from collections.abc import Iterable, Sequence
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -28,13 +28,15 @@ def create_database(spark: SparkSession, name: str) -> None:
     spark.sql(f"CREATE DATABASE IF NOT EXISTS {name}")
 
 
-def create_external(spark: SparkSession, name: str, columns: str, path: str, *, monthly: bool = False, replace: bool = False) -> None:
-    """Table over files at ``path``; dropping it keeps the files."""
+def create_external(
+    spark: SparkSession, name: str, columns: str, path: str, *, monthly: bool = False, by: Sequence[str] = PERIOD, replace: bool = False
+) -> None:
+    """Table over files at ``path``; dropping it keeps the files. ``monthly``: in partitions, by month or by other whole numbers."""
     if replace:
         spark.sql(f"DROP TABLE IF EXISTS {name}")
-    period = ", ".join(f"{c} INT" for c in PERIOD)
+    period = ", ".join(f"{c} INT" for c in by)
     body = f"{columns}, {period}" if monthly else columns
-    partitioned = f"PARTITIONED BY ({', '.join(PERIOD)})" if monthly else ""
+    partitioned = f"PARTITIONED BY ({', '.join(by)})" if monthly else ""
     spark.sql(f"CREATE TABLE IF NOT EXISTS {name} ({body}) USING parquet {partitioned} LOCATION {_text(path)}")
 
 

@@ -7,12 +7,16 @@ a listing takes one request per folder above them, whatever their size.
 from __future__ import annotations
 
 import re
-from collections.abc import Iterable, Sequence
+from collections.abc import Callable, Iterable, Sequence
+from concurrent.futures import ThreadPoolExecutor
 from dataclasses import dataclass
+from typing import TypeVar
 
 from pyspark.sql import DataFrame, SparkSession
 
 SUFFIX = ".parquet"
+AT_ONCE = 16
+T = TypeVar("T")
 PARTITION = re.compile(r"(month_partition|snapshot_date)=[^/]+$")
 
 
@@ -61,6 +65,43 @@ def files_of(df: DataFrame) -> list[str]:
     return sorted(df.inputFiles())
 
 
+def _each(work: Callable[[str], T], paths: Sequence[str]) -> list[T]:
+    """``work`` for each path, by ``AT_ONCE`` threads of this process. No Spark job is run."""
+    with ThreadPoolExecutor(AT_ONCE) as pool:
+        return list(pool.map(work, paths))
+
+
+def part_files(spark: SparkSession, paths: Sequence[str]) -> list[list[str] | None]:
+    """For each path the Parquet files in it: itself if it is a file, None if it has folders of its own."""
+
+    def parts(path: str) -> list[str] | None:
+        files, place = _open(spark, path)
+        if files.getFileStatus(place).isFile():
+            return [path]
+        found = [s for s in files.listStatus(place) if s.getPath().getName()[0] not in "_."]
+        if any(s.isDirectory() for s in found):
+            return None
+        return sorted(name for name in (s.getPath().toString() for s in found) if name.endswith(SUFFIX))
+
+    return _each(parts, paths)
+
+
+def stored_columns(spark: SparkSession, files: Sequence[str]) -> list[str]:
+    """The stored columns and types of each Parquet file, as its footer spells them."""
+    context = spark.sparkContext
+    hadoop, configuration = context._jvm.org.apache.parquet.hadoop, context._jsc.hadoopConfiguration()
+
+    def columns(path: str) -> str:
+        source = hadoop.util.HadoopInputFile.fromPath(context._jvm.org.apache.hadoop.fs.Path(path), configuration)
+        reader = hadoop.ParquetFileReader.open(source)
+        try:
+            return reader.getFileMetaData().getSchema().toString()
+        finally:
+            reader.close()
+
+    return _each(columns, files)
+
+
 def names_in(spark: SparkSession, folder: str) -> frozenset[str]:
     """Names of the files directly in a folder; none if it is absent."""
     files, place = _open(spark, folder)

@@ -17,11 +17,12 @@ from flightlens.operators.combine import one_per_key, union_all
 from flightlens.schemas import PERIOD
 from flightlens.sources import catalog, listing, sink
 
-# Patterns of bronze file names without ``.parquet``; the group is the
-# month as ``YYYY_M`` or the date.
-FLIGHT_FILES = r"(\d{4}_\d{1,2})_aotd"
-STORM_FILES = r"(\d{4}_\d{1,2})"
+# Patterns of bronze file names without ``.parquet``; the groups are
+# year and month, or the date.
+FLIGHT_FILES = r"(\d{4})_(\d{1,2})_aotd"
+STORM_FILES = r"(\d{4})_(\d{1,2})"
 AIRPORT_FILES = r"airport|L_AIRPORT_ID"
+MONTH_FOLDERS = rf"{PERIOD[0]}=(\d+)/{PERIOD[1]}=(\d+)"
 AIRCRAFT_FILES = r"plane_registry_(\d{4}-\d{2}-\d{2})"
 
 
@@ -65,8 +66,7 @@ def named_months(spark: SparkSession, path: str, pattern: str) -> list[tuple[int
     for entry in listing.entries(spark, path):
         text = re.search(pattern, entry.name)
         if text:
-            year, month = text[1].split("_")
-            found.append((int(year), int(month), entry.path, entry.folder))
+            found.append((int(text[1]), int(text[2]), entry.path, entry.folder))
     return sorted(found)
 
 
@@ -74,7 +74,7 @@ def partition_months(spark: SparkSession, path: str) -> list[tuple[int, int, str
     """(year, month, path, True) of the partition folders of a monthly table."""
     found = []
     for entry in listing.entries(spark, path):
-        if text := re.search(rf"/{PERIOD[0]}=(\d+)/{PERIOD[1]}=(\d+)$", entry.path):
+        if text := re.search(rf"/{MONTH_FOLDERS}$", entry.path):
             found.append((int(text[1]), int(text[2]), entry.path, True))
     return sorted(found)
 
@@ -105,11 +105,24 @@ def common_type(types: Sequence[T.DataType]) -> T.DataType:
 
 
 def by_schema(spark: SparkSession, paths: Sequence[str]) -> list[tuple[T.StructType, list[str]]]:
-    """Files grouped by their own columns and types; one footer is read per path."""
+    """Files grouped by their own columns and types. Every part file of a folder counts; a folder stays whole if
+    all its files agree, else its files are listed. Footers are read in parallel without a Spark job; one small job for each
+    kind of footer turns it into Spark's types."""
+    parts = dict(zip(paths, listing.part_files(spark, paths), strict=True))
+    files = [file for found in parts.values() for file in found or []]
+    kind = dict(zip(files, listing.stored_columns(spark, files), strict=True))
+    kinds: dict[str, list[str]] = {}
+    for path, found in parts.items():
+        own = {kind[file] for file in found or []}
+        if len(own) > 1:
+            for file in found:
+                kinds.setdefault(kind[file], []).append(file)
+        else:
+            kinds.setdefault(own.pop() if own else path, []).append(path)
     groups: dict[str, tuple[T.StructType, list[str]]] = {}
-    for path in paths:
-        schema = spark.read.parquet(path).schema
-        groups.setdefault(schema.json(), (schema, []))[1].append(path)
+    for group in kinds.values():
+        schema = spark.read.parquet(group[0]).schema
+        groups.setdefault(schema.json(), (schema, []))[1].extend(group)
     return list(groups.values())
 
 
@@ -133,33 +146,38 @@ def read_files(spark: SparkSession, paths: Sequence[str], add: Callable[[DataFra
 
 @contextmanager
 def month_frames(spark: SparkSession, path: str, months: Sequence[tuple[int, int, str, bool]], pattern: str) -> Iterator[list[DataFrame]]:
-    """Monthly files as frames with the month of the file, one for each kind of schema.
+    """Monthly files as frames with the month of the file, a few for each kind of schema.
 
     Folders become partitions of a table that exists inside the ``with`` block only: the
-    month is constant per file, pruned by the planner, free per row. Plain files take the
-    month from their name. All frames have the same columns; types are the files' own.
+    month is constant per file, pruned by the planner, free per row. Plain files, and the files of a folder that do not agree, take the
+    month from their names. All frames have the same columns; types are the files' own.
     """
     month_of = {m[2]: m for m in months}
     with ExitStack() as open_tables:
         frames = []
         for schema, group in by_schema(spark, list(month_of)):
-            folders, files = ([p for p in group if month_of[p][3] == kind] for kind in (True, False))
             turns: dict[int, list] = {}  # a table holds one folder per month
             seen: Counter = Counter()
-            for p in folders:
-                turns.setdefault(seen[month_of[p][:2]], []).append(month_of[p][:3])
-                seen[month_of[p][:2]] += 1
+            for p in group:
+                if p in month_of and month_of[p][3]:
+                    turns.setdefault(seen[month_of[p][:2]], []).append(month_of[p][:3])
+                    seen[month_of[p][:2]] += 1
             frames += [open_tables.enter_context(months_as_table(spark, path, turn, schema)) for turn in turns.values()]
-            if files:
-                frames.append(_months_of_files(spark.read.schema(schema).parquet(*files), pattern))
+            single = [p for p in group if p in month_of and not month_of[p][3]]
+            inside = [p for p in group if p not in month_of]
+            dated = [p for p in inside if re.search(rf"/{MONTH_FOLDERS}/[^/]+$", p)]
+            named = sorted(set(inside) - set(dated))
+            for files, names, first, last in ((single, pattern, -1, 1), (named, pattern, -2, 1), (dated, MONTH_FOLDERS, -3, 2)):
+                if files:
+                    frames.append(_months_of_files(spark.read.schema(schema).parquet(*files), names, first, last))
         yield with_all_columns(frames)
 
 
-def _months_of_files(rows: DataFrame, pattern: str) -> DataFrame:
-    """The month of each row's file, from the file's name."""
-    name = F.substring_index(F.substring_index(F.col("_metadata.file_path"), "/", -1), listing.SUFFIX, 1)
-    month = F.split(F.regexp_extract(name, pattern, 1), "_")
-    return rows.withColumns({p: month[k].cast("int") for k, p in enumerate(PERIOD)})
+def _months_of_files(rows: DataFrame, pattern: str, first: int, count: int) -> DataFrame:
+    """The month of each row's file, from ``count`` names of its path, ``first`` from the end."""
+    names = F.slice(F.split(F.col("_metadata.file_path"), "/"), first, count)
+    name = F.regexp_replace(F.array_join(names, "/"), rf"{re.escape(listing.SUFFIX)}$", "")
+    return rows.withColumns({p: F.regexp_extract(name, pattern, k).cast("int") for k, p in enumerate(PERIOD, 1)})
 
 
 @contextmanager
