@@ -17,6 +17,7 @@ from __future__ import annotations
 
 import functools
 import hashlib
+import json
 import os
 
 import numpy as np
@@ -50,45 +51,78 @@ def byte_alphabet() -> dict[str, int]:
     return {chr(b): b for b in printed} | {chr(0x100 + k): b for k, b in enumerate(others)}
 
 
+# Fixed value: how a byte-level vocabulary of this family cuts a text into words before it merges bytes.
+WORDS = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
+
+
+def byte_level_encoder(content: bytes, entries: dict[str, int], spelled: list[bytes]):
+    """Text → identifiers of a byte-level vocabulary file; strings of special tokens are plain text.
+
+    Where each merge makes the next identifier, merging by lowest identifier is the file's own algorithm, and a library that does that
+    is several times faster than the file's; other files are left to their library.
+    """
+    spec = json.loads(content)
+    model, cutting = spec["model"], spec["pre_tokenizer"] or {}
+    merged = [entries["".join(m if isinstance(m, list) else m.split(" "))] for m in model["merges"]]
+    plain = not spec["normalizer"] and cutting == {"type": "ByteLevel", "add_prefix_space": False, "trim_offsets": cutting.get("trim_offsets"), "use_regex": True}
+    if plain and merged == list(range(256, 256 + len(merged))):
+        import tiktoken
+
+        ranks = {spelled[i]: i for entry, i in model["vocab"].items() if i < 256 + len(merged)}
+        return tiktoken.Encoding("byte-level", pat_str=WORDS, mergeable_ranks=ranks, special_tokens={}).encode_ordinary
+    os.environ["TOKENIZERS_PARALLELISM"] = "false"  # Spark has a task per core
+    from tokenizers import Tokenizer
+
+    tokenizer = Tokenizer.from_str(content.decode())
+    tokenizer.encode_special_tokens = True
+    return lambda text: tokenizer.encode(text, add_special_tokens=False).ids
+
+
 class Aligner:
     """Both tokenizers, with the bytes and the written form of every token."""
 
     def __init__(self, byte_level: bytes, piece_model: bytes):
-        os.environ["TOKENIZERS_PARALLELISM"] = "false"  # Spark has a task per core
         from sentencepiece import SentencePieceProcessor
-        from tokenizers import Tokenizer
 
-        self.a = Tokenizer.from_str(byte_level.decode())
-        self.a.encode_special_tokens = True
-        self.b = SentencePieceProcessor(model_proto=piece_model)
-        alphabet = byte_alphabet()
-        entries = self.a.get_vocab(with_added_tokens=True)
+        spec, alphabet = json.loads(byte_level), byte_alphabet()
+        entries = spec["model"]["vocab"] | {x["content"]: x["id"] for x in spec["added_tokens"]}
         self.a_bytes = [b""] * (max(entries.values()) + 1)
         for entry, i in entries.items():
             self.a_bytes[i] = bytes(alphabet[c] for c in entry)
+        self.encode_a = byte_level_encoder(byte_level, entries, self.a_bytes)
+        self.b = SentencePieceProcessor(model_proto=piece_model)
         names = [self.b.id_to_piece(i) for i in range(self.b.get_piece_size())]
         self.b_bytes = [bytes([int(x[3:5], 16)]) if self.b.is_byte(i) else x.replace("▁", " ").encode() for i, x in enumerate(names)]
         self.a_size, self.b_size = (np.array([len(x) for x in side], np.int64) for side in (self.a_bytes, self.b_bytes))
-        self.a_name, self.b_name = ([str(i) for i in range(len(side))] for side in (self.a_bytes, self.b_bytes))
+        # Every token as written inside its group and at its end: A ",", A "|", B ",", B ";".
+        self.written = [f"{i}{mark}" for side, marks in ((self.a_bytes, ",|"), (self.b_bytes, ",;")) for mark in marks for i in range(len(side))]
 
     def encode(self, texts: list[str]):
         """Identifiers by A and by B of each text; A gets the space that B puts in front."""
-        a = self.a.encode_batch_fast([" " + x for x in texts], add_special_tokens=False)
-        return zip((x.ids for x in a), self.b.encode(texts, num_threads=1), strict=True)
+        return zip((self.encode_a(" " + x) for x in texts), self.b.encode(texts, num_threads=1), strict=True)
+
+    def groups(self, a: np.ndarray, b: np.ndarray, i: np.ndarray, j: np.ndarray) -> str:
+        """The groups that end with the tokens at ``i`` and ``j``: identifiers of A, then of B, group by group."""
+        last_a, last_b = np.zeros(len(a), bool), np.zeros(len(b), bool)
+        last_a[i], last_b[j] = True, True
+        before_a, before_b = np.append(0, j + 1), i + 1  # tokens of B before A's of a group, of A before B's
+        out = np.empty(len(a) + len(b), np.int64)
+        out[np.arange(len(a)) + before_a[np.cumsum(last_a) - last_a]] = a + last_a * len(self.a_bytes)
+        out[np.arange(len(b)) + before_b[np.cumsum(last_b) - last_b]] = b + last_b * len(self.b_bytes) + 2 * len(self.a_bytes)
+        return "".join(map(self.written.__getitem__, out.tolist()))[:-1]
 
     def align(self, text: str, a: list[int], b: list[int]):
         """(n_a, n_b, n_groups, n_links, groups, pairs, times) of a text; zeros if tokens do not spell it."""
         target = b" " + text.encode()
         if b"".join(map(self.a_bytes.__getitem__, a)) != target or b"".join(map(self.b_bytes.__getitem__, b)) != target:
             return NOTHING
-        _, i, j = np.intersect1d(np.cumsum(self.a_size[a]), np.cumsum(self.b_size[b]), assume_unique=True, return_indices=True)
-        names_a, names_b = [self.a_name[x] for x in a], [self.b_name[x] for x in b]
-        groups, p, q = [], 0, 0
-        for x, y in zip((i + 1).tolist(), (j + 1).tolist(), strict=True):
-            groups.append(f"{','.join(names_a[p:x])}|{','.join(names_b[q:y])}")
-            p, q = x, y
-        pairs, times = np.unique(np.asarray(a, np.int64)[i] << 32 | np.asarray(b, np.int64)[j], return_counts=True)
-        return len(a), len(b), len(i), len(i), ";".join(groups), pairs, times
+        a, b = np.array(a, np.int64), np.array(b, np.int64)
+        end_a, end_b = np.cumsum(self.a_size[a]), np.cumsum(self.b_size[b])
+        place = np.searchsorted(end_b, end_a)  # both end with the text
+        i = np.flatnonzero(end_b[place] == end_a)
+        j = place[i]
+        pairs, times = np.unique(a[i] << 32 | b[j], return_counts=True)
+        return len(a), len(b), len(i), len(i), self.groups(a, b, i, j), pairs, times
 
 
 NOTHING = (0, 0, 0, 0, "", np.zeros(0, np.int64), np.zeros(0, np.int64))

@@ -120,5 +120,30 @@ def test_planes_hold_the_links_whatever_the_batches(size, monkeypatch):
 
 def test_bytes_of_tokens(both):
     assert both.a_bytes[50256] == b"<|endoftext|>"
-    assert b"".join(both.a_bytes[i] for i in both.a.encode(" é\n").ids) == " é\n".encode()
+    assert b"".join(both.a_bytes[i] for i in both.encode_a(" é\n")) == " é\n".encode()
     assert sorted(x for x in both.b_bytes if len(x) == 1 and x[0] >= 128) == [bytes([b]) for b in range(128, 256)]
+
+
+def test_identifiers_are_those_of_the_vocabulary_file(spark, both):
+    """The faster library against the file's own, with special tokens as plain text."""
+    from tokenizers import Tokenizer
+
+    path, _ = alignment.default_vocabularies()
+    own = Tokenizer.from_file(path)
+    own.encode_special_tokens = True
+    texts = [r.text for r in spark.read.parquet(f"{SF}/documents.parquet").select("text").collect()] + [t for t in TEXTS if t]
+    rng = random.Random(3)
+    texts += ["".join(chr(rng.choice([rng.randrange(32, 127), rng.randrange(0xA0, 0x2FFF), rng.randrange(0x1F000, 0x1FBFF), 10, 32])) for _ in range(80)) for _ in range(500)]
+    assert all(both.encode_a(" " + x) == own.encode(" " + x, add_special_tokens=False).ids for x in texts)
+
+
+def test_other_vocabularies_use_their_own_library(tmp_path):
+    from tokenizers import Tokenizer, decoders, models, pre_tokenizers
+
+    alphabet = {c: b for c, b in sorted(alignment.byte_alphabet().items())}
+    vocab = {c: k for k, c in enumerate(alphabet)} | {"ab": 300, "bc": 299}
+    tokenizer = Tokenizer(models.BPE(vocab=vocab, merges=[("a", "b"), ("b", "c")]))
+    tokenizer.pre_tokenizer, tokenizer.decoder = pre_tokenizers.ByteLevel(add_prefix_space=False), decoders.ByteLevel()
+    content = tokenizer.to_str().encode()
+    small = alignment.Aligner(content, open(alignment.default_vocabularies()[1], "rb").read())
+    assert small.encode_a("abc") == [300, vocab["c"]] and small.a_bytes[300] == b"ab"
