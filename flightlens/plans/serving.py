@@ -46,8 +46,8 @@ ROW_KEYS = {
 }
 
 
-def keyed_rows(df: DataFrame, key: Column, cells: Sequence[str]) -> DataFrame:
-    """Rows of a key-value table; a row without key or without any cell is left out."""
+def keyed_rows(df: DataFrame, key: Column, cells: Sequence[str], keep: Sequence[str] = ()) -> DataFrame:
+    """Rows of a key-value table; a row without key or without any cell is left out. ``keep`` carries columns along."""
     types = dict(df.dtypes)
     # All doubles are written by one expression over an array: plans stay small for wide rows.
     doubles = [c for c in cells if types[c] == "double"]
@@ -56,14 +56,22 @@ def keyed_rows(df: DataFrame, key: Column, cells: Sequence[str]) -> DataFrame:
     texts = F.concat(written, F.array(*[as_text(F.col(c), types[c]) for c in others]).cast("array<string>"))
     names = F.array(*[F.lit(c) for c in [*doubles, *others]])
     present = F.map_filter(F.map_from_arrays(names, texts), lambda _, v: v.isNotNull())
-    rows = df.select(key.alias("rowkey"), present.alias("cells"))
+    rows = df.select(key.alias("rowkey"), present.alias("cells"), *keep)
     return rows.filter(F.col("rowkey").isNotNull() & (F.size("cells") > 0))
 
 
-def keyed_view(name: str, view: DataFrame, on_null: str = "collapse") -> DataFrame:
+def keyed_view(name: str, view: DataFrame, on_null: str = "collapse", keep: Sequence[str] = ()) -> DataFrame:
     """A view as keyed rows. A missing region is left out of the key by default; the
-    lookups skip such two-part keys. ``on_null="skip"`` does not store them."""
-    return keyed_rows(view, ROW_KEYS[name](on_null), VIEWS[name].measures)
+    lookups skip such two-part keys. ``on_null="skip"`` does not store them. ``keep``: view columns to be carried along, for a store in partitions."""
+    return keyed_rows(view, ROW_KEYS[name](on_null), VIEWS[name].measures, keep)
+
+
+def in_range(keyed: DataFrame, **bounds: tuple[int, int]) -> DataFrame:
+    """Keyed rows of a store in partitions, from the partitions of the range only; other stores as they are."""
+    for column, (first, last) in bounds.items():
+        if column in keyed.columns:
+            keyed = keyed.filter(F.col(column).between(first, last))
+    return keyed
 
 
 def cell_rows(keyed: DataFrame) -> DataFrame:
@@ -80,7 +88,7 @@ def month_series(keyed: DataFrame, entity: str, year: int, first: int, last: int
     """Monthly values of one airport or carrier, for months that have a row."""
     keys = [f"{entity}#{year:04d}{month:02d}" for month in range(first, last + 1)]
     stamp = F.element_at(key_parts(F.col("rowkey")), -1)
-    rows = keyed.filter(F.col("rowkey").isin(keys)).select(
+    rows = in_range(keyed, year_partition=(year, year), month_partition=(first, last)).filter(F.col("rowkey").isin(keys)).select(
         stamp.substr(1, 4).cast("int").alias("year"), stamp.substr(5, 2).cast("int").alias("month"), *map(_number, cells)
     )
     return rows.orderBy("year", "month") if ordered else rows
@@ -95,7 +103,7 @@ def ranking_rows(keyed: DataFrame, year: int | None = None, month: int | None =
     """A month's wide ranking as rows of (month key, rank, airport, delay); ranks without
     both are left out. Every month if none is given."""
     if year is not None:
-        keyed = keyed.filter(F.col("rowkey") == f"{year:04d}{month:02d}")
+        keyed = in_range(keyed, year_partition=(year, year), month_partition=(month, month)).filter(F.col("rowkey") == f"{year:04d}{month:02d}")
     cell = {
         (i, what): F.try_element_at("cells", F.lit(f"rank{i:02d}_{what}"))
         for i in range(1, n + 1)
@@ -114,6 +122,7 @@ def labeled_ranking(ranking: DataFrame, codes: DataFrame) -> DataFrame:
 def region_months(keyed: DataFrame, region: str | None, year: int, first: int, last: int, value: str, *, ordered: bool = True) -> DataFrame:
     """One measure per event type and month of a region, found by key prefix (every region
     if None). Keys without three parts or without a readable month are skipped."""
+    keyed = in_range(keyed, year_partition=(year, year), month_partition=(first, last))
     if region is not None:
         keyed = keyed.filter(F.col("rowkey").startswith(f"{region}#"))
     parts = key_parts(F.col("rowkey"), 3)
@@ -144,7 +153,7 @@ def month_matrix(rows: DataFrame, value: str, event_types: Sequence[str]) -> Dat
 def age_rows(keyed: DataFrame, year: int, top_carriers: int | None = 5, *, ordered: bool = True) -> DataFrame:
     """Age buckets of one year for the carriers with most flights, in bucket order."""
     parts = key_parts(F.col("rowkey"))
-    rows = keyed.filter(F.col("rowkey").startswith(f"{year:04d}#") & (F.size(parts) == 3)).select(
+    rows = in_range(keyed, flight_year=(year, year)).filter(F.col("rowkey").startswith(f"{year:04d}#") & (F.size(parts) == 3)).select(
         F.try_element_at(parts, F.lit(1)).try_cast("int").alias("year"),
         F.try_element_at(parts, F.lit(2)).alias("aircraft_age_bucket"),
         F.try_element_at(parts, F.lit(3)).alias("carrier"),

@@ -137,20 +137,32 @@ def aircraft_age_bucket_carrier_year(
     """
     if aircraft is None:
         return None
-    require_columns(aircraft, ["TailNum", "YearManufactured"], "aircraft_dim")
-    built = aircraft.select(F.col("TailNum").alias(TAIL), F.col("YearManufactured").cast("int").alias("_built"))
-    built = present(built, TAIL) if keep_unknown_year else present(built, TAIL, "_built")
     keyed = present(with_view_keys(flights), CARRIER, TAIL).withColumnRenamed(PERIOD[0], "flight_year")
-    age = bucket(F.col("flight_year") - F.col("_built"), AGE_BUCKETS, AGE_UNKNOWN)
-    if fits(aircraft, max_broadcast_aircraft):
-        aged = keyed.join(F.broadcast(built), TAIL).withColumn("aircraft_age_bucket", age)
-        stats = collect_stats(aged, AIRCRAFT_AGE.grain)
+    built = registered_years(aircraft, keep_unknown_year)
+    if fits(built, max_broadcast_aircraft):
+        stats = collect_stats(with_age(keyed, F.broadcast(built)), AIRCRAFT_AGE.grain)
     else:
-        per_tail = collect_stats(keyed, [CARRIER, "flight_year", TAIL])
-        stats = merge_stats(per_tail.join(built, TAIL).withColumn("aircraft_age_bucket", age), AIRCRAFT_AGE.grain)
+        stats = age_stats(collect_stats(keyed, [CARRIER, "flight_year", TAIL]), built)
     return finish(stats, AIRCRAFT_AGE.grain, AIRCRAFT_AGE.measures)
 
 
+def registered_years(aircraft: DataFrame, keep_unknown_year: bool = False) -> DataFrame:
+    """Tail numbers with the year they were built."""
+    require_columns(aircraft, ["TailNum", "YearManufactured"], "aircraft_dim")
+    built = aircraft.select(F.col("TailNum").alias(TAIL), F.col("YearManufactured").cast("int").alias("_built"))
+    return present(built, TAIL) if keep_unknown_year else present(built, TAIL, "_built")
+
+
+def with_age(df: DataFrame, built: DataFrame) -> DataFrame:
+    age = bucket(F.col("flight_year") - F.col("_built"), AGE_BUCKETS, AGE_UNKNOWN)
+    return df.join(built, TAIL).withColumn("aircraft_age_bucket", age)
+
+
+def age_stats(per_tail: DataFrame, built: DataFrame) -> DataFrame:
+    """Statistics per carrier, year and tail number (or finer) → per year, age bucket and carrier."""
+    return merge_stats(with_age(per_tail, built), AIRCRAFT_AGE.grain)
+
+
 def build_views(
     flights: DataFrame,
     airports: DataFrame,
