@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Callable, Iterable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 
 from flightlens.operators.checks import clean_names
@@ -19,25 +19,32 @@ from flightlens.session import materialize
 from flightlens.sources import catalog, listing, scan, sink
 
 
-def load_storm_bronze(spark: SparkSession, csv_path: str, bronze: str) -> DataFrame:
-    """Storm CSV files → one partition per month; returns the audit of the write."""
-    return sink.split_by_month(scan.storm_csv(spark, csv_path), bronze, "YEAR", "BEGIN_YEARMONTH")
+CORRUPT = "_corrupt_record"
+
+
+def load_storm_bronze(spark: SparkSession, csv_path: str, bronze: str, *, multiline: bool = True) -> DataFrame:
+    """Storm CSV files → one partition per month; returns the audit of the write.
+
+    Records that do not fit the columns, and reports without a month, are set aside beside the table (``sink.rejected_rows``) and counted by the audit. The
+    text of such a record is in ``_corrupt_record``, a column that is null in all stored months.
+    """
+    return sink.split_by_month(scan.storm_csv(spark, csv_path, corrupt=CORRUPT, multiline=multiline), bronze, "YEAR", "BEGIN_YEARMONTH", CORRUPT)
 
 
 def load_registry_bronze(spark: SparkSession, csv_path: str, bronze: str, date: str | None = None) -> DataFrame:
     """Aircraft registry → a dated copy with both type codes decoded; returns the audit of the write.
 
     Columns stay text: types inferred from each day's file differ from day to day (a year
-    column with and without blanks), and such copies could not be read together.
+    column with and without blanks), and such copies could not be read together. Rows are counted as they are written; the files' own counts come from
+    their footers. If they differ, as after a lost executor, the input is counted again.
     """
-    raw = scan.registry_csv(spark, csv_path, infer=False)
-    sink.write_dated_snapshot(clean_names(decoded_registry(raw)), bronze, date)
-    count = F.count(F.lit(1))
-    day = F.current_date() if date is None else F.lit(date).cast("date")
-    stored = scan.parquet(spark, bronze).filter(F.col("snapshot_date") == day)
-    report = raw.agg(count.alias("rows_read")).withColumn("rows_written", stored.agg(count).scalar())
-    report = report.select(day.alias("snapshot_date"), "rows_read", "rows_written", (F.col("rows_read") == F.col("rows_written")).alias("verified"))
-    return spark.createDataFrame(report.collect(), report.schema)  # as of now
+    raw, seen, one = scan.registry_csv(spark, csv_path, infer=False), Observation(), F.count(F.lit(1))
+    day = date or str(spark.range(1).select(F.current_date()).first()[0])
+    sink.write_dated_snapshot(clean_names(decoded_registry(raw)).observe(seen, one.alias("read")), bronze, day)
+    (written,) = listing.row_counts(spark, [f"{bronze}/snapshot_date={day}"])
+    read = seen.get["read"] if seen.get["read"] == written else raw.count()
+    report = spark.createDataFrame([(day, read, written, read == written)], "snapshot_date STRING, rows_read BIGINT, rows_written BIGINT, verified BOOLEAN")
+    return report.withColumn("snapshot_date", F.col("snapshot_date").cast("date"))
 
 
 class MonthsFailed(RuntimeError):

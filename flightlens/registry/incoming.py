@@ -136,7 +136,7 @@ def airports_refresh_without_input(t):
 
 @query(
     """SELECT CAST(ym // 100 AS INT) AS year_partition, CAST(ym % 100 AS INT) AS month_partition, n AS rows_written,
- CAST(sum(n) OVER (PARTITION BY ym > 199806) AS BIGINT) AS total_read, CAST(sum(n) OVER (PARTITION BY ym > 199806) AS BIGINT) AS total_written, true AS verified
+ CAST(sum(n) OVER (PARTITION BY ym > 199806) AS BIGINT) AS total_read, CAST(sum(n) OVER (PARTITION BY ym > 199806) AS BIGINT) AS total_written, CAST(0 AS BIGINT) AS total_rejected, true AS verified
  FROM (SELECT BEGIN_YEARMONTH AS ym, count(*) AS n FROM fx_weather GROUP BY ALL)""",
     "fx_weather",
 )

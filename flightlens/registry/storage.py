@@ -68,6 +68,13 @@ def storm_column(name: str, kind: str, div: str) -> str:
     return f"{f'CAST(BEGIN_YEARMONTH {div} 100 AS INT)' if name == 'YEAR' else _filler(name, kind.lower())} AS {name}"
 
 
+def as_published(t, reports) -> str:
+    """A folder of CSV files with quotes doubled inside quoted texts."""
+    folder = fresh(t, "storm-csv")
+    reports.write.options(header=True, quote='"', escape='"').csv(folder)
+    return folder
+
+
 def storm_reports(t):
     """Storm reports with all columns of the CSV."""
     return t.weather.selectExpr(*[storm_column(n, k, "div") for n, k in STORM_COLUMNS])
@@ -75,24 +82,55 @@ def storm_reports(t):
 
 @query(
     """SELECT year_partition, month_partition, n AS rows_written, CAST(sum(n) OVER () AS BIGINT) AS total_read,
- CAST(sum(n) OVER () AS BIGINT) AS total_written, true AS verified FROM
+ CAST(sum(n) OVER () AS BIGINT) AS total_written, CAST(0 AS BIGINT) AS total_rejected, true AS verified FROM
  (SELECT CAST(BEGIN_YEARMONTH // 100 AS INT) AS year_partition, CAST(BEGIN_YEARMONTH % 100 AS INT) AS month_partition,
   count(*) AS n FROM fx_weather GROUP BY ALL)""",
     "fx_weather",
 )
 def bronze_month_split(t):
     """Storm CSV → typed scan → one partition per month → audit."""
-    csv = fresh(t, "storm-csv")
-    storm_reports(t).write.mode("overwrite").option("header", True).csv(csv)
-    return loads.load_storm_bronze(t.spark, csv, fresh(t, "storm-bronze"))
+    return loads.load_storm_bronze(t.spark, as_published(t, storm_reports(t)), fresh(t, "storm-bronze"))
 
 
 @query(f"SELECT {', '.join(storm_column(n, k, '//') for n, k in STORM_COLUMNS)} FROM fx_weather", "fx_weather")
 def storm_csv_scan(t):
     """All columns of the CSV, each with a value; commas and quotes in the texts."""
-    csv = fresh(t, "storm-csv")
-    storm_reports(t).write.mode("overwrite").option("header", True).csv(csv)
-    return scan.storm_csv(t.spark, csv)
+    return scan.storm_csv(t.spark, as_published(t, storm_reports(t)))
+
+
+NARRATIVE = """concat('He said "run, now", twice.', chr(13), chr(10), 'Trees, ', CAST(EVENT_ID % 5 AS VARCHAR(9)), ' of them,', chr(10), chr(10), '"down".')"""
+
+
+def reports_with_breaks(t):
+    """Reports whose narratives have commas, doubled quotes and line breaks."""
+    return storm_reports(t).withColumn("EVENT_NARRATIVE", F.expr(NARRATIVE))
+
+
+def broken_reports(t) -> str:
+    """The same reports, and a file with a record that is too short and one with a word for a number."""
+    folder = as_published(t, reports_with_breaks(t))
+    names = [n for n, _ in STORM_COLUMNS]
+    number = ",".join("many" if n == "BEGIN_DAY" else "7" for n in names)
+    t.spark.createDataFrame([("\n".join([",".join(names), "1998,too short", number]),)], "value STRING").coalesce(1).write.mode("append").text(folder)
+    return folder
+
+
+@query(f"SELECT {', '.join(storm_column(n, k, '//') if n != 'EVENT_NARRATIVE' else f'{NARRATIVE} AS {n}' for n, k in STORM_COLUMNS)} FROM fx_weather", "fx_weather")
+def storm_reports_with_rejects(t):
+    """Whole reports after a load with quotes, line breaks and two broken records."""
+    bronze = fresh(t, "storm-bronze")
+    loads.load_storm_bronze(t.spark, broken_reports(t), bronze)
+    return scan.parquet(t.spark, bronze).drop(*PERIOD, loads.CORRUPT)
+
+
+@query("SELECT '1998,too short' AS record, count(*) + 2 AS total_read, count(*) AS total_written, CAST(2 AS BIGINT) AS total_rejected, true AS verified FROM fx_weather", "fx_weather")
+def storm_rejects_counted(t):
+    """The rejected records themselves, and how the audit counts them."""
+    bronze = fresh(t, "storm-bronze")
+    audit = loads.load_storm_bronze(t.spark, broken_reports(t), bronze)
+    totals = audit.select("total_read", "total_written", "total_rejected", "verified").distinct()
+    short = sink.rejected_rows(t.spark, bronze).filter(F.size(F.split(loads.CORRUPT, ",")) == 2)
+    return totals.withColumn("record", short.agg(F.max(loads.CORRUPT)).scalar())
 
 
 @query(

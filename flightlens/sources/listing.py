@@ -86,20 +86,28 @@ def part_files(spark: SparkSession, paths: Sequence[str]) -> list[list[str] | No
     return _each(parts, paths)
 
 
+def _footer(spark: SparkSession, path: str, read: Callable[[object], T]) -> T:
+    context = spark.sparkContext
+    hadoop = context._jvm.org.apache.parquet.hadoop
+    source = hadoop.util.HadoopInputFile.fromPath(context._jvm.org.apache.hadoop.fs.Path(path), context._jsc.hadoopConfiguration())
+    reader = hadoop.ParquetFileReader.open(source)
+    try:
+        return read(reader)
+    finally:
+        reader.close()
+
+
 def stored_columns(spark: SparkSession, files: Sequence[str]) -> list[str]:
     """The stored columns and types of each Parquet file, as its footer spells them."""
-    context = spark.sparkContext
-    hadoop, configuration = context._jvm.org.apache.parquet.hadoop, context._jsc.hadoopConfiguration()
+    return _each(lambda path: _footer(spark, path, lambda footer: footer.getFileMetaData().getSchema().toString()), files)
 
-    def columns(path: str) -> str:
-        source = hadoop.util.HadoopInputFile.fromPath(context._jvm.org.apache.hadoop.fs.Path(path), configuration)
-        reader = hadoop.ParquetFileReader.open(source)
-        try:
-            return reader.getFileMetaData().getSchema().toString()
-        finally:
-            reader.close()
 
-    return _each(columns, files)
+def row_counts(spark: SparkSession, folders: Sequence[str]) -> list[int]:
+    """Rows of the Parquet files directly in each folder, from their footers."""
+    parts = part_files(spark, folders)
+    files = [file for found in parts for file in found or []]
+    rows = dict(zip(files, _each(lambda path: _footer(spark, path, lambda footer: footer.getRecordCount()), files), strict=True))
+    return [sum(rows[file] for file in found or []) for found in parts]
 
 
 def names_in(spark: SparkSession, folder: str) -> frozenset[str]:
@@ -122,8 +130,8 @@ def rename(spark: SparkSession, old: str, new: str) -> None:
         raise OSError(f"cannot rename {old} to {new}")
 
 
-def partition_values(spark: SparkSession, root: str, by: Sequence[str]) -> set[tuple[int, ...]]:
-    """The values of the partition folders under ``root``; an error for rows without a value."""
+def partition_values(spark: SparkSession, root: str, by: Sequence[str], skip: str | None = None) -> set[tuple[int, ...]]:
+    """The values of the partition folders under ``root``, without those of the name ``skip``; an error for others that are no number."""
     files, place = _open(spark, root)
     found, todo = set(), [(place, ())] if files.exists(place) else []
     while todo:
@@ -133,7 +141,7 @@ def partition_values(spark: SparkSession, root: str, by: Sequence[str]) -> set[t
             continue
         for status in files.listStatus(folder):
             name, _, value = status.getPath().getName().partition("=")
-            if name == by[len(values)]:
+            if name == by[len(values)] and value != skip:
                 todo.append((status.getPath(), (*values, int(value))))
     return found
 

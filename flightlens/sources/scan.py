@@ -26,9 +26,15 @@ MONTH_FOLDERS = rf"{PERIOD[0]}=(\d+)/{PERIOD[1]}=(\d+)"
 AIRCRAFT_FILES = r"plane_registry_(\d{4}-\d{2}-\d{2})"
 
 
-def storm_csv(spark: SparkSession, path: str) -> DataFrame:
-    """Storm reports: declared types, so no pass over the data to infer them."""
-    return spark.read.schema(schemas.STORM_CSV).option("header", True).csv(path)
+def storm_csv(spark: SparkSession, path: str, *, corrupt: str | None = None, multiline: bool = True) -> DataFrame:
+    """Storm reports as they are published (RFC 4180): texts in quotes may have commas, doubled quotes and line breaks.
+
+    Declared types, so no pass over the data to infer them. ``corrupt`` names one column more: the text of a record that does not fit the columns or
+    their types, else null. With line breaks in texts a file is read by one task; ``multiline=False`` splits large files that have none.
+    """
+    schema = schemas.STORM_CSV + (f", {corrupt} STRING" if corrupt else "")
+    reader = spark.read.schema(schema).options(header=True, quote='"', escape='"', multiLine=multiline)
+    return (reader.option("columnNameOfCorruptRecord", corrupt) if corrupt else reader).csv(path)
 
 
 def registry_csv(spark: SparkSession, path: str, *, infer: bool = True) -> DataFrame:

@@ -5,11 +5,12 @@ import re
 import pytest
 from pyspark.sql import functions as F
 
-from flightlens import fixtures
+from flightlens import fixtures, schemas
 from flightlens.plans import loads
 from flightlens.plans.dimensions import aircraft_dim
 from flightlens.plans.flights import flight_facts
 from flightlens.plans.views import VIEWS
+from flightlens.schemas import PERIOD
 from flightlens.sources import catalog, listing, scan, sink
 
 from conftest import values
@@ -173,12 +174,12 @@ def test_audit_reports_lost_rows(spark, rows, tmp_path):
     df = rows("YEAR int, BEGIN_YEARMONTH int", (2024, 202401), (2024, 202401), (2024, 202412))
     path = str(tmp_path / "t")
     report = sink.split_by_month(df, path, "YEAR", "BEGIN_YEARMONTH")
-    assert values(report) == [(2024, 1, 2, 3, 3, True), (2024, 12, 1, 3, 3, True)]
+    assert values(report) == [(2024, 1, 2, 3, 3, 0, True), (2024, 12, 1, 3, 3, 0, True)]
     again = sink.split_by_month(df.filter("BEGIN_YEARMONTH = 202412"), path, "YEAR", "BEGIN_YEARMONTH")
-    assert values(again) == [(2024, 12, 1, 1, 1, True)]  # the other month is no false alarm
+    assert values(again) == [(2024, 12, 1, 1, 1, 0, True)]  # the other month is no false alarm
     rows_in = scan.parquet(spark, path)
     lost = sink.audit(rows_in.filter("month_partition = 1"), rows_in)
-    assert values(lost) == [(2024, 1, 2, 3, 2, False), (2024, 12, 0, 3, 2, False)]
+    assert values(lost) == [(2024, 1, 2, 3, 2, 0, False), (2024, 12, 0, 3, 2, 0, False)]
 
 
 def test_keyed_rows_are_found_by_key_and_prefix(spark, tmp_path):
@@ -425,3 +426,72 @@ def test_jobs_do_not_grow_with_the_number_of_files(spark, rows, tmp_path):
         jobs.append(len(tracker.getJobIdsForGroup(f"footers-{count}")))
     context.setLocalProperty("spark.jobGroup.id", None)
     assert jobs[0] == jobs[1] <= 2
+
+
+REPORT = schemas.STORM_CSV.replace("\n", " ").split(",")
+
+
+def report_line(**given):
+    return ",".join(str(given.get(c.split()[0], "1" if "STRING" not in c.upper() else "x")) for c in REPORT)
+
+
+def storm_file(path, *lines, end="\r\n"):
+    path.parent.mkdir(parents=True, exist_ok=True)
+    path.write_bytes(end.join([",".join(c.split()[0] for c in REPORT), *lines, ""]).encode())
+
+
+def test_reports_with_quotes_line_breaks_and_rejects(spark, tmp_path):
+    text = '"He said ""run, now"", twice.\n\nThen, quiet."'
+    storm_file(
+        tmp_path / "in" / "1998.csv",
+        report_line(YEAR=1998, BEGIN_YEARMONTH=199803, EVENT_ID=1, EVENT_NARRATIVE=text),
+        report_line(YEAR=1998, BEGIN_YEARMONTH=199803, EVENT_ID=2, EVENT_NARRATIVE='""'),
+        "1998,only two",
+        report_line(YEAR="many", BEGIN_YEARMONTH=199803, EVENT_ID=3),
+        report_line(YEAR="", BEGIN_YEARMONTH=199803, EVENT_ID=4),
+        report_line(YEAR=1998, BEGIN_YEARMONTH=199804, EVENT_ID=5) + ",too,many",
+    )
+    storm_file(tmp_path / "in" / "1999.csv", report_line(YEAR=1999, BEGIN_YEARMONTH=199912, EVENT_ID=6))
+    bronze = str(tmp_path / "bronze")
+    audit = loads.load_storm_bronze(spark, str(tmp_path / "in"), bronze)
+    assert values(audit) == [(1998, 3, 2, 7, 3, 4, True), (1999, 12, 1, 7, 3, 4, True)]
+    stored = scan.parquet(spark, bronze)
+    assert values(stored.select("EVENT_ID", "EVENT_NARRATIVE").filter("EVENT_ID < 3")) == [(1, 'He said "run, now", twice.\n\nThen, quiet.'), (2, None)]
+    rejected = sink.rejected_rows(spark, bronze)
+    assert rejected.count() == 4 and rejected.filter("_corrupt_record IS NULL").select("EVENT_ID").first()[0] == 4
+    assert rejected.filter("_corrupt_record = '1998,only two'").count() == 1
+    again = loads.load_storm_bronze(spark, str(tmp_path / "in" / "1999.csv"), bronze)
+    assert values(again) == [(1999, 12, 1, 1, 1, 0, True)] and scan.parquet(spark, bronze).count() == 3
+
+
+def test_a_load_reads_its_input_once(spark, rows, tmp_path):
+    """By the rows that all scans of CSV files have given, in every job of the load."""
+    storm_file(tmp_path / "in" / "1998.csv", *[report_line(YEAR=1998, BEGIN_YEARMONTH=199800 + m, EVENT_ID=m) for m in range(1, 11)])
+    rows("`N-NUMBER` string, MFR string, MODEL string, `TYPE AIRCRAFT` string, `TYPE ENGINE` string, `YEAR MFR` string", *[(str(k), "m", "x", "4", "1", "1990") for k in range(10)]).coalesce(1).write.option("header", True).csv(str(tmp_path / "planes"))
+    scanned = []
+    for load in (
+        lambda: loads.load_storm_bronze(spark, str(tmp_path / "in"), str(tmp_path / "bronze")),
+        lambda: loads.load_registry_bronze(spark, str(tmp_path / "planes"), str(tmp_path / "registry"), "2024-05-01"),
+    ):
+        store = spark._jsparkSession.sharedState().statusStore()
+        before = store.executionsCount()
+        report = load()
+        total = 0
+        for execution in range(before, store.executionsCount()):
+            info = store.executionsList(execution, 1).head()
+            metrics = store.executionMetrics(info.executionId())
+            nodes = store.planGraph(info.executionId()).allNodes()
+            for k in range(nodes.size()):
+                if nodes.apply(k).name().startswith("Scan csv"):
+                    for j in range(nodes.apply(k).metrics().size()):
+                        metric = nodes.apply(k).metrics().apply(j)
+                        if metric.name() == "number of output rows" and metrics.contains(metric.accumulatorId()):
+                            total += int(metrics.apply(metric.accumulatorId()).replace(",", ""))
+        scanned.append((total, report.select("verified").distinct().first()[0]))
+    assert scanned == [(10, True), (10, True)]
+
+
+def test_rows_lost_on_the_way_are_reported(spark, rows, tmp_path, monkeypatch):
+    monkeypatch.setattr(sink, "overwrite_periods", lambda df, path, **how: df.filter("month_partition = 1").write.partitionBy(*PERIOD).parquet(path))
+    df = rows("YEAR int, BEGIN_YEARMONTH int", (2024, 202401), (2024, 202402))
+    assert values(sink.split_by_month(df, str(tmp_path / "t"), "YEAR", "BEGIN_YEARMONTH")) == [(2024, 1, 1, 2, 1, 0, False), (2024, 2, 0, 2, 1, 0, False)]
