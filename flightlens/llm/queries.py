@@ -65,8 +65,8 @@ def op1_lsh_forest(spark, sf_dir):
 @query()
 def op2_sentencepiece(spark, sf_dir):
     """Identifiers of every text, and whether they decode to it."""
-    df = pieces.encode(table(spark, sf_dir, "documents").select("doc_id", "text"))
-    df = pieces.decode(df).withColumn("exact", F.col("decoded").eqNullSafe(F.col("text")))
+    df = pieces.round_trip(table(spark, sf_dir, "documents").select("doc_id", "text"))
+    df = df.withColumn("exact", F.col("decoded").eqNullSafe(F.col("text")))
     return df.select("doc_id", "piece_ids", F.size("piece_ids").cast("long").alias("n_pieces"), "exact")
 
 

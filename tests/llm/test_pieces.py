@@ -82,3 +82,50 @@ def test_round_trip_of_any_text(spark, rows):
 def test_empty_table(spark, rows):
     df = rows("doc_id long, text string")
     assert values(pieces.decode(pieces.encode(df))) == values(pieces.count_tokens(df)) == []
+
+
+def test_user_defined_pieces_are_cut_out():
+    p = Pieces(WITH_BYTES + [("<sep>", 0.0, pieces.USER_DEFINED), ("<sep>x", 0.0, pieces.USER_DEFINED)])
+    assert [p.names[i] for i in p.encode("a<sep>ab<sep>xb")] == ["▁a", "<sep>", "ab", "<sep>x", "b"]
+    for text in ("a<sep>a", "<sep>", " <sep> ", "<sep", "é<sep>▁"):
+        assert p.decode(p.encode(text)) == text
+        assert p.count(text)[0] == len(p.encode(text))
+
+
+def test_vocabularies_that_change_texts_are_refused(tmp_path):
+    from sentencepiece import sentencepiece_model_pb2
+
+    model = sentencepiece_model_pb2.ModelProto()
+    for piece, score, kind in WITH_BYTES:
+        model.pieces.add(piece=piece, score=score, type=kind)
+    model.normalizer_spec.remove_extra_whitespaces = True
+    with pytest.raises(ValueError):
+        pieces.parse(model.SerializeToString())
+    model.normalizer_spec.remove_extra_whitespaces = False
+    model.normalizer_spec.add_dummy_prefix = False
+    path = tmp_path / "plain.model"
+    path.write_bytes(model.SerializeToString())
+    p = load(str(path))
+    assert [p.names[i] for i in p.encode("ab a")] == ["ab", "▁a"]
+    assert all(p.decode(p.encode(x)) == x for x in ("", " ", " ab", "ab ", "▁"))
+
+
+def test_long_chunks_are_not_kept():
+    p = Pieces(WITH_BYTES)
+    text = "ab" * 500_000
+    assert p.round_trip(text)[1] == text and p.count(text)[0] == len(p.encode(text))
+    assert not p.solved and not p.sizes
+    assert p.round_trip("ab ba ab") and len(p.solved) == 2
+
+
+def test_one_encoding_of_each_text(spark, rows):
+    df = rows("doc_id long, text string, decoded string", (1, "some text", "kept"), (1, "some text", "kept"), (2, None, "kept"), (3, "", "kept"))
+    out = pieces.round_trip(df)
+    plan = out._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("ArrowEvalPython") == 1 and plan.count("run(") == plan.count("run(text")
+    assert out.columns == ["doc_id", "text", "decoded", "piece_ids", "decoded_1"]
+    assert all(r.decoded_1 == r.text for r in out.collect())
+    assert values(out.select("doc_id", "piece_ids")) == values(pieces.encode(df).select("doc_id", "piece_ids"))
+    both = pieces.decode(pieces.encode(df.drop("decoded")))._jdf.queryExecution().executedPlan().toString()
+    assert "run(run(" not in both
+    assert pieces.round_trip(df.limit(0)).collect() == []
