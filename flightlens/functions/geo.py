@@ -38,13 +38,22 @@ def cell_count(radius_km: float) -> int:
     return max(1, int(180 / band_height(radius_km)))
 
 
-def _cell_at(lon: Column, radius_km: float) -> Column:
-    return F.floor(lon / (360 / cell_count(radius_km))).cast("int")
+def cell_width(radius_km: float) -> float:
+    return 360 / cell_count(radius_km)
+
+
+def cell_at(lon: Column, radius_km: float) -> Column:
+    """Cell counted from longitude 0, in either direction."""
+    return F.floor(lon / cell_width(radius_km)).cast("int")
+
+
+def wrapped(cell: Column, radius_km: float) -> Column:
+    """Cell counted modulo the number of cells so that the antimeridian joins up."""
+    return F.pmod(cell, F.lit(cell_count(radius_km)))
 
 
 def cell(lon: Column, radius_km: float) -> Column:
-    """Longitude cell, counted modulo the number of cells so that the antimeridian joins up."""
-    return F.pmod(_cell_at(lon, radius_km), F.lit(cell_count(radius_km)))
+    return wrapped(cell_at(lon, radius_km), radius_km)
 
 
 def bands_within(lat: Column, radius_km: float) -> Column:
@@ -53,16 +62,41 @@ def bands_within(lat: Column, radius_km: float) -> Column:
     return F.sequence(b - 1, b + 1)
 
 
-def cells_within(lat: Column, lon: Column, radius_km: float) -> Column:
-    """Every cell that may hold a point within the radius.
+def reach_in_longitude(lat: Column, radius_km: float) -> Column:
+    """Largest longitude difference of a point within the radius, in degrees.
 
     The widest longitude difference on a circle of angular radius a around latitude
     p is asin(sin a / cos p); a circle that reaches a pole covers all longitudes.
     """
     reach = math.sin(radius_km / EARTH_RADIUS_KM)
     polar = F.abs(lat) + band_height(radius_km) >= 90
-    half = F.when(polar, 180.0).otherwise(
+    return F.when(polar, 180.0).otherwise(
         F.degrees(F.asin(F.least(F.lit(1.0), F.lit(reach) / F.cos(F.radians(lat))))) + 1e-9
     )
-    span = F.sequence(_cell_at(lon - half, radius_km), _cell_at(lon + half, radius_km))
-    return F.array_distinct(F.transform(span, lambda c: F.pmod(c, F.lit(cell_count(radius_km)))))
+
+
+def cells_within(lat: Column, lon: Column, radius_km: float) -> Column:
+    """Every cell that may hold a point within the radius."""
+    half = reach_in_longitude(lat, radius_km)
+    span = F.sequence(cell_at(lon - half, radius_km), cell_at(lon + half, radius_km))
+    return F.array_distinct(F.transform(span, lambda c: wrapped(c, radius_km)))
+
+
+def squares_along(lat: tuple[Column, Column], lon: tuple[Column, Column], radius_km: float) -> Column:
+    """Every (band, cell) that a straight track from the first to the second coordinates may touch, cells not wrapped.
+
+    The track is cut into parts no longer than a square; each touches the few squares between its ends.
+    """
+    height, width = band_height(radius_km), cell_width(radius_km)
+    parts = F.greatest(F.lit(1), F.ceil(F.abs(lat[1] - lat[0]) / height), F.ceil(F.abs(lon[1] - lon[0]) / width))
+
+    def between(ends: tuple[Column, Column], k: Column, size: float) -> Column:
+        places = [along(*ends, (k + step) / parts) for step in (0, 1)]
+        low, high = F.least(*places) - 1e-9, F.greatest(*places) + 1e-9
+        return F.sequence(F.floor(low / size).cast("int"), F.floor(high / size).cast("int"))
+
+    def squares(k: Column) -> Column:
+        cells = between(lon, k, width)
+        return F.flatten(F.transform(between(lat, k, height), lambda b: F.transform(cells, lambda c: F.struct(b.alias("band"), c.alias("cell")))))
+
+    return F.array_distinct(F.flatten(F.transform(F.sequence(F.lit(0).cast("long"), parts.cast("long") - 1), squares)))

@@ -11,7 +11,18 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from flightlens.functions.geo import band, band_height, bands_within, cell, cells_within, haversine_km
+from flightlens.functions.geo import (
+    band,
+    band_height,
+    bands_within,
+    cell,
+    cell_width,
+    cells_within,
+    haversine_km,
+    reach_in_longitude,
+    squares_along,
+    wrapped,
+)
 from flightlens.operators.combine import fits
 
 # A broadcast row, a site in one grid square, is well under 1 KB, so this many stay below a
@@ -41,8 +52,18 @@ def within_radius(
     a point share it, and the adaptive skew join splits what is still uneven.
     """
     (plat, plon), (slat, slon) = point, site
-    keys = ["_band", "_cell"]
     left = points.withColumns({"_band": band(F.col(plat), radius_km), "_cell": cell(F.col(plon), radius_km)})
+    left, right, keys = meeting(left, sites, radius_km, site, max_broadcast_sites, salts)
+    km = haversine_km(F.col(slat), F.col(slon), F.col(plat), F.col(plon))
+    near = F.abs(F.col(slat) - F.col(plat)) <= band_height(radius_km)  # cheap, before the trigonometry
+    pairs = left.join(right, keys).filter(near).withColumn(distance, km)
+    return pairs.filter(F.col(distance) <= radius_km).drop(*keys)
+
+
+def meeting(left: DataFrame, sites: DataFrame, radius_km: float, site: tuple[str, str], max_broadcast_sites: int, salts: int) -> tuple[DataFrame, DataFrame, list[str]]:
+    """Both sides and the columns to join them on: ``left`` has ``_band`` and ``_cell``, each site gets a row for every square its circle can touch."""
+    slat, slon = site
+    keys = ["_band", "_cell"]
     right = sites.withColumn("_band", F.explode(bands_within(F.col(slat), radius_km))).withColumn(
         "_cell", F.explode(cells_within(F.col(slat), F.col(slon), radius_km))
     )
@@ -50,10 +71,55 @@ def within_radius(
         right = F.broadcast(right)
     elif salts > 1:
         keys.append("_salt")
-        spread = F.pmod(F.xxhash64(*[F.col(f"`{c}`") for c in points.columns]), F.lit(salts))
+        spread = F.pmod(F.xxhash64(*[F.col(f"`{c}`") for c in left.columns]), F.lit(salts))
         left = left.withColumn("_salt", spread.cast("int"))
         right = right.withColumn("_salt", F.explode(F.sequence(F.lit(0), F.lit(salts - 1))))
-    km = haversine_km(F.col(slat), F.col(slon), F.col(plat), F.col(plon))
-    near = F.abs(F.col(slat) - F.col(plat)) <= band_height(radius_km)  # cheap, before the trigonometry
-    pairs = left.join(right, keys).filter(near).withColumn(distance, km)
-    return pairs.filter(F.col(distance) <= radius_km).drop(*keys)
+    return left, right, keys
+
+
+def tracks_near_sites(
+    tracks: DataFrame,
+    sites: DataFrame,
+    radius_km: float,
+    *,
+    start: tuple[str, str],
+    stop: tuple[str, str],
+    steps: str,
+    site: tuple[str, str],
+    max_broadcast_sites: int = MAX_BROADCAST_SITES,
+    salts: int = SALTS,
+) -> DataFrame:
+    """Tracks and sites that may come within ``radius_km``, with the steps at which they may: ``_band``, ``_cell``, ``_first`` and ``_last``.
+
+    A track is one row: a straight line in degrees from ``start`` to ``stop`` (lat, lon) in ``steps`` equal steps (their sign does not matter). It is listed
+    under the squares it passes. Where it meets a site, the steps in question are those inside this square and inside the site's box,
+    one interval each since the track is straight; both are solved for, not tried. So a step and a site come
+    together at most once, in the square of that step. The caller tests these steps exactly, the square included: the intervals are a hair too wide.
+    """
+    (lat0, lon0), (lat1, lon1) = ((F.col(lat), F.col(lon)) for lat, lon in (start, stop))
+    slat, slon = (F.col(c) for c in site)
+    height, width = band_height(radius_km), cell_width(radius_km)
+    left = tracks.withColumn("_square", F.explode(squares_along((lat0, lat1), (lon0, lon1), radius_km)))
+    left = left.withColumns({"_band": F.col("_square.band"), "_raw": F.col("_square.cell")}).drop("_square").withColumn("_cell", wrapped(F.col("_raw"), radius_km))
+    left, right, keys = meeting(left, sites, radius_km, site, max_broadcast_sites, salts)
+    met = left.join(right, keys)
+
+    count = F.abs(F.col(steps)).cast("double")
+    half = reach_in_longitude(slat, radius_km)
+    middle = (F.col("_raw") + 0.5) * width
+    turned = slon + 360 * F.round((middle - slon) / 360)  # the site as seen from this side of the antimeridian
+    lat_range = F.greatest(F.col("_band") * height, slat - height), F.least((F.col("_band") + 1) * height, slat + height)
+    lon_range = F.greatest(F.col("_raw") * width, turned - half), F.least((F.col("_raw") + 1) * width, turned + half)
+    firsts, lasts = [F.lit(0.0)], [count]
+    for begin, end, (low, high) in ((lat0, lat1, lat_range), (lon0, lon1, lon_range)):
+        slope = F.when(count > 0, (end - begin) / count).otherwise(0.0)
+        still = F.abs(slope) * count < 1e-9
+        inside = (begin >= low - 1e-8) & (begin <= high + 1e-8)
+        ends = [F.try_divide(x - begin, slope) for x in (low, high)]
+        firsts.append(F.when(still, F.when(inside, 0.0).otherwise(count + 1)).otherwise(F.least(*ends)))
+        lasts.append(F.when(still, count).otherwise(F.greatest(*ends)))
+    first, last = F.greatest(*firsts), F.least(*lasts)
+    slack = 1e-6 + 1e-9 * count
+    met = met.withColumns({"_first": F.ceil(first - slack).cast("long"), "_last": F.floor(last + slack).cast("long")})
+    met = met.withColumns({"_first": F.greatest("_first", F.lit(0).cast("long")), "_last": F.least("_last", count.cast("long"))})
+    return met.filter("_first <= _last").drop("_raw", *(k for k in keys if k == "_salt"))

@@ -2,21 +2,26 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from flightlens.codes import EVENT_CATEGORY
-from flightlens.functions.geo import along
+from flightlens.functions.geo import along, band, cell, haversine_km
 from flightlens.functions.keys import load_id
 from flightlens.functions.times import hour_after, hour_before, hours_between, stamp
 from flightlens.functions.values import decode
 from flightlens.operators.checks import present
-from flightlens.operators.spatial import MAX_BROADCAST_SITES, SALTS, within_radius
+from flightlens.operators.spatial import MAX_BROADCAST_SITES, SALTS, tracks_near_sites
 from flightlens.schemas import PERIOD
 
 RADIUS_KM = 50
 BLOCK_HOURS = 1_000
 LONG_HOURS = 24 * 366
+HOUR_COLUMNS = (
+    "ORIGINAL_INDEX DATETIME LATITUDE LONGITUDE EVENT_TYPE EVENT_CATEGORY_ID BEGIN_DATETIME END_DATETIME HOUR_OFFSET INTERPOLATION_FACTOR"
+).split()
+SPLIT_BYTES = 2**27
+UNKNOWN_BYTES = 2**55  # estimates from here on stand for "unknown"
 
 
 def aligned_storms(raw: DataFrame) -> DataFrame:
@@ -44,12 +49,16 @@ def aligned_storms(raw: DataFrame) -> DataFrame:
 
 
 def dealt_out(storms: DataFrame, spread: int | None = None) -> DataFrame:
-    """The same rows over ``spread`` tasks, or more if the input has more splits than that."""
+    """The same rows over ``spread`` tasks, or more if the input has more splits than that. Only the plan is asked for
+    its partitions, or its size where it does not know them; nothing is run."""
     if spread is None:
         spread = int(storms.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    if spread <= 0 or storms.rdd.getNumPartitions() >= spread:
+    plan = storms._jdf.queryExecution()
+    splits = plan.sparkPlan().outputPartitioning().numPartitions()
+    if spread <= 0 or splits >= spread:
         return storms
-    return storms.repartition(spread)
+    size = int(plan.optimizedPlan().stats().sizeInBytes())
+    return storms.repartition(max(spread, size // SPLIT_BYTES if size < UNKNOWN_BYTES else 0))
 
 
 def long_storms(storms: DataFrame, hours: int = LONG_HOURS) -> DataFrame:
@@ -58,6 +67,28 @@ def long_storms(storms: DataFrame, hours: int = LONG_HOURS) -> DataFrame:
     return span.filter(F.abs("HOURS") > hours).orderBy(F.desc(F.abs("HOURS")), "ORIGINAL_INDEX")
 
 
+def with_hours(storms: DataFrame) -> DataFrame:
+    return storms.withColumn("_hours", hours_between(F.col("BEGIN_DATETIME"), F.col("END_DATETIME")).cast("long"))
+
+
+def each_hour(span: DataFrame, first: Column, last: Column) -> DataFrame:
+    """A row for each hour from the ``first`` to the ``last`` of a storm, counted away from its begin, in blocks; with its time and place
+    and ``HOUR_OFFSET``, negative for a storm that ends before it begins."""
+    c = F.col
+    span = span.withColumns({"_from": first, "_to": last})
+    span = span.withColumn("_block", F.explode(F.sequence(F.expr(f"_from div {BLOCK_HOURS}"), F.expr(f"_to div {BLOCK_HOURS}"))))
+    within = F.sequence(F.greatest("_from", c("_block") * BLOCK_HOURS), F.least("_to", (c("_block") + 1) * BLOCK_HOURS - 1))
+    hours = span.withColumn("HOUR_OFFSET", F.explode(within)).withColumn("HOUR_OFFSET", (F.when(c("_hours") < 0, -c("HOUR_OFFSET")).otherwise(c("HOUR_OFFSET"))).cast("int"))
+    share = F.when(c("_hours") == 0, 0.0).otherwise(c("HOUR_OFFSET").cast("double") / c("_hours"))
+    return hours.withColumn("INTERPOLATION_FACTOR", share).withColumns(
+        {
+            "DATETIME": F.timestamp_add("HOUR", c("HOUR_OFFSET"), c("BEGIN_DATETIME")),
+            "LATITUDE": along(c("BEGIN_LAT"), c("END_LAT"), c("INTERPOLATION_FACTOR")),
+            "LONGITUDE": along(c("BEGIN_LON"), c("END_LON"), c("INTERPOLATION_FACTOR")),
+        }
+    )
+
+
 def storm_hours(storms: DataFrame, *, spread: int | None = None) -> DataFrame:
     """One row per hour of each storm, at its place on the straight track.
 
@@ -68,31 +99,32 @@ def storm_hours(storms: DataFrame, *, spread: int | None = None) -> DataFrame:
 
     Storm files are small, but each storm becomes tens of hours. So the storms, still one
     narrow row each, are first dealt out evenly over ``spread`` tasks: by default as many as
-    ``spark.sql.shuffle.partitions``, never fewer than the input has; 0: not at all.
+    ``spark.sql.shuffle.partitions``, more for an input of more splits than that; 0: not at all.
     """
     c = F.col
-    storms = dealt_out(storms, spread)
-    span = storms.withColumn("_hours", hours_between(c("BEGIN_DATETIME"), c("END_DATETIME")))
-    span = span.withColumn("_block", F.explode(F.sequence(F.lit(0), F.expr(f"_hours div {BLOCK_HOURS}").cast("int"))))
-    last = F.when(c("_hours") < 0, F.greatest(c("_hours"), (c("_block") - 1) * BLOCK_HOURS + 1)).otherwise(F.least(c("_hours"), (c("_block") + 1) * BLOCK_HOURS - 1))
-    hours = span.withColumn("HOUR_OFFSET", F.explode(F.sequence(c("_block") * BLOCK_HOURS, last.cast("int"))))
-    share = F.when(c("_hours") == 0, 0.0).otherwise(c("HOUR_OFFSET").cast("double") / c("_hours"))
-    hours = hours.withColumn("INTERPOLATION_FACTOR", share)
-    return hours.select(
-        "ORIGINAL_INDEX",
-        F.timestamp_add("HOUR", c("HOUR_OFFSET"), c("BEGIN_DATETIME")).alias("DATETIME"),
-        along(c("BEGIN_LAT"), c("END_LAT"), c("INTERPOLATION_FACTOR")).alias("LATITUDE"),
-        along(c("BEGIN_LON"), c("END_LON"), c("INTERPOLATION_FACTOR")).alias("LONGITUDE"),
-        "EVENT_TYPE",
-        "EVENT_CATEGORY_ID",
-        "BEGIN_DATETIME",
-        "END_DATETIME",
-        "HOUR_OFFSET",
-        "INTERPOLATION_FACTOR",
+    span = with_hours(dealt_out(storms, spread))
+    return each_hour(span, F.lit(0).cast("long"), F.abs("_hours")).select(
+        *HOUR_COLUMNS,
         *[p for p in PERIOD if p in storms.columns],
     )
 
 
+def hours_in_reach(storms: DataFrame, sites: DataFrame, radius_km: float, *, spread: int | None = None, **how) -> DataFrame:
+    """Storms, the sites their tracks come near, and the hours at which they may be in reach: a storm is one row until then."""
+    tracks = with_hours(dealt_out(storms, spread)).filter(F.col("_hours").isNotNull())
+    near = tracks_near_sites(
+        tracks,
+        sites,
+        radius_km,
+        start=("BEGIN_LAT", "BEGIN_LON"),
+        stop=("END_LAT", "END_LON"),
+        steps="_hours",
+        site=("AIRPORT_LATITUDE", "AIRPORT_LONGITUDE"),
+        **how,
+    )
+    return each_hour(near, F.col("_first"), F.col("_last"))
+
+
 def storms_near_airports(
     storms: DataFrame,
     airports: DataFrame,
@@ -120,19 +152,11 @@ def storms_near_airports(
         c("LATITUDE").alias("AIRPORT_LATITUDE"),
         c("LONGITUDE").alias("AIRPORT_LONGITUDE"),
     )
-    points = storm_hours(storms, spread=spread).withColumnsRenamed(
-        {"ORIGINAL_INDEX": "ORIGINAL_WEATHER_INDEX", "LATITUDE": "WEATHER_LATITUDE", "LONGITUDE": "WEATHER_LONGITUDE"}
-    )
-    pairs = within_radius(
-        points,
-        sites,
-        radius_km,
-        point=("WEATHER_LATITUDE", "WEATHER_LONGITUDE"),
-        site=("AIRPORT_LATITUDE", "AIRPORT_LONGITUDE"),
-        max_broadcast_sites=max_broadcast_sites,
-        salts=salts,
-    )
+    hours = hours_in_reach(storms, sites, radius_km, spread=spread, max_broadcast_sites=max_broadcast_sites, salts=salts)
+    here = (band(c("LATITUDE"), radius_km) == c("_band")) & (cell(c("LONGITUDE"), radius_km) == c("_cell"))
+    km = haversine_km(c("AIRPORT_LATITUDE"), c("AIRPORT_LONGITUDE"), c("LATITUDE"), c("LONGITUDE"))
+    pairs = hours.filter(here).withColumn("DISTANCE_KM", km).filter(c("DISTANCE_KM") <= radius_km)
+    pairs = pairs.select(*HOUR_COLUMNS, *sites.columns, "DISTANCE_KM", *[p for p in PERIOD if p in storms.columns])
+    pairs = pairs.withColumnsRenamed({"ORIGINAL_INDEX": "ORIGINAL_WEATHER_INDEX", "LATITUDE": "WEATHER_LATITUDE", "LONGITUDE": "WEATHER_LONGITUDE"})
     order = ["ORIGINAL_WEATHER_INDEX", "HOUR_OFFSET", "DISTANCE_KM"]
-    period = [p for p in PERIOD if p in pairs.columns]
-    pairs = pairs.select(*[n for n in pairs.columns if n not in period], *period)
     return pairs.orderBy(*order) if ordered else pairs

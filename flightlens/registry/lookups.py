@@ -14,7 +14,7 @@ from flightlens.plans.dimensions import aircraft_dim, airport_dim
 from flightlens.registry.query import part, query
 from flightlens.registry.views import WIDE, facts, weather
 from flightlens.session import materialize, scratch_dir
-from flightlens.sources import scan, sink
+from flightlens.sources import listing, scan, sink
 
 AIRPORT, CARRIER, REGION, YEAR = "10012", "C1", "NATION_7", 1998
 MONTHS = (1, 12)
@@ -60,9 +60,9 @@ BUILT: dict[tuple[str, str, str], str] = {}
 
 def stored(t, name: str, build):
     """Keyed rows of a view, written in key order once per session and table folder, as ``loads.serve``
-    stores them; every lookup reads the stored rows."""
+    stores them; every lookup reads the stored rows. They are written again if the scratch folder has been cleared."""
     where = (t.spark.sparkContext.applicationId, t.sf_dir, name)
-    if where not in BUILT:
+    if where not in BUILT or not listing.exists(t.spark, BUILT[where]):
         path = scratch_dir(t.spark, f"kv-{name}-{uuid.uuid4().hex}")
         sink.write_keyed(serving.keyed_view(name, build()), path)
         BUILT[where] = path

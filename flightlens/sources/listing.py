@@ -16,7 +16,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 SUFFIX = ".parquet"
 AT_ONCE = 16
-T = TypeVar("T")
+S, T = TypeVar("S"), TypeVar("T")
 PARTITION = re.compile(r"(month_partition|snapshot_date)=[^/]+$")
 
 
@@ -65,10 +65,10 @@ def files_of(df: DataFrame) -> list[str]:
     return sorted(df.inputFiles())
 
 
-def _each(work: Callable[[str], T], paths: Sequence[str]) -> list[T]:
-    """``work`` for each path, by ``AT_ONCE`` threads of this process. No Spark job is run."""
+def each(work: Callable[[S], T], items: Sequence[S]) -> list[T]:
+    """``work`` for each item, by ``AT_ONCE`` threads of this process. No Spark job is run."""
     with ThreadPoolExecutor(AT_ONCE) as pool:
-        return list(pool.map(work, paths))
+        return list(pool.map(work, items))
 
 
 def part_files(spark: SparkSession, paths: Sequence[str]) -> list[list[str] | None]:
@@ -83,7 +83,7 @@ def part_files(spark: SparkSession, paths: Sequence[str]) -> list[list[str] | No
             return None
         return sorted(name for name in (s.getPath().toString() for s in found) if name.endswith(SUFFIX))
 
-    return _each(parts, paths)
+    return each(parts, paths)
 
 
 def _footer(spark: SparkSession, path: str, read: Callable[[object], T]) -> T:
@@ -99,14 +99,14 @@ def _footer(spark: SparkSession, path: str, read: Callable[[object], T]) -> T:
 
 def stored_columns(spark: SparkSession, files: Sequence[str]) -> list[str]:
     """The stored columns and types of each Parquet file, as its footer spells them."""
-    return _each(lambda path: _footer(spark, path, lambda footer: footer.getFileMetaData().getSchema().toString()), files)
+    return each(lambda path: _footer(spark, path, lambda footer: footer.getFileMetaData().getSchema().toString()), files)
 
 
 def row_counts(spark: SparkSession, folders: Sequence[str]) -> list[int]:
     """Rows of the Parquet files directly in each folder, from their footers."""
     parts = part_files(spark, folders)
     files = [file for found in parts for file in found or []]
-    rows = dict(zip(files, _each(lambda path: _footer(spark, path, lambda footer: footer.getRecordCount()), files), strict=True))
+    rows = dict(zip(files, each(lambda path: _footer(spark, path, lambda footer: footer.getRecordCount()), files), strict=True))
     return [sum(rows[file] for file in found or []) for found in parts]
 
 

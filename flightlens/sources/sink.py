@@ -96,14 +96,18 @@ def finish_switch(spark: SparkSession, path: str, *, by: Sequence[str] = PERIOD)
             if listing.exists(spark, todo["rejected"]):
                 listing.make_folder(spark, f"{path}/{REJECTED}")
                 listing.rename(spark, todo["rejected"], done.rejected)
-        for k, period in enumerate(done.filled):
+
+        def switch(period: tuple[int, ...]) -> None:
             new, place = _folder(f"{path}/{STAGED}/{run}", by, period), _folder(path, by, period)
             if listing.exists(spark, new):
                 if listing.exists(spark, place):
-                    listing.make_folder(spark, f"{path}/{REPLACED}/{run}")
-                    listing.rename(spark, place, f"{path}/{REPLACED}/{run}/{k}-{uuid.uuid4().hex}")
-                listing.make_folder(spark, place.rsplit("/", 1)[0])
+                    listing.rename(spark, place, f"{path}/{REPLACED}/{uuid.uuid4().hex}")
                 listing.rename(spark, new, place)
+
+        listing.make_folder(spark, f"{path}/{REPLACED}")
+        for parent in {_folder(path, by, p).rsplit("/", 1)[0] for p in done.filled}:
+            listing.make_folder(spark, parent)
+        listing.each(switch, done.filled)
         listing.delete(spark, [_folder(path, by, p) for p in done.empty])
         if done.empty:
             months = spark.createDataFrame(done.empty, ", ".join(f"{p} INT" for p in by))

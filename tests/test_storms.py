@@ -1,11 +1,13 @@
 """Storm alignment, storm hours, and the distance join against brute force."""
 
+import datetime
 import math
 import random
 
 import pytest
 from pyspark.sql import functions as F
 
+from flightlens import fixtures
 from flightlens.operators.spatial import within_radius
 from flightlens.plans import storms
 from flightlens.plans.storms import aligned_storms, storm_hours, storms_near_airports
@@ -141,3 +143,59 @@ def test_a_storm_of_centuries_is_listed_and_loses_no_hour(spark, rows):
     days = 200 * 365 + 49
     assert values(hours) == [(1, days * 24 + 1, days * 24 + 1, 0, days * 24), (2, 122 * 24 + 1, 122 * 24 + 1, -122 * 24, 0)]
     assert [r.ORIGINAL_INDEX for r in storms.long_storms(both).collect()] == [1]
+
+
+TRACKS = "ORIGINAL_INDEX bigint, BEGIN_DATETIME timestamp, END_DATETIME timestamp, BEGIN_LAT double, BEGIN_LON double, END_LAT double, END_LON double, EVENT_TYPE string, EVENT_CATEGORY_ID int"
+SITES = "AIRPORT_ID int, DISPLAY_AIRPORT_NAME string, AIRPORT_COUNTRY_NAME string, LATITUDE double, LONGITUDE double"
+
+
+def random_tracks(draw, n):
+    """Still, slow, fast, straight north, along a parallel, backwards, zero hours, over the poles' edge and the antimeridian."""
+    start = datetime.datetime(2024, 1, 1)
+    for k in range(n):
+        lat, lon = draw.choice([(draw.uniform(30, 34), draw.uniform(-100, -96)), (draw.uniform(87, 90), draw.uniform(-180, 180)), (draw.uniform(-2, 2), draw.choice([-1, 1]) * draw.uniform(178, 180))])
+        step = draw.choice([0.0, 0.1, 1.0, 6.0])
+        to = (min(90.0, lat + draw.choice([0, 1]) * draw.uniform(-step, step)), max(-180.0, min(180.0, lon + draw.choice([0, 1]) * draw.uniform(-step, step))))
+        hours = draw.choice([0, 1, 2, 24, 200, -5])
+        yield (k, start, start + datetime.timedelta(hours=hours), lat, lon, *to, "Hail", 1)
+
+
+@pytest.mark.parametrize("limit", [0, 100_000])
+def test_tracks_meet_the_airports_that_their_hours_meet(rows, limit):
+    """Against every hour of every storm with every airport, on both plans."""
+    draw = random.Random(11)
+    tracks = list(random_tracks(draw, 150))
+    near = [t[3:5] for t in tracks[::3]] + [t[5:7] for t in tracks[1::3]]
+    sites = [(k, "n", "c", max(-90.0, min(90.0, lat + draw.uniform(-0.5, 0.5))), lon + draw.uniform(-0.5, 0.5)) for k, (lat, lon) in enumerate(near)]
+    sites = [(*s[:4], s[4] - 360 if s[4] > 180 else s[4] + 360 if s[4] < -180 else s[4]) for s in sites]
+    df, airports = rows(TRACKS, *tracks), rows(SITES, *sites, (999, "x", "c", None, None))
+    want = set()
+    for h in storm_hours(df).collect():
+        for k, _, _, lat, lon in sites:
+            a = math.sin(math.radians(lat - h.LATITUDE) / 2) ** 2 + math.cos(math.radians(lat)) * math.cos(math.radians(h.LATITUDE)) * math.sin(math.radians(lon - h.LONGITUDE) / 2) ** 2
+            if 6371 * 2 * math.asin(math.sqrt(a)) <= 50:
+                want.add((h.ORIGINAL_INDEX, h.HOUR_OFFSET, k))
+    got = storms_near_airports(df, airports, max_broadcast_sites=limit).select("ORIGINAL_WEATHER_INDEX", "HOUR_OFFSET", "AIRPORT_ID").collect()
+    assert len(got) == len(set(got)) and set(map(tuple, got)) == want and len(want) > 1000
+
+
+def test_few_hours_are_made_that_meet_no_airport(spark):
+    """Not all hours of all storms: at most three times the pairs."""
+    raw, airports = (fixtures.load(spark, "/root/testdata/sf0.01", f"fx_{name}") for name in ("weather", "airports"))
+    aligned = aligned_storms(raw)
+    sites = airports.select(F.col("AIRPORT_ID").cast("int"), F.col("LATITUDE").alias("AIRPORT_LATITUDE"), F.col("LONGITUDE").alias("AIRPORT_LONGITUDE"))
+    pairs = storms_near_airports(aligned, airports).count()
+    assert pairs > 10_000 and storms.hours_in_reach(aligned, sites, 50).count() <= 3 * pairs
+
+
+def test_building_the_plan_runs_nothing(spark, rows):
+    """A shuffle below the storms was run once to learn its number of partitions."""
+    df = rows(TRACKS, *random_tracks(random.Random(1), 20)).repartition(7, "ORIGINAL_INDEX").groupBy("ORIGINAL_INDEX").agg(*[F.max(c).alias(c) for c in TRACKS.replace(",", "").split()[2::2]])
+    airports = rows(SITES, (1, "n", "c", 31.0, -98.0))
+    context = spark.sparkContext
+    context.setJobGroup("planning", "planning")
+    storm_hours(df)
+    storms.dealt_out(df)
+    assert not context.statusTracker().getJobIdsForGroup("planning")
+    context.setLocalProperty("spark.jobGroup.id", None)
+    assert storms_near_airports(df, airports).count() >= 0
