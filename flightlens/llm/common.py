@@ -80,6 +80,11 @@ def sig(column: str = "text") -> Column:
     return F.xxhash64(F.col(column))
 
 
+def quoted(names) -> list[Column]:
+    """Columns of these very names, dots and all."""
+    return [F.col("`" + name.replace("`", "``") + "`") for name in names]
+
+
 def free_name(df: DataFrame, name: str) -> str:
     """``name``, or the first of name_1, name_2, ... that ``df`` does not have."""
     taken, k, free = {c.lower() for c in df.columns}, 0, name

@@ -27,7 +27,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from flightlens.llm.common import free_name, prepare
+from flightlens.llm.common import free_name, prepare, quoted
 
 WINDOW = 13
 SAMPLE = 16
@@ -301,4 +301,4 @@ def find(docs: DataFrame, benchmark: DataFrame, *, window: int = WINDOW, part_ch
 def keep(docs: DataFrame, benchmark: DataFrame, **settings) -> DataFrame:
     """The rows of ``docs`` that are not contaminated, with their columns."""
     found = find(docs, benchmark, **settings)
-    return found.where(~F.col(found.columns[-1])["contaminated"]).select(docs.columns)
+    return found.where(~F.col(found.columns[-1])["contaminated"]).select(*quoted(docs.columns))

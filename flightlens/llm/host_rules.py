@@ -16,7 +16,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from flightlens.llm.common import WHITE, did, free_name, keyed, sig, text_of, without, words_of
+from flightlens.llm.common import WHITE, did, free_name, keyed, quoted, sig, text_of, without, words_of
 from flightlens.session import materialize
 
 SYMBOLS = "#*$%&|<>"
@@ -139,4 +139,4 @@ def keep(docs: DataFrame, *, host_rate: float = 0.75) -> DataFrame:
     other = [free_name(rows, x) for x in ("rejected_did", "rejected_sig", "rejected_host")]
     rejected = materialize(judged.where(~F.col("kept")).select("did", "sig", "host").distinct().toDF(*other), "rejected")
     same = (F.col(d) == F.col(other[0])) & (F.col(s) == F.col(other[1])) & F.col("source").eqNullSafe(F.col(other[2]))
-    return rows.join(rejected.hint("merge"), same, "left_anti").select(docs.columns)  # the same plan at every size
+    return rows.join(rejected.hint("merge"), same, "left_anti").select(*quoted(docs.columns))  # the same plan at every size

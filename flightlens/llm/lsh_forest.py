@@ -31,7 +31,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from flightlens.llm.bloom import filter_of, passes
-from flightlens.llm.common import WHITE, did, keyed, lower_ascii, prepare, sig, text_of, without, words_of
+from flightlens.llm.common import WHITE, did, keyed, lower_ascii, prepare, quoted, sig, text_of, without, words_of
 from flightlens.llm.components import components
 from flightlens.session import materialize
 
@@ -434,7 +434,7 @@ def keep(docs: DataFrame, **settings) -> DataFrame:
     empty = F.length(without(text_of(), WHITE)) == 0
     chosen = materialize(chosen.select(F.col("doc.did").alias(d), F.col("doc.sig").alias(s)), "chosen")
     full = rows.where(~empty).join(chosen, [d, s], "left_semi").dropDuplicates([d, s])
-    return full.select(docs.columns).unionByName(rows.where(empty).select(docs.columns))
+    return full.select(*quoted(docs.columns)).unionByName(rows.where(empty).select(*quoted(docs.columns)))
 
 
 def shingled(size: int):

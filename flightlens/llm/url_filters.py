@@ -22,7 +22,7 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from flightlens.llm.common import free_name, lower_ascii
+from flightlens.llm.common import free_name, lower_ascii, quoted
 from flightlens.session import materialize
 
 LINKS = r"""(?i)(?:href|src)\s*=\s*["']?(?:https?:)?//([^/?#"'\s<>]+)"""
@@ -142,11 +142,13 @@ def judge_urls(pages: DataFrame, *, rules=RULES, url: str = "url", html: str = "
     Host: after the first ``://`` up to ``/``, ``?``, ``#`` or the end, A-Z in lower case; path: up to
     ``?``, ``#`` or the end. A URL that is null or has no ``://`` has neither, fits no rule and is
     allowed, as is one whose host has no seed near it. A null page has no links. Repeated rows
-    count each time. An empty table gives an empty result. Columns of these names are replaced.
+    count each time. An empty table gives an empty result. Columns of these names are replaced. A host with as much distrust as
+    ``margin`` times its trust is allowed. A page is one value, whatever its length; its links are found in one pass.
     """
     kept = [c for c in pages.columns if c.lower() not in ("host", "path", "rule", "verdict")]
-    h, p, r, v = (free_name(pages.select(*kept), x) for x in ("host_", "path_", "rule_", "verdict_"))
-    seen = pages.select(*kept).withColumns({h: host_of(F.coalesce(F.col(url), F.lit(""))), p: path_of(F.coalesce(F.col(url), F.lit("")))})
+    rows = pages.select(*quoted(kept))
+    h, p, r, v = (free_name(rows, x) for x in ("host_", "path_", "rule_", "verdict_"))
+    seen = rows.withColumns({h: host_of(F.coalesce(F.col(url), F.lit(""))), p: path_of(F.coalesce(F.col(url), F.lit("")))})
     text, verdict = first_rule(F.col(h), F.col(p), rules)
     seen = seen.withColumns({r: text, v: verdict})
     links = F.transform(F.regexp_extract_all(F.coalesce(F.col(html), F.lit("")), F.lit(LINKS), F.lit(1)), lower_ascii)
@@ -154,4 +156,4 @@ def judge_urls(pages: DataFrame, *, rules=RULES, url: str = "url", html: str = "
     found = host_verdicts(graph, **settings).where("blocked").select(F.col("host").alias(h), F.lit("block").alias("by_links"))
     found = materialize(found, "blocked-hosts")
     judged = seen.join(found, h, "left")
-    return judged.select(*kept, F.col(h).alias("host"), F.col(p).alias("path"), F.col(r).alias("rule"), F.coalesce(F.col(v), F.col("by_links"), F.lit("allow")).alias("verdict"))
+    return judged.select(*quoted(kept), F.col(h).alias("host"), F.col(p).alias("path"), F.col(r).alias("rule"), F.coalesce(F.col(v), F.col("by_links"), F.lit("allow")).alias("verdict"))

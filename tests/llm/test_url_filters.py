@@ -1,5 +1,6 @@
 """Rules against a plain reading, ranks against a matrix, and the verdicts of linked hosts."""
 
+import random
 import re
 
 import numpy as np
@@ -65,6 +66,25 @@ def test_ranks_like_a_matrix(spark, rows):
     assert [got[str(k)] for k in range(n)] == pytest.approx(rank.tolist())
 
 
+def exact_verdicts(links, allowed, denied, least=0.1):
+    """Ranks as solutions of linear equations: with the links from trusted hosts, against them from blocked ones."""
+    hosts = sorted({h for pair in links for h in pair} | set(allowed) | set(denied))
+    at = {h: k for k, h in enumerate(hosts)}
+
+    def ranks(edges, seeds):
+        m = np.zeros((len(hosts), len(hosts)))
+        for a, b in edges:
+            m[at[b], at[a]] += 1
+        for k in range(len(hosts)):
+            if not m[:, k].any():
+                m[k, k] = 1
+        start = np.array([float(h in seeds) for h in hosts])
+        return np.linalg.solve(np.eye(len(hosts)) - 0.85 * m / m.sum(axis=0), 0.15 * start / start.sum())
+
+    trust, distrust = ranks(links, allowed), ranks([(b, a) for a, b in links], denied)
+    return {h: bool(distrust[k] > trust[k] and distrust[k] * len(hosts) >= least) for h, k in at.items()}
+
+
 def test_hosts_near_blocked_seeds_are_blocked(spark, rows):
     to = lambda *hosts: "".join(f'<a href="https://{h}/x">x</a>' for h in hosts)
     pages = [
@@ -80,8 +100,24 @@ def test_hosts_near_blocked_seeds_are_blocked(spark, rows):
     got = {r.host: r.verdict for r in url_filters.judge_urls(df).collect()}
     assert got == {
         "bad.net": "block", "bad2.net": "block", "spam.example": "block",
-        "good.org": "allow", "friend.example": "allow", "lonely.example": "allow", "mixed.example": got["mixed.example"],
+        "good.org": "allow", "friend.example": "allow", "lonely.example": "allow", "mixed.example": "block",
     }
+    links = [(u.split("/")[2], h.lower()) for u, x in pages for h in re.findall("https://([^/]+)", x or "")]
+    want = exact_verdicts(links, {"good.org"}, {"bad.net", "bad2.net"})
+    assert all((got[h] == "block") == want.get(h, False) for h in got if h not in ("bad.net", "bad2.net", "good.org"))
+
+
+def test_verdicts_of_random_graphs(spark, rows):
+    """The thresholds, on graphs where many hosts lie between trusted and blocked ones."""
+    for seed in (1, 2):
+        draw = random.Random(seed)
+        hosts = [f"h{k}.example" for k in range(25)] + ["a.net", "b.net", "c.org", "d.org"]
+        links = sorted({(a, b) for a in hosts for b in draw.sample(hosts, 3) if a != b and draw.random() < 0.7})
+        pages = [(k, f"http://{h}/fr/", "".join(f'<a href="http://{b}/">x</a>' for a, b in links if a == h)) for k, h in enumerate(hosts)]
+        got = {r.host: r.verdict for r in url_filters.judge_urls(rows("page_id long, url string, html string", *pages)).collect()}
+        want = exact_verdicts(links + [(h, h) for h in hosts if not any(h in x for x in links)], {"c.org", "d.org"}, {"a.net", "b.net"})
+        assert {h: v == "block" for h, v in got.items() if h.endswith(".example")} == {h: v for h, v in want.items() if h.endswith(".example")}
+        assert len(set(want.values())) == 2
 
 
 def test_hosts_at_the_end_of_a_long_chain_are_blocked(spark, rows):
