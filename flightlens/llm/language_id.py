@@ -19,7 +19,7 @@ from pyspark.sql import types as T
 from flightlens.llm.common import free_name, prepare
 
 BUCKETS = 2**15
-ITERATIONS = 12
+GAIN = 0.01  # of the log-likelihood in a round: a fit that gains less has settled
 UNKNOWN = "und"
 MIXTURE = T.StructType().add("lang_pred", "string").add("score", "double").add("languages", T.ArrayType(T.StringType())).add("proportions", T.ArrayType(T.DoubleType()))
 
@@ -64,12 +64,18 @@ def learn(labelled: DataFrame, *, text: str = "text", lang: str = "lang") -> tup
 
 
 def fit(likelihood: np.ndarray, times: np.ndarray) -> tuple[np.ndarray, float]:
-    """Proportions of the columns of ``likelihood`` (trigram × language) and the log-likelihood."""
+    """Proportions of the columns of ``likelihood`` (trigram × language) and the log-likelihood, iterated until a round
+    gains less than ``GAIN``. No round lowers it, so this ends."""
     share = np.full(likelihood.shape[1], 1.0 / likelihood.shape[1])
-    for _ in range(ITERATIONS if len(share) > 1 else 0):
-        joint = likelihood * share
-        share = times @ (joint / joint.sum(axis=1, keepdims=True)) / times.sum()
-    return share, float(times @ np.log(likelihood @ share))
+    total = likelihood @ share
+    value = float(times @ np.log(total))
+    while len(share) > 1:
+        share = share * ((times / total) @ likelihood) / times.sum()
+        total = likelihood @ share
+        value, before = float(times @ np.log(total)), value
+        if value - before < GAIN:
+            break
+    return share, value
 
 
 def mixture(text: str | None, names: list[str], table: np.ndarray):
@@ -104,8 +110,9 @@ def identify(docs: DataFrame, model: tuple[list[str], np.ndarray], *, text: str
     """``docs`` with ``mixture``: lang_pred, score (the proportion of lang_pred), languages, proportions.
 
     ``und`` with score 0 for a null text, one without a letter, or a model without languages.
-    Only the text is read. Equal proportions go to the language of the smaller name. An
-    existing column ``mixture`` keeps its name and the new one is numbered.
+    Only the text is read. Equal proportions go to the language of the smaller name. Repeated rows get the same result, an empty table
+    gives an empty one. An existing column ``mixture`` keeps its name and the new one is numbered. ``score`` is 1 where one language is chosen: it says
+    how much of the text is in ``lang_pred``, not how sure that is.
     """
     prepare(docs.sparkSession)
     names, table = model

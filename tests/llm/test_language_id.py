@@ -1,5 +1,7 @@
 """Held-out accuracy, mixtures, and texts without a language."""
 
+import itertools
+
 import numpy as np
 from conftest import values
 
@@ -49,3 +51,29 @@ def test_edges(spark, rows):
     assert values(language_id.identify(df.limit(0), model)) == []
     nothing = language_id.learn(df.limit(0))
     assert nothing[0] == [] and {r.mixture_1.lang_pred for r in language_id.identify(df, nothing).collect()} == {"und"}
+
+
+def test_chosen_languages_against_all_subsets(spark):
+    """The penalised likelihood of the chosen set is that of the best of all subsets, on texts of one to three languages."""
+    docs = spark.read.parquet(f"{SF}/documents.parquet")
+    names, table = language_id.learn(docs)
+    text = {x: docs.where(f"lang = '{x}' AND n_chars > 3000").orderBy("doc_id").first().text for x in names}
+    made = [text[x][:500] for x in names] + [text[a][:m] + " " + text[b][:n] for a, b in itertools.permutations(names, 2) for m, n in ((900, 900), (1500, 150))]
+    made += [text["en"][:700] + text["fr"][:700] + text["es"][:700], "a", "ok ok ok"]
+    for one in made:
+        counts = np.bincount(language_id.trigrams(one), minlength=language_id.BUCKETS)
+        (at,) = counts.nonzero()
+        times = counts[at].astype(float)
+
+        def worth(subset):
+            return language_id.fit(table[list(subset)][:, at].T, times)[1] - 0.5 * np.log(times.sum()) * (len(subset) - 1)
+
+        best = max(worth(s) for k in range(1, 5) for s in itertools.combinations(range(4), k))
+        _, score, chosen, share = language_id.mixture(one, names, table)
+        assert worth([names.index(x) for x in chosen]) >= best - 0.1, (one[:40], chosen)
+        assert abs(sum(share) - 1) < 1e-6 and score == max(share)
+
+
+def test_ties_go_to_the_smaller_name():
+    table = np.full((2, language_id.BUCKETS), 1.0 / language_id.BUCKETS)
+    assert language_id.mixture("some words", ["aa", "bb"], table)[:2] == ("aa", 1.0)
