@@ -127,18 +127,20 @@ def aircraft_age_bucket_carrier_year(
     aircraft: DataFrame | None,
     keep_unknown_year: bool = False,
     max_broadcast_aircraft: int = MAX_BROADCAST_AIRCRAFT,
+    shared=lambda df, name: df,
 ) -> DataFrame | None:
     """Delays per year, aircraft age bucket and carrier; None if there is no aircraft table.
 
     A registry of ordinary size (it is counted) is broadcast, and flights are aggregated
     straight to the few result rows. A larger one is joined to flights aggregated per
     carrier, year and tail: a placeholder tail number on very many flights is one row per
-    carrier and year by then.
+    carrier and year by then. The registry is counted and joined: ``shared`` as in ``build_views`` stores what is
+    needed of it in between.
     """
     if aircraft is None:
         return None
     keyed = present(with_view_keys(flights), CARRIER, TAIL).withColumnRenamed(PERIOD[0], "flight_year")
-    built = registered_years(aircraft, keep_unknown_year)
+    built = shared(registered_years(aircraft, keep_unknown_year), "registered_years")
     if fits(built, max_broadcast_aircraft):
         stats = collect_stats(with_age(keyed, F.broadcast(built)), AIRCRAFT_AGE.grain)
     else:
@@ -190,5 +192,5 @@ def build_views(
         for view in (DELAY_WEATHER, CANCEL_WEATHER):
             views[view] = finish(exposed, view.grain, view.measures)
     if aircraft is not None:
-        views[AIRCRAFT_AGE] = aircraft_age_bucket_carrier_year(flights, aircraft)
+        views[AIRCRAFT_AGE] = aircraft_age_bucket_carrier_year(flights, aircraft, shared=shared)
     return {view.name: df for view, df in views.items()}

@@ -157,7 +157,7 @@ def weather_keys(t):
 
 @query("SELECT * FROM aircraft_age", "aircraft_age")
 def aircraft_age_view(t):
-    return views.aircraft_age_bucket_carrier_year(facts(t), aircraft_dim(t.aircraft))
+    return views.aircraft_age_bucket_carrier_year(facts(t), aircraft_dim(t.aircraft), shared=materialize)
 
 
 @query("SELECT * FROM aircraft_age", "aircraft_age")
