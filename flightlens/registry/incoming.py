@@ -15,7 +15,7 @@ from flightlens.operators.spatial import within_radius
 from flightlens.plans import loads
 from flightlens.plans.dimensions import aircraft_dim, airport_dim
 from flightlens.registry.query import query
-from flightlens.registry.storage import bronze_flights, fresh, months_of
+from flightlens.registry.storage import CHECKS, bronze_flights, fresh, months_of
 from flightlens.registry.storms import NEAR, rounded
 from flightlens.registry.views import facts, weather
 from flightlens.schemas import PERIOD
@@ -178,8 +178,14 @@ def fact_keys_over_loads(t):
     return scan.parquet(t.spark, silver).agg(F.count("*").alias("n"), F.count_distinct(*PERIOD, "FactID").alias("ids"))
 
 
+def drop_databases(spark) -> None:
+    """Drop the databases that queries have made; for the end of a session, with ``clear_scratch``."""
+    for name in [d.name for d in spark.catalog.listDatabases() if d.name.startswith(CHECKS)]:
+        spark.sql(f"DROP DATABASE IF EXISTS {name} CASCADE")
+
+
 def database(t) -> str:
-    name = f"flightlens_check_{uuid.uuid4().hex}"
+    name = f"{CHECKS}{uuid.uuid4().hex}"
     catalog.create_database(t.spark, name)
     return name
 

@@ -30,6 +30,9 @@ part(
 )
 
 
+CHECKS = "flightlens_check_"  # databases of queries
+
+
 def months_of(df):
     return df.groupBy(*PERIOD).agg(F.count("*").alias("n"), F.sum("DepartureDelay").alias("dep_sum"))
 
@@ -262,7 +265,7 @@ def external_table_partitions(t):
     """External partitioned table over written files: partitions found by repair."""
     silver = fresh(t, "table-flights")
     sink.overwrite_periods(facts(t), silver, rebalance=True)
-    base = f"flightlens_check_{uuid.uuid4().hex}"
+    base = f"{CHECKS}{uuid.uuid4().hex}"
     catalog.create_database(t.spark, base)
     name = catalog.create_silver(t.spark, "flight_facts", silver, base)
     catalog.refresh(t.spark, name, monthly=True)
@@ -272,7 +275,7 @@ def external_table_partitions(t):
 
 @query("SELECT * FROM delay_carrier", "delay_carrier")
 def saved_view_table(t):
-    base = f"flightlens_check_{uuid.uuid4().hex}"
+    base = f"{CHECKS}{uuid.uuid4().hex}"
     catalog.create_database(t.spark, base)
     name = f"{base}.delay_carrier_month"
     sink.save_table(views.delay_carrier_month(facts(t)), name, fresh(t, "table-carrier"))

@@ -73,6 +73,7 @@ def compare(df, con, sql: str) -> str | None:
 if __name__ == "__main__":
     from __spark_entry__ import oracle_sql, queries
     from flightlens import build_session, clear_scratch
+    from flightlens.registry.incoming import drop_databases
 
     sf_dir = sys.argv[1] if len(sys.argv) > 1 else "/root/testdata/sf0.01"
     wanted = sys.argv[2:]
@@ -97,5 +98,6 @@ if __name__ == "__main__":
             problem = f"{type(error).__name__}: {str(error)[:600]}"
         bad += problem is not None
         print(f"{'ok ' if problem is None else 'BAD'} {name} {time.time() - start:.1f}s {problem or ''}", flush=True)
+    drop_databases(spark)
     clear_scratch(spark)
     print(f"{bad} of {len(queries())} differ")

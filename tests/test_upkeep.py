@@ -12,6 +12,8 @@ from flightlens import fixtures
 from flightlens.plans import serving, upkeep, views
 from flightlens.plans.dimensions import aircraft_dim, airport_dim
 from flightlens.plans.flights import flight_facts
+from flightlens.registry.incoming import database, drop_databases
+from flightlens.registry.query import Tables
 from flightlens.schemas import PERIOD
 from flightlens.sources import catalog, listing, scan, sink
 
@@ -160,3 +162,9 @@ def test_versions_of_months_need_no_file_to_be_opened(spark, rows, tmp_path):
     sink.replace_periods(rows("v int, year_partition int, month_partition int", (9, 2024, 2)), path, [(2024, 2)])
     after = upkeep.month_versions(spark.read.schema("v int").parquet(path))
     assert upkeep.changed(after, before) == {(2024, 2)}
+
+
+def test_databases_of_queries_are_dropped(spark):
+    names = [database(Tables(spark, SF)) for _ in range(2)]
+    drop_databases(spark)
+    assert not {d.name for d in spark.catalog.listDatabases()} & set(names)
