@@ -229,7 +229,58 @@ def op12_pair_bitmaps(spark, sf_dir):
     return rows.select("doc_id", "n_a", "n_b", "n_groups", "n_links", "n_best", "count_sum", F.col("groups").alias("groups_sha256"))
 
 
-@query()
+def field_sql(value: str) -> str:
+    return f"coalesce(concat(strlen({value}::VARCHAR), ':', {value}::VARCHAR), '-')"
+
+
+WRITTEN = ", ".join(map(field_sql, ("doc_id", "source", "lang")))
+# CRC-32 of the digits of doc_id, bit by bit: a byte is joined in, and eight times -1 shifts it out.
+CRC_SQL = (
+    "xor(list_reduce(flatten([[4294967295], flatten(list_transform(string_split(doc_id::VARCHAR, ''), lambda c: [ord(c), -1, -1, -1, -1, -1, -1, -1, -1]))]), "
+    "lambda a, x: CASE WHEN x >= 0 THEN xor(a, x) ELSE xor(a >> 1, 3988292384 * (a & 1)) END), 4294967295)"
+)
+
+
+@query(
+    f"""
+WITH RECURSIVE rows AS (
+    SELECT doc_id, dense_rank() OVER (ORDER BY lang NULLS FIRST) - 1 AS g, sha256(concat({WRITTEN}, {field_sql('n_chars')}, {field_sql('text')})) AS h,
+           CASE WHEN {CRC_SQL} % 7 = 0 THEN sha256(concat({WRITTEN}, {field_sql('(n_chars + 1)')}, {field_sql('text')})) END AS changed
+    FROM documents
+),
+leaves AS (SELECT *, row_number() OVER (PARTITION BY g ORDER BY doc_id NULLS FIRST, h) - 1 AS i FROM rows),
+nodes AS (
+    SELECT g, 0 AS level, i, h FROM leaves
+    UNION ALL
+    SELECT g, level + 1, i // 2, sha256(string_agg(h, '' ORDER BY i)) FROM (SELECT *, count(*) OVER (PARTITION BY g) AS n FROM nodes) WHERE n > 1 GROUP BY g, level, i // 2
+),
+heights AS (SELECT g, max(level) AS height FROM nodes GROUP BY g),
+subroots AS (SELECT g, height, h FROM nodes JOIN heights USING (g) WHERE level = height),
+tops AS (
+    SELECT 0 AS level, g AS i, h FROM subroots
+    UNION ALL
+    SELECT level + 1, i // 2, sha256(string_agg(h, '' ORDER BY i)) FROM (SELECT *, count(*) OVER () AS n FROM tops) WHERE n > 1 GROUP BY level, i // 2
+),
+root AS (SELECT level AS top, h AS root FROM tops ORDER BY level DESC LIMIT 1),
+steps AS (
+    SELECT l.g, l.i, k, (l.i >> k) & 1 AS odd, coalesce(n.h, '') AS s
+    FROM leaves l JOIN heights USING (g) CROSS JOIN LATERAL (SELECT unnest(range(height)) AS k)
+    LEFT JOIN nodes n ON n.g = l.g AND n.level = k AND n.i = xor(l.i >> k, 1)
+    UNION ALL
+    SELECT l.g, l.i, height + k, (l.g >> k) & 1, coalesce(t.h, '')
+    FROM leaves l JOIN heights USING (g) CROSS JOIN LATERAL (SELECT unnest(range(top)) AS k FROM root)
+    LEFT JOIN tops t ON t.level = k AND t.i = xor(l.g >> k, 1)
+),
+folded AS (
+    SELECT g, i, 0 AS k, coalesce(changed, h) AS h FROM leaves
+    UNION ALL
+    SELECT g, i, f.k + 1, sha256(CASE WHEN odd = 1 THEN s || f.h ELSE f.h || s END) FROM folded f JOIN steps USING (g, i, k)
+),
+proofs AS (SELECT g, i, sha256(string_agg(s, '' ORDER BY k)) AS proof FROM steps GROUP BY g, i)
+SELECT doc_id, l.h AS leaf, subroots.h AS subroot, root, coalesce(proof, sha256('')) AS proof_sha256, f.h AS folded_root, f.h = root AS verified
+FROM leaves l JOIN subroots USING (g) CROSS JOIN root LEFT JOIN proofs USING (g, i) JOIN folded f ON f.g = l.g AND f.i = l.i AND f.k = height + top
+"""
+)
 def op13_merkle_manifest(spark, sf_dir):
     """Where 7 divides the CRC-32 of ``doc_id``, a reader finds one character more than was written."""
     docs = table(spark, sf_dir, "documents")
