@@ -6,7 +6,8 @@
    gets the bits that two tasks have both set in *once*. No repeated line can be missed.
 3. Only lines that pass the merged *twice* filter leave their task. They are grouped by the
    whole key, which removes false alarms, and the smallest document keeps the line.
-4. Documents without a suspected line are passed through without a shuffle.
+4. Documents that lose a line are told by another such filter, of their identifiers and texts' hashes. All others are passed
+   through: in the last reads no line is looked at but theirs.
 
 The filters have at least 16 bits a line and at most ``max_filter_bits`` (128 MiB each in a
 task's memory). Past that, more lines are suspected and shuffled; the result is the same.
@@ -22,7 +23,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from flightlens.llm.bloom import MAX_FILTER_BITS, bits_of, contains, filter_of, passes
-from flightlens.llm.common import LOWER, UPPER, WHITE, did, free_name, lower_ascii, prepare, sig, text_of, without
+from flightlens.llm.common import LOWER, UPPER, WHITE, did, free_name, lower_ascii, prepare, quoted, sig, text_of, without
 from flightlens.session import materialize
 
 
@@ -90,14 +91,18 @@ def dedup_lines(docs: DataFrame, *, min_chars: int = 10, max_filter_bits: int =
     gone = found.join(repeated, "key").where(F.col("did") > F.col("first"))
     gone = gone.groupBy(F.col("did").alias(d), F.col("sig").alias(s)).agg(F.collect_set("key").alias(lost))
 
+    place = F.array(F.xxhash64(d, s))
+    gone = materialize(gone, "gone")
+    losing, width = filter_of(gone.select(place.alias("hashes")), gone.count(), "once")
     kept = [c for c in docs.columns if c.lower() not in ("n_lines", "n_dropped")]
-    marked = docs.withColumn(flag, passes(twice, bits)(F.transform(keys_of(text, min_chars), lambda k: F.xxhash64(k))))
-    whole = marked.where(~F.col(flag)).select(*kept, n_lines(text).cast("long").alias("n_lines"), F.lit(0).cast("long").alias("n_dropped"))
-    part = marked.where(F.col(flag)).withColumns({d: did(), s: sig()}).join(gone, [d, s], "left")
+    marked = docs.withColumns({d: did(), s: sig()})
+    marked = marked.withColumn(flag, passes(losing, width)(place))
+    whole = marked.where(~F.col(flag)).select(*quoted(kept), n_lines(text).cast("long").alias("n_lines"), F.lit(0).cast("long").alias("n_dropped"))
+    part = marked.where(F.col(flag)).join(gone, [d, s], "left")
     part = part.withColumn(lost, without_lines(text, F.coalesce(F.col(lost), F.array().cast("array<string>"))))
     changed = F.when(F.col(lost)["dropped"] > 0, F.col(lost)["text"]).otherwise(F.col("text"))
     part = part.select(
-        *(changed.alias(c) if c == "text" else F.col(c) for c in kept),
+        *(changed.alias(c) if c == "text" else quoted([c])[0] for c in kept),
         n_lines(text).cast("long").alias("n_lines"),
         F.col(lost)["dropped"].alias("n_dropped"),
     )

@@ -51,3 +51,8 @@ def test_edges(spark, rows):
     docs += [(9, "twice the same row")] * 2
     same([(r.doc_id, r.text, r.n_lines, r.n_dropped) for r in out.collect()], plain(docs))
     assert run(df.limit(0)) == []
+
+
+def test_names_with_dots(rows):
+    df = rows("doc_id long, text string, `a.b` string", (1, "the same long line", "x"), (2, "the same long line\nown", "y"))
+    assert sorted((r["a.b"], r.text) for r in dedup_lines(df).collect()) == [("x", "the same long line"), ("y", "own")]
