@@ -8,7 +8,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from flightlens import fixtures
-from flightlens.operators.spatial import within_radius
+from flightlens.operators.spatial import sites_in_reach, within_radius
 from flightlens.plans import storms
 from flightlens.plans.storms import aligned_storms, storm_hours, storms_near_airports
 
@@ -199,3 +199,37 @@ def test_building_the_plan_runs_nothing(spark, rows):
     assert not context.statusTracker().getJobIdsForGroup("planning")
     context.setLocalProperty("spark.jobGroup.id", None)
     assert storms_near_airports(df, airports).count() >= 0
+
+
+@pytest.mark.parametrize("radius", [5, 50, 400, 9000])
+def test_values_in_reach_equal_those_of_all_pairs(rows, radius):
+    """Near the poles, over the antimeridian, in a crowd; with nulls, NaN and repeated keys."""
+    left, right = points(240, 3), points(120, 4)
+    kinds = [(i % 40, None if i % 97 == 5 else "abc"[i % 3], *x) for i, x in enumerate(left)] + [(1, "a", None, 0.0), (1, "nan", float("nan"), 0.0), (1, "nan", 0.0, float("nan"))]
+    spots = [(None if j == 7 else j // 2, *x) for j, x in enumerate(right)] + [(500, None, 0.0), (501, float("nan"), 0.0)]
+    pts, sites = rows("n int, kind string, plat double, plon double", *kinds), rows("s int, slat double, slon double", *spots)
+    got = sites_in_reach(pts, sites, radius, point=("plat", "plon"), site=("slat", "slon"), key="s", by=["kind", "n"])
+    pairs = within_radius(pts, sites, radius, point=("plat", "plon"), site=("slat", "slon")).select("s", "kind", "n").dropna().distinct()
+    assert got.columns == ["s", "kind", "n"] and values(got) == values(pairs) and pairs.count() > 50
+
+
+@pytest.mark.parametrize("once", [["EVENT_TYPE"], ["EVENT_TYPE", "ORIGINAL_INDEX"]])
+def test_airports_once_per_event_equal_those_of_the_pairs(rows, once):
+    draw = random.Random(5)
+    tracks = [(*t[:7], draw.choice(["Hail", "Tornado"]), 1) for t in random_tracks(draw, 90)]
+    sites = [(k, "n", "c", max(-90.0, min(90.0, t[3] + draw.uniform(-0.5, 0.5))), t[4]) for k, t in enumerate(tracks)]
+    df, airports = rows(TRACKS, *tracks), rows(SITES, *sites)
+    df = df.withColumn("year_partition", F.lit(2024))
+    by = [c for c in once if c in storms.HOUR_COLUMNS and c != "ORIGINAL_INDEX"] + ["year_partition"]
+    pairs = storms_near_airports(df, airports).select("AIRPORT_ID", *by).distinct()
+    assert values(storms_near_airports(df, airports, once=by)) == values(pairs) and pairs.count() > 90
+
+
+def test_keys_of_a_crowd_are_found_without_its_pairs(spark):
+    """300 airports under 40,000 storms: four keys each, and no join that makes a row for a storm and an airport."""
+    raw = spark.range(40_000).select("id", (F.col("id") % 4).cast("int").alias("k"), (33 + (F.col("id") % 97) / 970).alias("plat"), (-84 + (F.col("id") % 89) / 890).alias("plon"))
+    sites = spark.range(300).select("id", (33 + (F.col("id") % 83) / 830).alias("slat"), (-84 + (F.col("id") % 79) / 790).alias("slon")).withColumnRenamed("id", "s")
+    found = sites_in_reach(raw, sites, 50, point=("plat", "plon"), site=("slat", "slon"), key="s", by=["k"])
+    assert found.count() == 1200
+    joins = [line for line in found._jdf.queryExecution().executedPlan().toString().splitlines() if "Join" in line]
+    assert joins and not [line for line in joins if "Broadcast" in line or ("Inner" in line and "_plat" in line)]
