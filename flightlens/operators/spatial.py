@@ -143,7 +143,7 @@ def sites_in_reach(points: DataFrame, sites: DataFrame, radius_km: float, *, poi
     (plat, plon), (slat, slon) = point, site
     height, per_circle = band_height(radius_km) / 4, 2 * max(1, int(180 / band_height(radius_km)))
     placed = points.filter(~F.isnan(plat) & ~F.isnan(plon))
-    places = present(placed, plat, plon, *by).select(*by, F.col(plat).alias("_plat"), F.col(plon).alias("_plon")).distinct()
+    places = present(placed, plat, plon, *by).select(*by, F.col(plat).alias("_plat"), F.col(plon).alias("_plon"))
     places = places.withColumn("_band", F.floor(F.col("_plat") / height).cast("int"))
     places = places.withColumn("_cell", cell_of_band(F.col("_plon"), F.col("_band"), height, per_circle))
     values = places.select("_band", "_cell", *by).distinct()
@@ -157,8 +157,11 @@ def sites_in_reach(points: DataFrame, sites: DataFrame, radius_km: float, *, poi
     values = values.hint("merge")
     certain = listed.filter(inside).join(values, ["_band", "_cell"]).select(key, *by).distinct()
     open_ = listed.filter(~inside).join(values, ["_band", "_cell"]).join(certain.hint("merge"), [key, *by], "left_anti")
-    tested = places.withColumnsRenamed({c: f"_of_{c}" for c in ("_band", "_cell", *by)}).hint("merge")
-    same = [F.col(c) == F.col(f"_of_{c}") for c in ("_band", "_cell", *by)]
+    square = ["_band", "_cell", *by]
+    # Points are not made distinct before those that need no test are gone; they stream past the squares to be tested and are never sorted whole.
+    asked = places.join(open_.select(*square).distinct().hint("shuffle_hash"), square, "left_semi").distinct()
+    tested = asked.withColumnsRenamed({c: f"_of_{c}" for c in square}).hint("merge")
+    same = [F.col(c) == F.col(f"_of_{c}") for c in square]
     near = haversine_km(*here, F.col("_plat"), F.col("_plon")) <= radius_km
     found = open_.join(tested, reduce(and_, [*same, near]), "left_semi")
     return certain.unionByName(found.select(key, *by).distinct()).distinct()

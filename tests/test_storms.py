@@ -3,6 +3,7 @@
 import datetime
 import math
 import random
+import re
 
 import pytest
 from pyspark.sql import functions as F
@@ -233,3 +234,12 @@ def test_keys_of_a_crowd_are_found_without_its_pairs(spark):
     assert found.count() == 1200
     joins = [line for line in found._jdf.queryExecution().executedPlan().toString().splitlines() if "Join" in line]
     assert joins and not [line for line in joins if "Broadcast" in line or ("Inner" in line and "_plat" in line)]
+
+
+def test_only_points_in_squares_to_be_tested_are_made_distinct(rows):
+    """All hours of all storms were made distinct before it was known which of them need a test."""
+    pts, sites = rows("kind string, plat double, plon double", *[("a", *p) for p in points(50, 3)]), rows("s int, slat double, slon double", *[(k, *p) for k, p in enumerate(points(40, 4))])
+    found = sites_in_reach(pts, sites, 400, point=("plat", "plon"), site=("slat", "slon"), key="s", by=["kind"])
+    lines = found._jdf.queryExecution().optimizedPlan().toString().splitlines()
+    whole = [k for k, line in enumerate(lines) if re.search(r"Aggregate \[[^\]]*_plat", line)]
+    assert len(whole) == 1 and "Join LeftSemi" in "".join(lines[whole[0] + 1 : whole[0] + 3])
