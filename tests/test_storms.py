@@ -236,6 +236,15 @@ def test_keys_of_a_crowd_are_found_without_its_pairs(spark):
     assert joins and not [line for line in joins if "Broadcast" in line or ("Inner" in line and "_plat" in line)]
 
 
+def test_shuffled_sites_are_not_broadcast_by_guess(rows):
+    """Sites listed under their squares and salts were broadcast whole, for Spark takes them for as small as the sites."""
+    pts, sites = rows("plat double, plon double", *points(50, 3)), rows("slat double, slon double", *points(40, 4))
+    pairs = within_radius(pts, sites, 400, point=("plat", "plon"), site=("slat", "slon"), max_broadcast_sites=0, salts=3)
+    plan = pairs._jdf.queryExecution().executedPlan().toString()
+    assert "ShuffledHashJoin" in plan and "Broadcast" not in plan
+    assert values(pairs) == values(within_radius(pts, sites, 400, point=("plat", "plon"), site=("slat", "slon")))
+
+
 def test_only_points_in_squares_to_be_tested_are_made_distinct(rows):
     """All hours of all storms were made distinct before it was known which of them need a test."""
     pts, sites = rows("kind string, plat double, plon double", *[("a", *p) for p in points(50, 3)]), rows("s int, slat double, slon double", *[(k, *p) for k, p in enumerate(points(40, 4))])
