@@ -1,5 +1,7 @@
 """Edge tables of the column functions."""
 
+import math
+
 import pytest
 from pyspark.sql import functions as F
 
@@ -141,3 +143,21 @@ def test_content_id_ignores_layout(rows):
     df = rows("a int, b string", *[(i, str(i)) for i in range(50)])
     ids = lambda d: values(d.select("a", keys.content_id(F.col("a"), F.col("b"))))
     assert ids(df) == ids(df.repartition(7))
+
+
+@pytest.mark.parametrize("digits", [3, 6])
+def test_rounding_equals_that_of_spark(rows, digits):
+    """Ties, values next to them, zeros of both signs, large values, NaN and null; and many plain ones."""
+    step = 10.0**-digits
+    ties = [sign * (k + 0.5) * step for k in (0, 1, 2, 7, 1234567, 49999999) for sign in (1, -1)]
+    odd = [0.0, -0.0, -0.2 * step, 1e6, 123456789.123456789, 1e15 + 0.5, 1e300, float("inf"), float("-inf"), float("nan"), None, 0.1 + 0.2, 1.005, 2.675]
+    plain = [math.sin(k) * 10 ** (k % 7) for k in range(2000)]
+    df = rows("x double", *[(x,) for x in [*ties, *[math.nextafter(x, 1e9) for x in ties], *[math.nextafter(x, -1e9) for x in ties], *odd, *plain]])
+    got = df.select("x", v.rounded(F.col("x"), digits).alias("got"), F.round("x", digits).alias("want"))
+    assert got.filter("NOT (got <=> want)").collect() == []
+
+
+def test_plain_values_are_not_rounded_by_text(rows):
+    """The decimal text of every value was written and read."""
+    plan = rows("x double", (1.25,)).select(v.rounded(F.col("x"), 6))._jdf.queryExecution().optimizedPlan().toString().lower()
+    assert "rint" in plan and plan.index("case when") < plan.index("rint") < plan.index("else round")

@@ -12,6 +12,7 @@ from flightlens import fixtures
 from flightlens.operators.spatial import sites_in_reach, within_radius
 from flightlens.plans import storms
 from flightlens.plans.storms import aligned_storms, storm_hours, storms_near_airports
+from flightlens.registry.storms import rounded
 
 from conftest import values
 
@@ -236,6 +237,24 @@ def test_keys_of_a_crowd_are_found_without_its_pairs(spark):
     assert joins and not [line for line in joins if "Broadcast" in line or ("Inner" in line and "_plat" in line)]
 
 
+def method_sizes(df) -> list[int]:
+    """Bytes of the largest generated method of each stage."""
+    mode = df.sparkSession._jvm.org.apache.spark.sql.execution.ExplainMode.fromString("codegen")
+    return [int(n) for n in re.findall(r"maxMethodCodeSize:(\d+)", df._jdf.queryExecution().explainString(mode))]
+
+
+def test_the_pair_join_is_compiled(spark, rows):
+    """A method of more than 8,000 bytes stays interpreted by the JVM: every pair cost twice the time."""
+    raw = rows(f"{RAW}, year_partition int, month_partition int", (1, 199801, 1, 900, 199801, 1, 1200, "Hail", 31.0, -98.0, 31.2, -98.1, 1998, 1))
+    airports = rows(SITES, (1, "n", "c", 31.0, -98.0))
+    spark.conf.set("spark.sql.adaptive.enabled", "false")
+    try:
+        pairs = rounded(storms_near_airports(aligned_storms(raw), airports))
+        assert pairs.count() == 6 and 0 < max(method_sizes(pairs)) < 8000
+    finally:
+        spark.conf.unset("spark.sql.adaptive.enabled")
+
+
 def test_shuffled_sites_are_not_broadcast_by_guess(rows):
     """Sites listed under their squares and salts were broadcast whole, for Spark takes them for as small as the sites."""
     pts, sites = rows("plat double, plon double", *points(50, 3)), rows("slat double, slon double", *points(40, 4))
