@@ -4,7 +4,8 @@ from __future__ import annotations
 
 import json
 import uuid
-from collections.abc import Iterable, Sequence
+from collections.abc import Iterable, Iterator, Sequence
+from contextlib import contextmanager, nullcontext
 from typing import NamedTuple
 
 from pyspark.sql import DataFrame, Observation, SparkSession
@@ -22,6 +23,19 @@ STAGED, REPLACED, SWITCH = "_staged", "_replaced", "_switch"
 REJECTED = "_rejected"
 AUDIT = f"{PERIOD[0]} INT, {PERIOD[1]} INT, rows_written BIGINT, total_read BIGINT, total_written BIGINT, total_rejected BIGINT, verified BOOLEAN"
 NO_VALUE = "__HIVE_DEFAULT_PARTITION__"
+# A task whose rows come file by file writes no more months than its split has files: 32 by Spark's own sizes (128 MB, 4 MB for opening a file).
+OPEN_WRITERS = ("spark.sql.maxConcurrentOutputFileWriters", "32")
+
+
+@contextmanager
+def setting(spark: SparkSession, key: str, value: str) -> Iterator[None]:
+    """A session setting for the time of one write."""
+    before = spark.conf.get(key, None)
+    spark.conf.set(key, value)
+    try:
+        yield
+    finally:
+        spark.conf.unset(key) if before is None else spark.conf.set(key, before)
 
 
 def overwrite_periods(
@@ -30,7 +44,8 @@ def overwrite_periods(
     """Replace the months present in ``df`` and leave the others alone.
 
     Without ``rebalance`` nothing is shuffled: right when each input split holds few
-    months. With it, rows of a month are brought together first, and a month far
+    months. Their files are open side by side, so a task holds what is encoded of its rows, and sorts
+    none of them unless it has more months than ``OPEN_WRITERS``. With it, rows of a month are brought together first, and a month far
     larger than the rest is split over several tasks by the adaptive plan.
     """
     if rebalance:
@@ -38,7 +53,8 @@ def overwrite_periods(
     if sort:
         df = df.sortWithinPartitions(*by, *sort)
     options = {f"parquet.bloom.filter.enabled#{c}": "true" for c in bloom}
-    df.write.mode("overwrite").options(partitionOverwriteMode="dynamic", **options).partitionBy(*by).parquet(path)
+    with nullcontext() if rebalance or sort else setting(df.sparkSession, *OPEN_WRITERS):
+        df.write.mode("overwrite").options(partitionOverwriteMode="dynamic", **options).partitionBy(*by).parquet(path)
 
 
 class Switched(NamedTuple):

@@ -3,6 +3,7 @@
 import re
 
 import pytest
+from pyspark.sql import DataFrameWriter
 from pyspark.sql import functions as F
 
 from flightlens import fixtures, schemas
@@ -495,3 +496,15 @@ def test_rows_lost_on_the_way_are_reported(spark, rows, tmp_path, monkeypatch):
     monkeypatch.setattr(sink, "overwrite_periods", lambda df, path, **how: df.filter("month_partition = 1").write.partitionBy(*PERIOD).parquet(path))
     df = rows("YEAR int, BEGIN_YEARMONTH int", (2024, 202401), (2024, 202402))
     assert values(sink.split_by_month(df, str(tmp_path / "t"), "YEAR", "BEGIN_YEARMONTH")) == [(2024, 1, 1, 2, 1, 0, False), (2024, 2, 0, 2, 1, 0, False)]
+
+
+def test_an_unshuffled_write_keeps_the_files_of_its_months_open(spark, rows, tmp_path, monkeypatch):
+    """A task sorted all its rows to write one month after the other."""
+    key, seen, write = "spark.sql.maxConcurrentOutputFileWriters", [], DataFrameWriter.parquet
+    monkeypatch.setattr(DataFrameWriter, "parquet", lambda self, path: (seen.append(spark.conf.get(key)), write(self, path)))
+    before, data = spark.conf.get(key), [(k, 2000 + k % 40 // 12, 1 + k % 40 % 12) for k in range(400)]  # more months than files may be open
+    mixed = rows("x int, year_partition int, month_partition int", *data).coalesce(1)
+    sink.replace_periods(mixed, str(tmp_path / "open"), [])
+    sink.replace_periods(mixed, str(tmp_path / "together"), [], rebalance=True)
+    assert seen == ["32", before] and spark.conf.get(key) == before
+    assert all(values(spark.read.parquet(str(tmp_path / name))) == values(mixed) for name in ("open", "together"))
