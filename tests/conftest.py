@@ -18,6 +18,8 @@ def spark(tmp_path_factory):
         spark__sql__shuffle__partitions="4",
         spark__sql__maxMetadataStringLength="2000",
         spark__sql__debug__maxToStringFields="200",
+        # Some tests look up what their own queries have read: late in a whole run Spark would have begun to forget queries.
+        spark__sql__ui__retainedExecutions="100000",
         spark__checkpoint__dir=str(tmp_path_factory.mktemp("shared")),
         spark__sql__warehouse__dir=str(tmp_path_factory.mktemp("warehouse")),
     )
