@@ -37,11 +37,11 @@ def ship_code(context: SparkContext) -> None:
     context.addPyFile(str(target))
 
 
-def prepare(spark: SparkSession) -> None:
+def prepare(spark: SparkSession, batch_bytes: str = BATCH_BYTES) -> None:
     """For operators with Python code: ship it, and keep the batches that go to Python at
-    8 MB, whatever the length of a text."""
+    8 MB or what is given, whatever the length of a text."""
     ship_code(spark.sparkContext)
-    spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", BATCH_BYTES)
+    spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", batch_bytes)
 
 
 def lower_ascii(text: Column) -> Column:

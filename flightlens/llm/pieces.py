@@ -16,6 +16,9 @@ Pieces that are user-defined are cut out first and stand for themselves. A liter
 decoding gives back every text exactly; if there are no byte pieces it decodes as a space.
 
 The vocabulary is read where an operator is called, and broadcast.
+
+Memory: identifiers and decoded texts take several times the texts, so batches are small; and Spark lets idle Python processes live on
+and takes them in turn, so solved chunks are dropped when a task ends.
 """
 
 from __future__ import annotations
@@ -23,6 +26,7 @@ from __future__ import annotations
 import hashlib
 import re
 from array import array
+from collections.abc import Iterator
 
 import ahocorasick
 import numpy as np
@@ -38,6 +42,7 @@ LITERAL = "\ud800"  # stands for a literal "▁"; no text holds a lone surrogate
 NORMAL, UNKNOWN, USER_DEFINED, BYTE = 1, 2, 4, 6
 UNKNOWN_PENALTY = 10
 CACHED_CHUNKS, CACHED_CHARS = 300_000, 64
+BATCH_BYTES = "2097152"
 NEVER = float("-inf")
 
 
@@ -92,6 +97,10 @@ class Pieces:
         self.apart = re.compile(f"({'|'.join(map(re.escape, names))})").split if names else None
         byte_of = {i: bytes([b]) for b, i in enumerate(self.byte_ids)}
         self.raw = [byte_of.get(i, name.replace(SPACE, " ").encode()) for i, name in enumerate(self.names)]
+        self.forget()
+
+    def forget(self) -> None:
+        """Drops the chunks that are kept."""
         self.solved: dict[str, tuple[bytes, bytes]] = {}
         self.sizes: dict[str, tuple[int, float]] = {}
 
@@ -247,12 +256,15 @@ def encode(docs: DataFrame, *, model: str | None = None, column: str = "text", o
     is numbered. Long texts are solved chunk by chunk; a chunk (up to a space or line feed) takes lists of its length.
     Equal rows get equal identifiers; an empty table gives an empty result.
     """
-    prepare(docs.sparkSession)
+    prepare(docs.sparkSession, BATCH_BYTES)
     pieces = shared_pieces(docs.sparkSession, model)
 
     @F.pandas_udf(T.ArrayType(T.IntegerType()))
-    def run(texts: pd.Series) -> pd.Series:
-        return texts.map(pieces().encode, na_action="ignore")
+    def run(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
+        own = pieces()
+        for texts in batches:
+            yield texts.map(own.encode, na_action="ignore")
+        own.forget()
 
     # Not folded into a function that decodes its result, which would encode twice.
     return docs.withColumn(free_name(docs, out), run.asNondeterministic()(F.col(f"`{column}`")))
@@ -260,7 +272,7 @@ def encode(docs: DataFrame, *, model: str | None = None, column: str = "text", o
 
 def decode(docs: DataFrame, *, model: str | None = None, column: str = "piece_ids", out: str = "decoded") -> DataFrame:
     """``docs`` with the text of the identifiers in ``column``: null for null, empty for empty."""
-    prepare(docs.sparkSession)
+    prepare(docs.sparkSession, BATCH_BYTES)
     pieces = shared_pieces(docs.sparkSession, model)
 
     @F.pandas_udf(T.StringType())
@@ -282,13 +294,15 @@ def added(docs: DataFrame, made, names: tuple[str, str]) -> DataFrame:
 def round_trip(docs: DataFrame, *, model: str | None = None, column: str = "text", out: tuple[str, str] = ("piece_ids", "decoded")) -> DataFrame:
     """``docs`` with the identifiers of ``column`` and the text these decode to, from one pass: each different short chunk is encoded and
     decoded once per process. Nulls, empty texts, names and empty tables as in ``encode``."""
-    prepare(docs.sparkSession)
+    prepare(docs.sparkSession, BATCH_BYTES)
     pieces = shared_pieces(docs.sparkSession, model)
 
     @F.pandas_udf(T.StructType().add("a", T.ArrayType(T.IntegerType())).add("b", "string"))
-    def run(texts: pd.Series) -> pd.DataFrame:
-        make = pieces().round_trip
-        return pd.DataFrame([make(x) if x is not None else (None, None) for x in texts], columns=["a", "b"])
+    def run(batches: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
+        own = pieces()
+        for texts in batches:
+            yield pd.DataFrame([own.round_trip(x) if x is not None else (None, None) for x in texts], columns=["a", "b"])
+        own.forget()
 
     return added(docs, run(F.col(f"`{column}`")), out)
 
@@ -300,13 +314,15 @@ def count_tokens(docs: DataFrame, *, model: str | None = None, column: str = "te
     each. No shuffle. Existing columns keep their names and the new ones are numbered. Equal rows get equal counts; an
     empty table gives an empty result.
     """
-    prepare(docs.sparkSession)
+    prepare(docs.sparkSession, BATCH_BYTES)
     pieces = shared_pieces(docs.sparkSession, model)
 
     @F.pandas_udf(T.StructType().add("a", "long").add("b", "double"))
-    def run(texts: pd.Series) -> pd.DataFrame:
-        count = pieces().count
-        found = [count(x) if x is not None else (None, None) for x in texts]
-        return pd.DataFrame({"a": pd.array([n for n, _ in found], "Int64"), "b": [s for _, s in found]})
+    def run(batches: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
+        own = pieces()
+        for texts in batches:
+            found = [own.count(x) if x is not None else (None, None) for x in texts]
+            yield pd.DataFrame({"a": pd.array([n for n, _ in found], "Int64"), "b": [s for _, s in found]})
+        own.forget()
 
     return added(docs, run(F.col(f"`{column}`")), ("n_tokens", "token_score"))

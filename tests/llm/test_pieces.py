@@ -129,3 +129,15 @@ def test_one_encoding_of_each_text(spark, rows):
     both = pieces.decode(pieces.encode(df.drop("decoded")))._jdf.queryExecution().executedPlan().toString()
     assert "run(run(" not in both
     assert pieces.round_trip(df.limit(0)).collect() == []
+
+
+@pytest.mark.parametrize("operator", [pieces.encode, pieces.round_trip, pieces.count_tokens])
+def test_batches_are_small_and_chunks_can_be_dropped(spark, rows, operator):
+    """Results take many times their texts, and idle processes that are taken in turn would hold their solved chunks at once."""
+    operator(rows("doc_id long, text string", (1, "some text"), (2, None))).collect()
+    assert int(spark.conf.get("spark.sql.execution.arrow.maxBytesPerBatch")) <= 2**21
+    p = Pieces(WITH_BYTES)
+    first = p.round_trip("ab ba"), p.count("ab ba")
+    assert p.solved and p.sizes
+    p.forget()
+    assert not p.solved and not p.sizes and p.round_trip("ab ba")[1] == first[0][1] and p.count("ab ba") == first[1]
