@@ -32,6 +32,7 @@ from flightlens.llm.common import free_name, prepare, quoted
 WINDOW = 13
 SAMPLE = 16
 SHARD_WORDS = 1_000_000
+BATCH_BYTES = "2097152"
 PART_CHARS = 2_000_000
 # Separators of [^\x00-\x2F\x3A-\x60\x7B-\x7F]+ after A-Z in lower case, as bytes of UTF-8.
 WORD_BYTES = bytes(
@@ -285,7 +286,7 @@ def find(docs: DataFrame, benchmark: DataFrame, *, window: int = WINDOW, part_ch
     keeps its name and the new one is numbered.
     """
     spark = docs.sparkSession
-    prepare(spark)
+    prepare(spark, BATCH_BYTES)
     name = free_name(docs, "hits")
     for k, part in enumerate(parts_of(benchmark, part_chars)):
         shared = Shared(uuid.uuid4().hex, spark.sparkContext.broadcast(part))

@@ -86,3 +86,10 @@ def test_nothing_to_search():
     ids = np.array([1, 2, 0])
     assert all(len(x) == 0 for x in search_shard(ids, Phrases([], 13)))
     assert all(len(x) == 0 for x in search_shard(np.zeros(3, int), Phrases([("a", "x y")], 13)))
+
+
+def test_batches_are_small(spark, rows):
+    """With larger ones the buffers of this stage stay with an executor for the stages after it."""
+    docs, bench = rows("doc_id long, text string", (1, "one two three")), rows("item_id string, text string", ("i", "two three"))
+    assert fm_index.keep(docs, bench).count() == 0
+    assert int(spark.conf.get("spark.sql.execution.arrow.maxBytesPerBatch")) <= 2**21
