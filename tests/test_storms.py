@@ -15,6 +15,7 @@ from flightlens.plans.storms import aligned_storms, storm_hours, storms_near_air
 from flightlens.registry.storms import rounded
 
 from conftest import values
+from test_plans import rows_shuffled
 
 RAW = (
     "EVENT_ID int, BEGIN_YEARMONTH int, BEGIN_DAY int, BEGIN_TIME int, END_YEARMONTH int, END_DAY int, END_TIME int,"
@@ -264,6 +265,18 @@ def test_shuffled_sites_are_not_broadcast_by_guess(rows):
     assert values(pairs) == values(within_radius(pts, sites, 400, point=("plat", "plon"), site=("slat", "slon")))
 
 
+def test_a_site_near_the_pole_is_listed_under_few_squares(rows):
+    """Cells as wide in degrees as at the equator: a circle over the pole touched 1,197 of them, each a shuffled row per salt."""
+    sites = [(k, 89.0 + k / 45, 8.0 * k - 180) for k in range(45)]
+    pts = [(k, 88.8 + k / 40, 7.0 * k - 180) for k in range(48)] + [(48, 89.99, 180.0), (49, 90.0, 0.0)]
+    left, right = rows("p int, plat double, plon double", *pts), rows("s int, slat double, slon double", *sites)
+    pairs = within_radius(left, right, 50, point=("plat", "plon"), site=("slat", "slon"), max_broadcast_sites=0, salts=2).select("p", "s")
+    want = {(p[0], s[0]) for p in pts for s in sites if km(p[1:], s[1:]) <= 50}
+    got = [(r.p, r.s) for r in pairs.collect()]
+    assert len(got) == len(set(got)) and set(got) == want and len(want) > 300
+    assert 0 < rows_shuffled(pairs) <= len(pts) + 2 * 20 * len(sites)
+
+
 def test_only_points_in_squares_to_be_tested_are_made_distinct(rows):
     """All hours of all storms were made distinct before it was known which of them need a test."""
     pts, sites = rows("kind string, plat double, plon double", *[("a", *p) for p in points(50, 3)]), rows("s int, slat double, slon double", *[(k, *p) for k, p in enumerate(points(40, 4))])
