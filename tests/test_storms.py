@@ -182,6 +182,23 @@ def test_tracks_meet_the_airports_that_their_hours_meet(rows, limit):
     assert len(got) == len(set(got)) and set(map(tuple, got)) == want and len(want) > 1000
 
 
+@pytest.mark.parametrize("limit", [0, 60])
+def test_long_tracks_meet_each_airport_once_an_hour(rows, limit):
+    """Tracks around the globe, over a pole, of more parts than hours, and of no hour; airports listed once each are few enough to be broadcast."""
+    draw, start = random.Random(3), datetime.datetime(2024, 1, 1)
+    ways = [(89.2, -179, 89.9, 179, 400), (-89.8, 170, -88, -170, 300), (0.3, -180, -0.3, 180, 900), (10, 180, 10, -180, 720), (40, 5, 60, 95, 3), (40, 5, 60, 95, 0), (60, 20, 60, 24, -90), (90, 0, 88, 0, 40), (89.9, 0, 89.9, 0, 2)]
+    tracks = [(k, start, start + datetime.timedelta(hours=h), float(lat), float(lon), float(to), float(too), "Hail", 1) for k, (lat, lon, to, too, h) in enumerate(ways)]
+    on = [(t[3] + f * (t[5] - t[3]), t[4] + f * (t[6] - t[4])) for t in tracks for f in (0, 0.25, 0.33, 0.7, 0.999, 1)]
+    spots = [(max(-90.0, min(90.0, lat + draw.uniform(-0.3, 0.3))), lon + draw.uniform(-0.3, 0.3)) for lat, lon in on] + [(90.0, 0.0), (-90.0, 77.0), (0.0, 180.0), (0.0, -180.0), (float("nan"), 0.0)]
+    sites = [(k, "n", "c", lat, lon - 360 * round(lon / 360) if abs(lon) > 180 else lon) for k, (lat, lon) in enumerate(spots)]
+    df, airports = rows(TRACKS, *tracks), rows(SITES, *sites)
+    want = {(h.ORIGINAL_INDEX, h.HOUR_OFFSET, k) for h in storm_hours(df).collect() for k, _, _, lat, lon in sites if km((lat, lon), (h.LATITUDE, h.LONGITUDE)) <= 50}
+    pairs = storms_near_airports(df, airports, max_broadcast_sites=limit).select("ORIGINAL_WEATHER_INDEX", "HOUR_OFFSET", "AIRPORT_ID")
+    got = [tuple(r) for r in pairs.collect()]
+    assert len(got) == len(set(got)) and set(got) == want and len(want) > 500
+    assert ("BroadcastHashJoin" in pairs._jdf.queryExecution().executedPlan().toString()) == bool(limit)
+
+
 def test_few_hours_are_made_that_meet_no_airport(spark):
     """Not all hours of all storms: at most three times the pairs."""
     raw, airports = (fixtures.load(spark, "/root/testdata/sf0.01", f"fx_{name}") for name in ("weather", "airports"))
