@@ -199,6 +199,24 @@ def test_long_tracks_meet_each_airport_once_an_hour(rows, limit):
     assert ("BroadcastHashJoin" in pairs._jdf.queryExecution().executedPlan().toString()) == bool(limit)
 
 
+@pytest.mark.parametrize("limit", [0, 100_000])
+def test_ordered_pairs_are_sorted_where_they_are_made(rows, limit, monkeypatch):
+    """Every pair was shuffled to be sorted. Now a storm is, once, in ranges of storms; nulls and repeated storms too."""
+    monkeypatch.setattr(storms, "SORTED_STORMS", 20)
+    draw = random.Random(17)
+    tracks = [(None if t[0] % 41 == 7 else t[0] % 60, *t[1:3], draw.uniform(30, 31), draw.uniform(-100, -99), draw.uniform(30, 31), draw.uniform(-100, -99), "Hail", 1) for t in random_tracks(draw, 100)]
+    airports = rows(SITES, *[(k, "n", "c", draw.uniform(30, 31), draw.uniform(-100, -99)) for k in range(40)])
+    df = rows(TRACKS, *tracks)
+    pairs = storms_near_airports(df, airports, ordered=True, max_broadcast_sites=limit, spread=3)
+    got = [(r[0], r.HOUR_OFFSET, r.DISTANCE_KM, r.AIRPORT_ID) for r in pairs.collect()]
+    order = [(i is not None, i, h, km) for i, h, km, _ in got]
+    assert all(a <= b for a, b in zip(order, order[1:], strict=False) if a[0] and b[0]) and order == sorted(order, key=lambda x: (x[0], x[1] or 0, *x[2:]))
+    plain = storms_near_airports(df, airports).select("ORIGINAL_WEATHER_INDEX", "HOUR_OFFSET", "DISTANCE_KM", "AIRPORT_ID")
+    assert sorted(got, key=repr) == values(plain) and len(got) > 10 * len(tracks)
+    if limit:
+        assert rows_shuffled(pairs) == len(tracks)
+
+
 def test_few_hours_are_made_that_meet_no_airport(spark):
     """Not all hours of all storms: at most three times the pairs."""
     raw, airports = (fixtures.load(spark, "/root/testdata/sf0.01", f"fx_{name}") for name in ("weather", "airports"))
